@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, topk
+from . import mixing, packing, quality, tokenfile, topk
 
 
 def queries() -> dict:
     return {
+        "op3_packing": packing.op3_packing,
+        "op4_token_files": tokenfile.op4_token_files,
         "op8_quality_rules": quality.op8_quality_rules,
         "op9_exact_topk": topk.op9_exact_topk,
         "op10_mixing": mixing.op10_mixing,
