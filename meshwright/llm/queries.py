@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, quality, tokenfile, topk
+from . import mixing, packing, quality, secret_scan, tokenfile, topk
 
 
 def queries() -> dict:
     return {
         "op3_packing": packing.op3_packing,
         "op4_token_files": tokenfile.op4_token_files,
+        "op7_secret_scan": secret_scan.op7_secret_scan,
         "op8_quality_rules": quality.op8_quality_rules,
         "op9_exact_topk": topk.op9_exact_topk,
         "op10_mixing": mixing.op10_mixing,
