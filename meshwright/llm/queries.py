@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, quality, secret_scan, tokenfile, topk
+from . import html_extract, mixing, packing, quality, secret_scan, tokenfile, topk
 
 
 def queries() -> dict:
     return {
+        "op2_html_extraction": html_extract.op2_html_extraction,
         "op3_packing": packing.op3_packing,
         "op4_token_files": tokenfile.op4_token_files,
         "op7_secret_scan": secret_scan.op7_secret_scan,
