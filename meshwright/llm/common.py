@@ -29,7 +29,10 @@ CHUNK_BYTES = 4 << 20
 #: Fingerprints that one exchange bucket handles on average.
 BUCKET_ENTRIES = 1 << 19
 
-CHUNK_SCHEMA = "chunk_id long, doc_ids binary, ends binary, text binary"
+#: Documents that one chunk row holds at most, so that a row number fits beside the chunk's.
+CHUNK_DOCS = 1 << 13
+
+CHUNK_SCHEMA = "chunk_id long, n_bytes long, doc_ids binary, ends binary, text binary"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -72,7 +75,7 @@ def text_rows(docs: DataFrame) -> DataFrame:
 
 
 def _pack_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    base, seq = TaskContext.get().partitionId() << 32, 0
+    base, seq = TaskContext.get().partitionId() << 28, 0
     ids: list[int] = []
     parts: list[bytes] = []
     size = 0
@@ -82,6 +85,7 @@ def _pack_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_pydict(
             {
                 "chunk_id": pa.array([base + seq], pa.int64()),
+                "n_bytes": pa.array([size], pa.int64()),
                 "doc_ids": pa.array([np.array(ids, np.int64).tobytes()], pa.binary()),
                 "ends": pa.array([ends.tobytes()], pa.binary()),
                 "text": pa.array([b"".join(parts)], pa.binary()),
@@ -94,7 +98,7 @@ def _pack_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids.append(doc_id)
             parts.append(raw)
             size += len(raw)
-            if size >= CHUNK_BYTES:
+            if size >= CHUNK_BYTES or len(ids) >= CHUNK_DOCS:
                 yield row()
                 ids, parts, size, seq = [], [], 0, seq + 1
     if ids:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_extract, mixing, packing, quality, secret_scan, tokenfile, topk
+from . import block_dedup, html_extract, mixing, packing, quality, secret_scan, tokenfile, topk
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op2_html_extraction": html_extract.op2_html_extraction,
         "op3_packing": packing.op3_packing,
         "op4_token_files": tokenfile.op4_token_files,
+        "op6_block_dedup": block_dedup.op6_block_dedup,
         "op7_secret_scan": secret_scan.op7_secret_scan,
         "op8_quality_rules": quality.op8_quality_rules,
         "op9_exact_topk": topk.op9_exact_topk,
