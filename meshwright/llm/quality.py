@@ -88,12 +88,14 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def measure(docs: DataFrame) -> DataFrame:
+def measure(docs: DataFrame, whole_rows: bool = False) -> DataFrame:
     """Per-document counts: ``doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words``.
 
     A null text has no words and zero counts. A null source is a host of its own. Repeated rows
-    are measured each. Other columns of ``docs`` are not read.
+    are measured each. Other columns of ``docs`` are not read, or with ``whole_rows`` kept inside
+    the struct ``_row``, where no name can clash.
     """
+    row = [F.struct(*[docs[c] for c in docs.columns]).alias("_row")] if whole_rows else []
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     bare = F.regexp_replace("t", SPACES + "+", "")
     lines = lambda ls: F.size(ls) - F.size(F.array_distinct(ls))
@@ -103,6 +105,7 @@ def measure(docs: DataFrame) -> DataFrame:
             F.col("doc_id").cast("long").alias("doc_id"),
             F.col("source").cast("string").alias("host"),
             text.alias("t"),
+            *row,
         )
         .withColumn(
             "m",
@@ -120,6 +123,7 @@ def measure(docs: DataFrame) -> DataFrame:
             _let(spoken, lines).cast("long").alias("n_dup_lines"),
             F.size(spoken).cast("long").alias("n_lines"),
             "m.n_repeat_words",
+            *(["_row"] if whole_rows else []),
         )
     )
 
@@ -174,25 +178,36 @@ def host_rates(judged: DataFrame) -> DataFrame:
     )
 
 
+#: Rows of a host table that may be broadcast; a longer one is joined by shuffle.
+BROADCAST_HOSTS = 50_000
+
+
+def _with_hosts(judged: DataFrame, hosts: DataFrame) -> DataFrame:
+    """Join shrunk rates to documents and give the verdict."""
+    hosts = staged(hosts.select(F.col("host").alias("_host"), "rate"), "hosts")
+    if hosts.count() <= BROADCAST_HOSTS:
+        hosts = F.broadcast(hosts)
+    return (
+        judged.join(hosts, judged["host"].eqNullSafe(hosts["_host"]), "left")
+        .drop("_host")
+        .withColumn("strict_host", F.coalesce(F.col("rate") >= STRICT_RATE, F.lit(False)))
+        .withColumn("kept", ~F.col("base_failed") & ~(F.col("strict_host") & F.col("soft_failed")))
+    )
+
+
 def judge(docs: DataFrame) -> DataFrame:
     """Measured documents with ``base_failed, soft_failed, rate, strict_host, kept``.
 
     One row per row of ``docs``; an empty table gives an empty result.
     """
     judged = staged(verdicts(measure(docs)), "quality")
-    hosts = host_rates(judged)
-    return (
-        judged.join(hosts.select("host", "rate"), judged["host"].eqNullSafe(hosts["host"]), "left")
-        .drop(hosts["host"])
-        .withColumn("strict_host", F.coalesce(F.col("rate") >= STRICT_RATE, F.lit(False)))
-        .withColumn("kept", ~F.col("base_failed") & ~(F.col("strict_host") & F.col("soft_failed")))
-    )
+    return _with_hosts(judged, host_rates(judged))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, all columns unchanged."""
-    kept = judge(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept.withColumnRenamed("doc_id", "_kept"), docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
+    """The rows of ``docs`` that the rules keep, all columns unchanged; texts are not shuffled."""
+    hosts = host_rates(verdicts(measure(docs)))
+    return _with_hosts(verdicts(measure(docs, whole_rows=True)), hosts).filter("kept").select("_row.*")
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:

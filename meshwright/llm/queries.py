@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import block_dedup, html_extract, mixing, packing, quality, secret_scan, tokenfile, topk
+from . import block_dedup, html_extract, mixing, ngram_join, packing, quality, secret_scan, tokenfile, topk
 
 
 def queries() -> dict:
     return {
+        "op1_ngram_join": ngram_join.op1_ngram_join,
         "op2_html_extraction": html_extract.op2_html_extraction,
         "op3_packing": packing.op3_packing,
         "op4_token_files": tokenfile.op4_token_files,
