@@ -32,7 +32,7 @@ BUCKET_ENTRIES = 1 << 19
 #: Documents that one chunk row holds at most, so that a row number fits beside the chunk's.
 CHUNK_DOCS = 1 << 13
 
-CHUNK_SCHEMA = "chunk_id long, n_bytes long, doc_ids binary, ends binary, text binary"
+CHUNK_SCHEMA = "chunk_id long, n_bytes long, doc_ids binary, ends binary, flags binary, text binary"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -63,11 +63,12 @@ def release_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def text_rows(docs: DataFrame) -> DataFrame:
+def text_rows(docs: DataFrame, *more: str) -> DataFrame:
     """``doc_id long, text string``; a null text is empty. Other columns are not read."""
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+        *more,
     )
 
 
@@ -77,6 +78,7 @@ def text_rows(docs: DataFrame) -> DataFrame:
 def _pack_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     base, seq = TaskContext.get().partitionId() << 28, 0
     ids: list[int] = []
+    flags: list[bool] = []
     parts: list[bytes] = []
     size = 0
 
@@ -88,26 +90,32 @@ def _pack_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 "n_bytes": pa.array([size], pa.int64()),
                 "doc_ids": pa.array([np.array(ids, np.int64).tobytes()], pa.binary()),
                 "ends": pa.array([ends.tobytes()], pa.binary()),
+                "flags": pa.array([np.array(flags, np.uint8).tobytes()], pa.binary()),
                 "text": pa.array([b"".join(parts)], pa.binary()),
             }
         )
 
     for batch in batches:
-        doc_ids = batch.column("doc_id").fill_null(NULL_ID).to_pylist()
-        for doc_id, raw in zip(doc_ids, batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
+        columns = [batch.column("doc_id").fill_null(NULL_ID), batch.column("flag"), batch.column("text").cast(pa.binary())]
+        for doc_id, flag, raw in zip(*[c.to_pylist() for c in columns], strict=True):
             ids.append(doc_id)
+            flags.append(flag)
             parts.append(raw)
             size += len(raw)
             if size >= CHUNK_BYTES or len(ids) >= CHUNK_DOCS:
                 yield row()
-                ids, parts, size, seq = [], [], 0, seq + 1
+                ids, flags, parts, size, seq = [], [], [], 0, seq + 1
     if ids:
         yield row()
 
 
-def chunk_table(docs: DataFrame) -> DataFrame:
-    """Stage ``docs`` as rows of about four megabytes of text each, without a shuffle."""
-    return staged(text_rows(docs).mapInArrow(_pack_chunks, CHUNK_SCHEMA), "chunks")
+def chunk_table(docs: DataFrame, flag: str | None = None) -> DataFrame:
+    """Stage ``docs`` as rows of about four megabytes of text each, without a shuffle.
+
+    ``flag`` names a boolean column to keep for each document.
+    """
+    rows = text_rows(docs.withColumn("_flag", F.col(flag) if flag else F.lit(False)), "_flag")
+    return staged(rows.withColumnRenamed("_flag", "flag").mapInArrow(_pack_chunks, CHUNK_SCHEMA), "chunks")
 
 
 class Chunk:

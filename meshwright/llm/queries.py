@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import block_dedup, html_extract, mixing, ngram_join, packing, quality, secret_scan, tokenfile, topk
+from . import block_dedup, html_extract, mixing, ngram_join, packing, quality, secret_scan, suffix_dedup, tokenfile, topk
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_html_extraction": html_extract.op2_html_extraction,
         "op3_packing": packing.op3_packing,
         "op4_token_files": tokenfile.op4_token_files,
+        "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
         "op6_block_dedup": block_dedup.op6_block_dedup,
         "op7_secret_scan": secret_scan.op7_secret_scan,
         "op8_quality_rules": quality.op8_quality_rules,
