@@ -12,13 +12,16 @@ transpose - reaches the share of their union that the threshold asks for.
 4. Pairs whose sizes alone rule a link out are dropped; for the rest overlaps are
    accumulated block by block, dropping pairs whose count can no longer reach its bound.
 5. First every row is paired with one row per column, which joins near copies into
-   components without all their pairs; then rows of *different* components that share a column
-   are all paired. No link between components is lost, and no group is squared.
+   components without all their pairs. Rows that share a column with *another* component are then
+   keyed anew: their columns are dealt into so many parts that two linked rows must agree on one
+   whole part, and rows of different components that agree on a part are paired. A frequent column
+   alone pairs nothing there. No link between components is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +38,7 @@ from .common import (
     codes_of,
     entries,
     exchange,
+    mix,
     release_shuffles,
     rows_of,
     staged,
@@ -94,6 +98,42 @@ def links(overlap, a, b, percent: int = PERCENT):
     return 100 * overlap >= percent * (a + b - overlap)
 
 
+@lru_cache
+def size_classes(percent: int, most: int) -> tuple[int, ...]:
+    """Least sizes of classes: a row and a larger one that may link with it are in one class or in neighbours."""
+    least = [1, 2]
+    while least[-1] <= most:
+        least.append(max(least[-1] + 1, 100 * (least[-1] - 1) // percent + 1))
+    return tuple(least)
+
+
+def part_keys(grams: np.ndarray, rarity: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Keys of which two rows that link share one at least.
+
+    If a class has rows of at most n columns, linked rows that meet there differ in at most
+    d = n * (100 - percent) / percent columns. These are dealt into more than d parts, so one part is equal
+    in both; with e parts empty in a row it has at most d that aren't equal to the other's among the
+    rest, so its d + 1 rarest hold one. A row with too many empty parts also sends their keys.
+    """
+    out = []
+    least = size_classes(percent, 1 << max(len(grams), 1).bit_length())
+    own = int(np.searchsorted(least, len(grams), "right")) - 1
+    spread = mix(grams)
+    for c in {max(own - 1, 0), own}:
+        d = (least[c + 1] - 1) * (100 - percent) // percent
+        parts = d + d // 2 + 3
+        part = (spread >> np.uint64(20)) % np.uint64(parts)
+        order = np.argsort(part, kind="stable")
+        p, first = np.unique(part[order], return_index=True)
+        name = mix((np.uint64(c) << np.uint64(32)) + p)
+        key = mix(np.add.reduceat(spread[order], first) + name)
+        rarest = np.minimum.reduceat(rarity[order], first)
+        out.append(key[np.lexsort((key, p, rarest))[: d + 1]])
+        if len(p) <= d:
+            out.append(mix((np.uint64(c) << np.uint64(32)) + np.setdiff1d(np.arange(parts, dtype=np.uint64), p)))
+    return np.unique(np.concatenate(out))
+
+
 def block_product(left: list[np.ndarray], right: list[np.ndarray], pairs: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Overlaps of the wanted (left, right) pairs of two blocks of rows; -1 where a bound rules the pair out.
 
@@ -236,15 +276,27 @@ def similar_documents(docs: DataFrame, width: int = WORDS, percent: int = PERCEN
     edges = verified(stars)
     found = components(nodes, edges)
 
-    # All pairs of rows in different components that share a first column.
-    named = staged(firsts.join(found.withColumnRenamed("node", "row"), "row").select("gram", "row", "n", "label"), "named")
-    held = named.select("gram", "label").distinct()
-    mixed = held.groupBy("gram").count().filter("count > 1").select("gram")
-    held = staged(held.join(mixed, "gram"), "mixed")
-    crossing = held.select("gram", F.col("label").alias("one")).join(held.select("gram", F.col("label").alias("other")), "gram").filter("one < other")
+    # Rows that share a first column with another component, by the parts of their columns.
+    named = staged(firsts.select("gram", "row").join(found.withColumnRenamed("node", "row"), "row"), "named")
+    shared = named.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+    near = named.join(shared, "gram", "left_semi").select("row", "label").distinct()
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [part_keys(np.frombuffer(g, np.uint64), np.frombuffer(r, np.uint8), percent) for g, r in zip(batch.column("grams").to_pylist(), batch.column("rarity").to_pylist(), strict=True)]
+            at = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
+            flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("row").take(at), batch.column("n").take(at), pa.array(flat)], ["row", "n", "key"])
+
+    keyed = staged(matrix.join(near.select("row"), "row", "left_semi").select("row", "n", "grams", "rarity").mapInArrow(parts, "row long, n long, key long"), "parts")
+    keyed = staged(keyed.join(near, "row"), "keyed")
+    held = keyed.select("key", "label").distinct()
+    mixed = keyed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
+    held = staged(held.join(mixed, "key", "left_semi"), "mixed")
+    crossing = held.select("key", F.col("label").alias("one")).join(held.select("key", F.col("label").alias("other")), "key").filter("one < other")
     pairs = (
-        crossing.join(named.select("gram", F.col("label").alias("one"), F.col("row").alias("a"), F.col("n").alias("na")), ["gram", "one"])
-        .join(named.select("gram", F.col("label").alias("other"), F.col("row").alias("b"), F.col("n").alias("nb")), ["gram", "other"])
+        crossing.join(keyed.select("key", F.col("label").alias("one"), F.col("row").alias("a"), F.col("n").alias("na")), ["key", "one"])
+        .join(keyed.select("key", F.col("label").alias("other"), F.col("row").alias("b"), F.col("n").alias("nb")), ["key", "other"])
         .filter(may_link(F.col("na"), F.col("nb")))
         .select("a", "b")
         .distinct()
