@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from .common import (
     ENTRY_SCHEMA,
     Chunk,
+    answered,
     bucket_count,
     chunk_table,
     codes_of,
@@ -141,7 +142,7 @@ def dedup_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     anchors = staged(exchange(chunks.mapInArrow(index, ENTRY_SCHEMA), "u1", _anchored, bits=48), "anchors")
     release_shuffles(spark)
-    anchored = chunks.join(anchors, "chunk_id", "left")
+    anchored = answered(chunks, anchors)
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
@@ -151,7 +152,7 @@ def dedup_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     verdicts = staged(exchange(anchored.mapInArrow(full, ENTRY_SCHEMA), "i8", smaller_elsewhere), "verdicts")
     release_shuffles(spark)
-    judged = chunks.join(anchors, "chunk_id", "left").join(verdicts.withColumnRenamed("answers", "verdicts"), "chunk_id", "left")
+    judged = answered(anchored, verdicts, "verdicts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):

@@ -110,12 +110,23 @@ def _pack_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def chunk_table(docs: DataFrame, flag: str | None = None) -> DataFrame:
-    """Stage ``docs`` as rows of about four megabytes of text each, without a shuffle.
+    """Write ``docs`` as rows of about four megabytes of text each, without a shuffle.
 
+    The table is bucketed by chunk, so that answers are joined to it without moving texts again.
     ``flag`` names a boolean column to keep for each document.
     """
+    spark = docs.sparkSession
     rows = text_rows(docs.withColumn("_flag", F.col(flag) if flag else F.lit(False)), "_flag")
-    return staged(rows.withColumnRenamed("_flag", "flag").mapInArrow(_pack_chunks, CHUNK_SCHEMA), "chunks")
+    name = f"chunks_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    packed = rows.withColumnRenamed("_flag", "flag").mapInArrow(_pack_chunks, CHUNK_SCHEMA)
+    packed.write.format("parquet").option("compression", "zstd").bucketBy(buckets, "chunk_id").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
+def answered(chunks: DataFrame, answers: DataFrame, name: str = "answers") -> DataFrame:
+    """Chunks with the answers of an exchange beside them; only the answers move."""
+    return chunks.join(answers.withColumnRenamed("answers", name).hint("shuffle_hash"), "chunk_id", "left")
 
 
 class Chunk:

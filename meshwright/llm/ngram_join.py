@@ -11,17 +11,15 @@ transpose - reaches the share of their union that the threshold asks for.
    first few of each (the bound follows from the row's size), so only these are matched.
 4. Pairs whose sizes alone rule a link out are dropped; for the rest overlaps are
    accumulated block by block, dropping pairs whose count can no longer reach its bound.
-5. First every row is paired with one row per column, which joins near copies into
-   components without all their pairs. Rows that share a column with *another* component are then
-   keyed anew: their columns are dealt into so many parts that two linked rows must agree on one
-   whole part, and rows of different components that agree on a part are paired. A frequent column
-   alone pairs nothing there. No link between components is lost.
+5. First every row is paired with one row per column, in rounds with another row each, which joins
+   near copies into components without all their pairs. Rows of *different* components that share a
+   column are then paired, once, at the first column they share, if the columns from there on can hold
+   the overlap that their sizes ask for. No link between components is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +31,12 @@ from .common import (
     ENTRY_SCHEMA,
     NULL_ID,
     Chunk,
+    answered,
     bucket_count,
     chunk_table,
     codes_of,
     entries,
     exchange,
-    mix,
     release_shuffles,
     rows_of,
     staged,
@@ -98,42 +96,6 @@ def links(overlap, a, b, percent: int = PERCENT):
     return 100 * overlap >= percent * (a + b - overlap)
 
 
-@lru_cache
-def size_classes(percent: int, most: int) -> tuple[int, ...]:
-    """Least sizes of classes: a row and a larger one that may link with it are in one class or in neighbours."""
-    least = [1, 2]
-    while least[-1] <= most:
-        least.append(max(least[-1] + 1, 100 * (least[-1] - 1) // percent + 1))
-    return tuple(least)
-
-
-def part_keys(grams: np.ndarray, rarity: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Keys of which two rows that link share one at least.
-
-    If a class has rows of at most n columns, linked rows that meet there differ in at most
-    d = n * (100 - percent) / percent columns. These are dealt into more than d parts, so one part is equal
-    in both; with e parts empty in a row it has at most d that aren't equal to the other's among the
-    rest, so its d + 1 rarest hold one. A row with too many empty parts also sends their keys.
-    """
-    out = []
-    least = size_classes(percent, 1 << max(len(grams), 1).bit_length())
-    own = int(np.searchsorted(least, len(grams), "right")) - 1
-    spread = mix(grams)
-    for c in {max(own - 1, 0), own}:
-        d = (least[c + 1] - 1) * (100 - percent) // percent
-        parts = d + d // 2 + 3
-        part = (spread >> np.uint64(20)) % np.uint64(parts)
-        order = np.argsort(part, kind="stable")
-        p, first = np.unique(part[order], return_index=True)
-        name = mix((np.uint64(c) << np.uint64(32)) + p)
-        key = mix(np.add.reduceat(spread[order], first) + name)
-        rarest = np.minimum.reduceat(rarity[order], first)
-        out.append(key[np.lexsort((key, p, rarest))[: d + 1]])
-        if len(p) <= d:
-            out.append(mix((np.uint64(c) << np.uint64(32)) + np.setdiff1d(np.arange(parts, dtype=np.uint64), p)))
-    return np.unique(np.concatenate(out))
-
-
 def block_product(left: list[np.ndarray], right: list[np.ndarray], pairs: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Overlaps of the wanted (left, right) pairs of two blocks of rows; -1 where a bound rules the pair out.
 
@@ -229,7 +191,7 @@ def similar_documents(docs: DataFrame, width: int = WORDS, percent: int = PERCEN
                 }
             )
 
-    every = staged(chunks.join(rarity, "chunk_id", "left").mapInArrow(rows, ROWS), "rows")
+    every = staged(answered(chunks, rarity).mapInArrow(rows, ROWS), "rows")
     release_shuffles(spark)
 
     # Equal rows become one.
@@ -243,19 +205,21 @@ def similar_documents(docs: DataFrame, width: int = WORDS, percent: int = PERCEN
     # The first columns of each row, rarest first: a linked row holds one of them among its own first columns.
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out_row, out_n, out_gram = [], [], []
+            out_row, out_n, out_gram, out_place = [], [], [], []
             for row, n, grams, rare in zip(*[batch.column(c).to_pylist() for c in ("row", "n", "grams", "rarity")], strict=True):
                 h, r = np.frombuffer(grams, np.uint64), np.frombuffer(rare, np.uint8)
                 few = n - -(-percent * n // 100) + 1
                 first = np.lexsort((h, r))[:few]
-                first = first[r[first] > 0]
+                place = np.flatnonzero(r[first] > 0)
+                first = first[place]
+                out_place.append(place)
                 out_row.append(np.full(len(first), row))
                 out_n.append(np.full(len(first), n))
                 out_gram.append(h[first].view(np.int64))
             cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_pydict({"row": cat(out_row), "n": cat(out_n), "gram": cat(out_gram)})
+            yield pa.RecordBatch.from_pydict({"row": cat(out_row), "n": cat(out_n), "gram": cat(out_gram), "place": cat(out_place)})
 
-    firsts = staged(matrix.select("row", "n", "grams", "rarity").mapInArrow(prefix, "row long, n long, gram long"), "prefixes")
+    firsts = staged(matrix.select("row", "n", "grams", "rarity").mapInArrow(prefix, "row long, n long, gram long, place long"), "prefixes")
     may_link = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
     sets = matrix.select("row", "grams")
@@ -265,45 +229,47 @@ def similar_documents(docs: DataFrame, width: int = WORDS, percent: int = PERCEN
         right = sets.withColumnsRenamed({"row": "b", "grams": "grams_b"})
         return staged(pairs.join(left, "a").join(right, "b").mapInArrow(lambda it: _overlaps(it, percent), EDGES), "edges")
 
-    # One partner per column: its smallest row.
-    heads = firsts.groupBy("gram").agg(F.min(F.struct("row", "n")).alias("head"), F.count(F.lit(1)).alias("held")).filter("held > 1")
-    stars = (
-        firsts.join(heads.select("gram", F.col("head.row").alias("b"), F.col("head.n").alias("m")), "gram")
-        .filter((F.col("row") != F.col("b")) & may_link(F.col("n"), F.col("m")))
-        .select(F.col("row").alias("a"), "b")
-        .distinct()
-    )
-    edges = verified(stars)
-    found = components(nodes, edges)
-
-    # Rows that share a first column with another component, by the parts of their columns.
-    named = staged(firsts.select("gram", "row").join(found.withColumnRenamed("node", "row"), "row"), "named")
-    shared = named.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-    near = named.join(shared, "gram", "left_semi").select("row", "label").distinct()
-
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = [part_keys(np.frombuffer(g, np.uint64), np.frombuffer(r, np.uint8), percent) for g, r in zip(batch.column("grams").to_pylist(), batch.column("rarity").to_pylist(), strict=True)]
-            at = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
-            flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("row").take(at), batch.column("n").take(at), pa.array(flat)], ["row", "n", "key"])
-
-    keyed = staged(matrix.join(near.select("row"), "row", "left_semi").select("row", "n", "grams", "rarity").mapInArrow(parts, "row long, n long, key long"), "parts")
-    keyed = staged(keyed.join(near, "row"), "keyed")
-    held = keyed.select("key", "label").distinct()
-    mixed = keyed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-    held = staged(held.join(mixed, "key", "left_semi"), "mixed")
-    crossing = held.select("key", F.col("label").alias("one")).join(held.select("key", F.col("label").alias("other")), "key").filter("one < other")
+    # One partner per column and round, another one each time: near copies grow together without all their pairs.
+    named = firsts.join(nodes.select(F.col("node").alias("row"), "label"), "row").select("gram", "row", "n", "place", "label")
+    held = named.groupBy("gram").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
+    named = staged(named.join(held.select("gram"), "gram", "left_semi"), "named")
+    edges, found, turn, left = None, None, 0, None
+    while True:
+        heads = named.groupBy("gram").agg(F.min(F.struct(F.xxhash64("row", F.lit(turn)).alias("order"), "row", "n", "label")).alias("head"))
+        stars = (
+            named.join(heads, "gram")
+            .filter((F.col("label") != F.col("head.label")) & may_link(F.col("n"), F.col("head.n")))
+            .select(F.col("row").alias("a"), F.col("head.row").alias("b"))
+            .distinct()
+        )
+        new = verified(stars)
+        edges = new if edges is None else edges.unionByName(new)
+        found = components(nodes, edges)
+        named = named.drop("label").join(found.withColumnRenamed("node", "row"), "row")
+        torn = named.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+        named = staged(named.join(torn, "gram", "left_semi").select("gram", "row", "n", "place", "label"), "named")
+        before, left, turn = left, named.select("label").distinct().count(), turn + 1
+        # A round that joins under a tenth of what is apart is the last one.
+        if not left or (before is not None and 10 * left > 9 * before):
+            break
+
+    # Rows of different components that share a first column: the pair is made at the first one both have,
+    # and only if the columns from there on can hold the overlap it needs.
+    hot = named.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "gram"))), lambda x: x["gram"]).alias("hot"))
+    sides = staged(named.join(hot, "row"), "sides")
+    one, other = (sides.select(*[F.col(c).alias(c + k) if c != "gram" else F.col(c) for c in sides.columns]) for k in ("_a", "_b"))
+    need = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100 + percent))
     pairs = (
-        crossing.join(keyed.select("key", F.col("label").alias("one"), F.col("row").alias("a"), F.col("n").alias("na")), ["key", "one"])
-        .join(keyed.select("key", F.col("label").alias("other"), F.col("row").alias("b"), F.col("n").alias("nb")), ["key", "other"])
-        .filter(may_link(F.col("na"), F.col("nb")))
-        .select("a", "b")
-        .distinct()
+        one.join(other, "gram")
+        .filter((F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("row_a") > F.col("row_b"))))
+        .filter((F.col("label_a") != F.col("label_b")) & may_link(F.col("n_a"), F.col("n_b")))
+        .filter(F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) >= need)
+        .filter(F.get(F.array_intersect("hot_a", "hot_b"), F.lit(0)) == F.col("gram"))
+        .select(F.col("row_a").alias("a"), F.col("row_b").alias("b"))
     )
     more = verified(pairs)
     if more.limit(1).count():
-        found = components(nodes, edges.union(more))
+        found = components(nodes, edges.unionByName(more))
     release_shuffles(spark)
 
     members = signed.join(twins, "sign").join(found.withColumnRenamed("label", "component"), F.col("twin") == F.col("node"))

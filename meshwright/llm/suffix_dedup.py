@@ -28,6 +28,7 @@ from .block_dedup import Grouped
 from .common import (
     ENTRY_SCHEMA,
     Chunk,
+    answered,
     bucket_count,
     bucket_of,
     byte_values,
@@ -315,7 +316,7 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     anchors = staged(exchange(chunks.mapInArrow(index, ENTRY_SCHEMA), "u1", _held, bits=48), "anchors")
     release_shuffles(spark)
-    anchored = chunks.join(anchors, "chunk_id", "left")
+    anchored = answered(chunks, anchors)
     passes = []
     for p in range(PASSES):
 
@@ -331,7 +332,7 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         release_shuffles(spark)
     judged = anchored
     for verdict in passes:
-        judged = judged.join(verdict, "chunk_id", "left")
+        judged = judged.join(verdict.hint("shuffle_hash"), "chunk_id", "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
