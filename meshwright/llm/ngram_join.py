@@ -205,8 +205,8 @@ def similar_documents(docs: DataFrame, width: int = WORDS, percent: int = PERCEN
     # The first columns of each row, rarest first: a linked row holds one of them among its own first columns.
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out_row, out_n, out_gram, out_place = [], [], [], []
-            for row, n, grams, rare in zip(*[batch.column(c).to_pylist() for c in ("row", "n", "grams", "rarity")], strict=True):
+            out_row, out_doc, out_n, out_gram, out_place = [], [], [], [], []
+            for row, doc_id, n, grams, rare in zip(*[batch.column(c).to_pylist() for c in ("row", "doc_id", "n", "grams", "rarity")], strict=True):
                 h, r = np.frombuffer(grams, np.uint64), np.frombuffer(rare, np.uint8)
                 few = n - -(-percent * n // 100) + 1
                 first = np.lexsort((h, r))[:few]
@@ -214,12 +214,13 @@ def similar_documents(docs: DataFrame, width: int = WORDS, percent: int = PERCEN
                 first = first[place]
                 out_place.append(place)
                 out_row.append(np.full(len(first), row))
+                out_doc.append(np.full(len(first), doc_id))
                 out_n.append(np.full(len(first), n))
                 out_gram.append(h[first].view(np.int64))
             cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_pydict({"row": cat(out_row), "n": cat(out_n), "gram": cat(out_gram), "place": cat(out_place)})
+            yield pa.RecordBatch.from_pydict({"row": cat(out_row), "doc_id": cat(out_doc), "n": cat(out_n), "gram": cat(out_gram), "place": cat(out_place)})
 
-    firsts = staged(matrix.select("row", "n", "grams", "rarity").mapInArrow(prefix, "row long, n long, gram long, place long"), "prefixes")
+    firsts = staged(matrix.select("row", "doc_id", "n", "grams", "rarity").mapInArrow(prefix, "row long, doc_id long, n long, gram long, place long"), "prefixes")
     may_link = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
     sets = matrix.select("row", "grams")
@@ -230,7 +231,7 @@ def similar_documents(docs: DataFrame, width: int = WORDS, percent: int = PERCEN
         return staged(pairs.join(left, "a").join(right, "b").mapInArrow(lambda it: _overlaps(it, percent), EDGES), "edges")
 
     # One partner per column and round, another one each time: near copies grow together without all their pairs.
-    named = firsts.join(nodes.select(F.col("node").alias("row"), "label"), "row").select("gram", "row", "n", "place", "label")
+    named = firsts.select("gram", "row", "n", "place", F.struct(F.col("doc_id").alias("label"), F.col("row").alias("twin")).alias("label"))
     held = named.groupBy("gram").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
     named = staged(named.join(held.select("gram"), "gram", "left_semi"), "named")
     edges, found, turn, left = None, None, 0, None
@@ -254,7 +255,8 @@ def similar_documents(docs: DataFrame, width: int = WORDS, percent: int = PERCEN
             break
 
     # Rows of different components that share a first column: the pair is made at the first one both have,
-    # and only if the columns from there on can hold the overlap it needs.
+    # and only if the columns from there on can hold the overlap it needs. Columns that both have lie among the first
+    # ones of both, or beyond the first ones of the row whose first ones end earlier, so their number is bounded.
     hot = named.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "gram"))), lambda x: x["gram"]).alias("hot"))
     sides = staged(named.join(hot, "row"), "sides")
     one, other = (sides.select(*[F.col(c).alias(c + k) if c != "gram" else F.col(c) for c in sides.columns]) for k in ("_a", "_b"))
@@ -265,6 +267,7 @@ def similar_documents(docs: DataFrame, width: int = WORDS, percent: int = PERCEN
         .filter((F.col("label_a") != F.col("label_b")) & may_link(F.col("n_a"), F.col("n_b")))
         .filter(F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) >= need)
         .filter(F.get(F.array_intersect("hot_a", "hot_b"), F.lit(0)) == F.col("gram"))
+        .filter(F.size(F.array_intersect("hot_a", "hot_b")) + F.ceil(percent * F.greatest("n_a", "n_b") / 100) - 1 >= need)
         .select(F.col("row_a").alias("a"), F.col("row_b").alias("b"))
     )
     more = verified(pairs)

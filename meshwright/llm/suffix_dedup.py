@@ -47,7 +47,7 @@ from .common import (
 LENGTH = 50
 #: Leading bytes of a suffix that are sent, and all bytes of its key (the rest is fingerprint).
 LEAD, KEY = 10, 16
-PASSES = 4
+PASSES = 3
 
 RUN_SCHEMA = "bucket long, chunk_id long, shared binary, tails binary, payload binary"
 ANSWER_SCHEMA = "bucket long, chunk_id long, codes binary"
