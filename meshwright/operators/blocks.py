@@ -134,11 +134,8 @@ def lost_below(edges: DataFrame, roots: DataFrame, weights: DataFrame) -> DataFr
     ``roots`` are first joined to one virtual root (node -1), so that what two roots both feed is not lost.
     ``weights`` has ``node, weight``; nodes that no root reaches are left out.
     """
-    fed = roots.select("node").distinct()
-    top = edges.agg(F.max("eid").alias("most"))
-    virtual = fed.crossJoin(F.broadcast(top)).select(  # one row on the right
-        (F.coalesce("most", F.lit(0)) + 1 + F.xxhash64("node").bitwiseAND(F.lit((1 << 40) - 1))).alias("eid"), F.lit(-1).cast("long").alias("a"), F.col("node").alias("b")
-    )
+    # Virtual edges have negative numbers, which no given edge has.
+    virtual = roots.select("node").distinct().select((-1 - 2 * F.abs("node") - (F.col("node") < 0).cast("long")).alias("eid"), F.lit(-1).cast("long").alias("a"), F.col("node").alias("b"))
     whole = staged(edges.select("eid", "a", "b").unionByName(virtual), "rooted")
     root = edges.sparkSession.createDataFrame([(-1,)], "node long")
     tree = numbered(whole, root)

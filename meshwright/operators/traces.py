@@ -137,7 +137,7 @@ def upstream_all(net: Network, starts: DataFrame, walls: DataFrame | None = None
     sources = staged(net.having(SOURCE).join(reached, "node", "left_semi"), "sources")
 
     def tied(nodes: DataFrame, virtual: int) -> DataFrame:
-        return nodes.select((F.lit(virtual).cast("long") * F.lit(1 << 45) - F.xxhash64("node").bitwiseAND(F.lit((1 << 44) - 1))).alias("eid"), F.lit(virtual).cast("long").alias("a"), F.col("node").alias("b"))
+        return nodes.select((-2 * F.col("node") - 2 + virtual).alias("eid"), F.lit(virtual).cast("long").alias("a"), F.col("node").alias("b"))
 
     closing = edges.sparkSession.createDataFrame([(-1, -1, -2)], "eid long, a long, b long")
     whole = staged(edges.unionByName(tied(starts.join(reached, "node", "left_semi"), -1)).unionByName(tied(sources, -2)).unionByName(closing), "closed")
@@ -181,7 +181,7 @@ def subnetworks(net: Network, controllers: DataFrame) -> DataFrame:
         hops += 1
         if hops > 1:
             front = front.join(walls, front["node"] == walls["wall"], "left_anti")
-        step = front.join(F.broadcast(tiers) if hops == 0 else tiers, "controller").join(edges, F.col("node") == F.col("src"))
+        step = front.join(tiers, "controller").join(edges, F.col("node") == F.col("src"))
         step = step.filter("own_tier is null or tier is null or own_tier = tier").select("controller", F.col("dst").alias("node")).distinct()
         front = staged(step.join(seen.select("controller", "node"), ["controller", "node"], "left_anti").withColumn("hops", F.lit(hops)), "fed")
         seen = seen.unionByName(front)
@@ -223,7 +223,7 @@ def criticality(net: Network) -> DataFrame:
     ends = flags.join(of_line.select("eid", "segment"), "eid")
     meets = ends.filter("stop_a").select(F.col("a").alias("valve"), "segment").union(ends.filter("stop_b").select(F.col("b").alias("valve"), "segment")).distinct()
     meets = meets.join(valves.withColumnRenamed("node", "valve"), "valve", "left_semi")
-    joints = meets.select((-(F.lit(1 << 50)) - F.col("valve")).alias("a"), F.col("segment").alias("b"))
+    joints = meets.select((-(F.lit(1 << 61)) - F.col("valve")).alias("a"), F.col("segment").alias("b"))
     edges = joints.withColumn("eid", F.xxhash64("a", "b").bitwiseAND(F.lit((1 << 60) - 1)))
     weights = segment.join(net.having(CUSTOMER), "node", "left_semi").groupBy("segment").agg(F.count(F.lit(1)).alias("weight")).withColumnRenamed("segment", "node")
     roots = segment.join(net.having(SOURCE), "node", "left_semi").select(F.col("segment").alias("node")).distinct()

@@ -203,14 +203,13 @@ _SMALL = "both_ways AS (SELECT a AS src, b AS dst FROM kept UNION ALL SELECT b,
 _KEPT = "kept AS (SELECT * FROM lines WHERE lifecycle NOT IN (2, 4) AND NOT coalesce(size < 30, FALSE)),"
 _FLOW = "both_ways AS (SELECT CASE WHEN reverse THEN b ELSE a END AS src, CASE WHEN reverse THEN a ELSE b END AS dst FROM lines)"
 _AGAINST = "both_ways AS (SELECT CASE WHEN reverse THEN a ELSE b END AS src, CASE WHEN reverse THEN b ELSE a END AS dst FROM lines)"
-_HOPS = "SELECT node, min(hops) AS hops FROM steps GROUP BY node"
 
 
 def hops_sql(start: str, walls: str | None, both: str, rounds: int = 12) -> str:
     beyond = "" if walls is None else f"AND (h.node NOT IN (SELECT node FROM walls) OR h.hops = 0)"
-    levels = ["h0 AS (SELECT node, 0 AS hops FROM starts)"]
+    levels = ["h0 AS MATERIALIZED (SELECT node, 0 AS hops FROM starts)"]
     for k in range(1, rounds + 1):
-        levels.append(f"h{k} AS (SELECT node, min(hops) AS hops FROM (SELECT * FROM h{k - 1} UNION ALL SELECT dst, h.hops + 1 FROM h{k - 1} h JOIN both_ways ON src = h.node WHERE TRUE {beyond}) GROUP BY node)")
+        levels.append(f"h{k} AS MATERIALIZED (SELECT node, min(hops) AS hops FROM (SELECT * FROM h{k - 1} UNION ALL SELECT dst, h.hops + 1 FROM h{k - 1} h JOIN both_ways ON src = h.node WHERE TRUE {beyond}) GROUP BY node)")
     return f"""WITH RECURSIVE {nv.VIEW_SQL}, starts AS ({start}), walls AS ({walls or "SELECT node FROM points WHERE FALSE"}), {both}, {", ".join(levels)}
     SELECT node, hops FROM h{rounds}"""
 

@@ -117,7 +117,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same two tables in SQL, for the oracles: ``points`` and ``lines`` as common table expressions.
 VIEW_SQL = f"""
-points AS (
+points AS MATERIALIZED (
   SELECT {STRIDE} + r_regionkey AS node, 'Source' AS class, CAST(r_regionkey AS BIGINT) AS fid, 1 AS ag, 1 AS at, FALSE AS closed, r_name AS assetid, 3 AS lifecycle,
          NULL::DOUBLE AS balance, NULL AS segment, NULL::DOUBLE AS psize, NULL AS brand FROM region
   UNION ALL SELECT {2 * STRIDE} + n_nationkey, 'Valve', n_nationkey, 2, n_regionkey + 1, n_nationkey % 7 = 0, n_name, 3, NULL, NULL, NULL, NULL FROM nation
@@ -125,17 +125,17 @@ points AS (
   UNION ALL SELECT {4 * STRIDE} + c_custkey, 'Meter', c_custkey, 4, 1, FALSE, c_name, CASE WHEN c_acctbal < 0 THEN 4 ELSE 3 END, c_acctbal, c_mktsegment, NULL, NULL FROM customer
   UNION ALL SELECT {5 * STRIDE} + p_partkey, 'Joint', p_partkey, 5, p_size % 5 + 1, FALSE, p_name, 3, NULL, NULL, p_size, p_brand FROM part
 ),
-places AS (
+places AS MATERIALIZED (
   SELECT node, class, fid, CAST((fid % {ROW}) * 10 AS DOUBLE) AS x,
          CAST((fid // {ROW}) * 10 + CAST((node // {STRIDE} - 1) AS BIGINT) * {STRIP} AS DOUBLE) AS y FROM points
 ),
-bare AS (
+bare AS MATERIALIZED (
   SELECT 'Trunk' AS class, CAST(n_nationkey AS BIGINT) AS fid, {STRIDE} + n_regionkey AS a, {2 * STRIDE} + n_nationkey AS b, 1 AS ag, 600.0::DOUBLE AS size, 3 AS lifecycle, 'Transmission' AS tier, 1980 AS built FROM nation
   UNION ALL SELECT 'Feeder', s_suppkey, {2 * STRIDE} + s_nationkey, {3 * STRIDE} + s_suppkey, 2, s_suppkey % 7 * 50 + 100, 3, 'Distribution', s_suppkey % 40 + 1980 FROM supplier
   UNION ALL SELECT 'Service', c_custkey, {2 * STRIDE} + c_nationkey, {4 * STRIDE} + c_custkey, 3, 25, CASE WHEN c_custkey % 13 = 0 THEN 4 ELSE 3 END, NULL, NULL FROM customer
   UNION ALL SELECT 'Mesh', l_suppkey * {PAIR} + l_partkey, {3 * STRIDE} + l_suppkey, {5 * STRIDE} + l_partkey, 4, max(l_quantity), CASE WHEN min(l_linestatus) = 'O' THEN 2 ELSE 3 END, NULL, year(min(l_shipdate)) FROM lineitem GROUP BY l_suppkey, l_partkey
 ),
-lines AS (
+lines AS MATERIALIZED (
   SELECT bare.*, bare.fid % 11 = 0 AS reverse, sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2) AS length
   FROM bare JOIN places p ON p.node = a JOIN places q ON q.node = b
 )
