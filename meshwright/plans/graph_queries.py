@@ -32,7 +32,7 @@ def net_nodes(spark, sf_dir):
 
 
 def net_edges(spark, sf_dir):
-    return nv.lines(spark, sf_dir).select("class", "fid", "a", "b", F.round("length", 6).alias("length"))
+    return nv.lines(spark, sf_dir).select("class", "fid", "a", "b", F.round("length", 3).alias("length"))
 
 
 def adjacency(spark, sf_dir):
@@ -76,7 +76,7 @@ def trace_upstream_gravity(spark, sf_dir):
 
 def source_distance(spark, sf_dir):
     net = network(spark, sf_dir)
-    return traces.source_tree(net, net.closed()).select("node", F.round("dist", 4).alias("dist"))
+    return traces.source_tree(net, net.closed()).select("node", F.round("dist", 3).alias("dist"))
 
 
 def trace_downstream(spark, sf_dir):
@@ -91,12 +91,12 @@ def trace_upstream(spark, sf_dir):
 def shortest_path_length(spark, sf_dir):
     net = network(spark, sf_dir)
     way = traces.shortest_path(net, _at(spark, "Meter", 1), net.having(traces.SOURCE))
-    return way.agg(F.round(F.max("dist"), 4).alias("dist"))
+    return way.agg(F.round(F.max("dist"), 3).alias("dist"))
 
 
 def shortest_path(spark, sf_dir):
     net = network(spark, sf_dir)
-    return traces.shortest_path(net, _at(spark, "Meter", 1), net.having(traces.SOURCE)).select("node", F.round("dist", 4).alias("dist"))
+    return traces.shortest_path(net, _at(spark, "Meter", 1), net.having(traces.SOURCE)).select("node", F.round("dist", 3).alias("dist"))
 
 
 def isolation_valves(spark, sf_dir):
@@ -254,7 +254,7 @@ def _isolation(start: str, body: str) -> str:
 
 QUERIES = {
     "net_nodes": (net_nodes, f"WITH {nv.VIEW_SQL} SELECT node, class, fid, x, y FROM places"),
-    "net_edges": (net_edges, f"WITH {nv.VIEW_SQL} SELECT class, fid, a, b, round(length, 6) AS length FROM lines"),
+    "net_edges": (net_edges, f"WITH {nv.VIEW_SQL} SELECT class, fid, a, b, round(length, 3) AS length FROM lines"),
     "adjacency": (adjacency, f"WITH {nv.VIEW_SQL}, {_BOTH} SELECT src AS node, count(*) AS degree, count(DISTINCT dst) AS neighbours FROM both_ways GROUP BY src"),
     "trace_connected": (trace_connected, reach_sql(node_sql("Source", 0), None, _FEATURES)),
     "trace_connected_barriers": (trace_connected_barriers, reach_sql(node_sql("Source", 0), _CLOSED, _FEATURES)),
@@ -265,11 +265,11 @@ QUERIES = {
     ),
     "trace_output_groups": (
         trace_output_groups,
-        reach_sql(node_sql("Source", 2), _CLOSED, _FEATURES.replace("JOIN reach USING (node)", "JOIN reach USING (node) WHERE ag = 4 OR (ag = 5 AND at = 2)").replace("WHERE a IN", "WHERE ag = 4 AND (a IN") + ")"),
+        reach_sql(node_sql("Source", 2), _CLOSED, _FEATURES.replace("JOIN reach USING (node)", 'JOIN reach USING (node) WHERE ag = 4 OR (ag = 5 AND "at" = 2)').replace("WHERE a IN", "WHERE ag = 4 AND (a IN") + ")"),
     ),
     "trace_downstream_gravity": (trace_downstream_gravity, hops_sql(node_sql("Source", 0), _CLOSED, _FLOW)),
     "trace_upstream_gravity": (trace_upstream_gravity, hops_sql(node_sql("Station", 1), None, _AGAINST)),
-    "source_distance": (source_distance, distance_sql(_SOURCES, _CLOSED, "SELECT node, round(dist, 4) AS dist FROM d")),
+    "source_distance": (source_distance, distance_sql(_SOURCES, _CLOSED, "SELECT node, round(dist, 3) AS dist FROM d")),
     "trace_downstream": (
         trace_downstream,
         distance_sql(_SOURCES, _CLOSED, f", {_PARENTS}, below AS ({node_sql('Valve', 1)} UNION SELECT p.node FROM below JOIN parents p ON p.parent = below.node) SELECT node FROM below"),
@@ -278,12 +278,12 @@ QUERIES = {
         trace_upstream,
         distance_sql(_SOURCES, _NONE, f", {_PARENTS}, up AS ({node_sql('Meter', 1)} UNION SELECT p.parent FROM up JOIN parents p USING (node)) SELECT node FROM up"),
     ),
-    "shortest_path_length": (shortest_path_length, distance_sql(node_sql("Meter", 1), _NONE, f"SELECT round(min(dist), 4) AS dist FROM d WHERE node IN ({_SOURCES})")),
+    "shortest_path_length": (shortest_path_length, distance_sql(node_sql("Meter", 1), _NONE, f"SELECT round(min(dist), 3) AS dist FROM d WHERE node IN ({_SOURCES})")),
     "shortest_path": (
         shortest_path,
         distance_sql(
             node_sql("Meter", 1), _NONE,
-            f", {_PARENTS}, up AS ((SELECT node FROM d WHERE node IN ({_SOURCES}) ORDER BY dist, node LIMIT 1) UNION SELECT p.parent FROM up JOIN parents p USING (node)) SELECT node, round(dist, 4) AS dist FROM up JOIN d USING (node)",
+            f", {_PARENTS}, up AS ((SELECT node FROM d WHERE node IN ({_SOURCES}) ORDER BY dist, node LIMIT 1) UNION SELECT p.parent FROM up JOIN parents p USING (node)) SELECT node, round(dist, 3) AS dist FROM up JOIN d USING (node)",
         ),
     ),
     "isolation_valves": (isolation_valves, _isolation(node_sql("Station", 1), "SELECT node FROM to_close")),

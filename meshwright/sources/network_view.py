@@ -30,7 +30,7 @@ LINE_CLASSES = ("Trunk", "Feeder", "Service", "Mesh")
 #: A line's number within class Mesh: supplier times this, plus part.
 PAIR = 10**9
 #: Points on one row of the lattice, and the distance of the strips.
-ROW, STRIP = 1000, 10**9
+ROW, STRIP = 1000, 10**7
 
 
 def node(kind: str, key: Column) -> Column:
@@ -119,7 +119,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 VIEW_SQL = f"""
 points AS MATERIALIZED (
   SELECT {STRIDE} + r_regionkey AS node, 'Source' AS class, CAST(r_regionkey AS BIGINT) AS fid, 1 AS ag, 1 AS at, FALSE AS closed, r_name AS assetid, 3 AS lifecycle,
-         NULL::DOUBLE AS balance, NULL AS segment, NULL::DOUBLE AS psize, NULL AS brand FROM region
+         NULL::DOUBLE AS balance, NULL::VARCHAR AS segment, NULL::DOUBLE AS psize, NULL::VARCHAR AS brand FROM region
   UNION ALL SELECT {2 * STRIDE} + n_nationkey, 'Valve', n_nationkey, 2, n_regionkey + 1, n_nationkey % 7 = 0, n_name, 3, NULL, NULL, NULL, NULL FROM nation
   UNION ALL SELECT {3 * STRIDE} + s_suppkey, 'Station', s_suppkey, 3, 1, FALSE, s_name, CASE WHEN s_acctbal < 0 THEN 4 ELSE 3 END, s_acctbal, NULL, NULL, NULL FROM supplier
   UNION ALL SELECT {4 * STRIDE} + c_custkey, 'Meter', c_custkey, 4, 1, FALSE, c_name, CASE WHEN c_acctbal < 0 THEN 4 ELSE 3 END, c_acctbal, c_mktsegment, NULL, NULL FROM customer
