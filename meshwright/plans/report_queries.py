@@ -131,8 +131,8 @@ def next_ids(spark, sf_dir):
 _FEATURES = """features AS (SELECT class, CASE class WHEN 'Joint' THEN 'Junction' ELSE 'Device' END AS role, fid, ag, "at", NULL::DOUBLE AS size, NULL::BIGINT AS length, lifecycle, assetid, segment FROM points
 UNION ALL SELECT class, 'Line', fid, ag, 1, size, CAST(round(length) AS BIGINT), lifecycle, NULL, NULL FROM lines)"""
 _VALUES = ", ".join("(" + ", ".join("NULL" if v is None else repr(v) for v in (*row, k)) + ")" for k, row in enumerate(PRICES))
-_PRICES = f"prices(class, ag, "at", size, price, unit, price_row) AS (VALUES {_VALUES})"
-_QUANTITIES = "quantities AS (SELECT role, class, ag, "at", size, count(*) AS pieces, CAST(sum(length) AS BIGINT) AS length FROM features GROUP BY ALL)"
+_PRICES = f'prices(class, ag, "at", size, price, unit, price_row) AS (VALUES {_VALUES})'
+_QUANTITIES = 'quantities AS (SELECT role, class, ag, "at", size, count(*) AS pieces, CAST(sum(length) AS BIGINT) AS length FROM features GROUP BY ALL)'
 _ALLOWED = "allowed(line_class, line_ag, point_class, point_ag) AS (VALUES " + ", ".join(map(repr, RULES)) + ")"
 _PAIRS = """ends AS (SELECT class AS line_class, ag AS line_ag, fid AS line_fid, a AS node FROM lines UNION ALL SELECT class, ag, fid, b FROM lines),
 pairs AS (SELECT e.node, line_class, line_ag, p.class AS point_class, p.ag AS point_ag, min(line_fid) AS fid FROM ends e JOIN points p USING (node) GROUP BY ALL),
