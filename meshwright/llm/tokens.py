@@ -110,9 +110,10 @@ class PieceTokenizer:
         if self.mark is None:
             self.seen.update(zip(pieces, self._ids(pieces), strict=True))
             return
-        alone = [p for p in pieces if not p or p[0] == "'"]
+        # Blanks at a text's end are one token there, and an apostrophe may begin a contraction.
+        alone = [p for p in pieces if not p or p[0] == "'" or p.isspace()]
         self.seen.update(zip(alone, self._ids(alone), strict=True))
-        joined = [p for p in pieces if p and p[0] != "'"]
+        joined = [p for p in pieces if p and p[0] != "'" and not p.isspace()]
         for a in range(0, len(joined), 4096):
             part = joined[a : a + 4096]
             glue = f" {MARK} " if self.drops_space else MARK
@@ -140,8 +141,8 @@ class PieceTokenizer:
         for p in new:
             if p in older:
                 seen[p] = older[p]
-            elif len(p) > 2 and p[-1] in ".," and p[-2].isalpha():
-                # A full stop or comma after a letter always starts a token of its own.
+            elif len(p) > 2 and p[-1] in ".," and p[-2].lower().isalpha():
+                # A full stop or comma after a letter (that stays one in lower case) always starts a token of its own.
                 ended.append(p)
             else:
                 fresh.add(p)
