@@ -54,7 +54,17 @@ def staged(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.staged_in = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the folders of staged tables that no later step reads, once what was made from them is staged too."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.staged_in)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release_shuffles(spark: SparkSession) -> None:
@@ -121,7 +131,9 @@ def chunk_table(docs: DataFrame, flag: str | None = None) -> DataFrame:
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed = rows.withColumnRenamed("_flag", "flag").mapInArrow(_pack_chunks, CHUNK_SCHEMA)
     packed.write.format("parquet").option("compression", "zstd").bucketBy(buckets, "chunk_id").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
-    return spark.table(name)
+    table = spark.table(name)
+    table.staged_in = f"{shared_dir(spark)}/{name}"
+    return table
 
 
 def answered(chunks: DataFrame, answers: DataFrame, name: str = "answers") -> DataFrame:

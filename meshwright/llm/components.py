@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, staged
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -16,8 +16,9 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     owned it, so chains shorten; every round is a staged table, and only the number of
     changed labels comes to the driver.
     """
-    both = staged(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))), "edges").withColumnsRenamed({"a": "src", "b": "dst"})
-    now = staged(nodes.select("node", "label"), "labels")
+    links = staged(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))), "edges")
+    both = links.withColumnsRenamed({"a": "src", "b": "dst"})
+    last, now = None, staged(nodes.select("node", "label"), "labels")
     owners = now.withColumnsRenamed({"node": "owner", "label": "owned"})
     while True:
         heard = both.join(now, both["src"] == now["node"]).groupBy("dst").agg(F.min("label").alias("heard"))
@@ -32,5 +33,9 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         new = staged(new, "labels")
         moved = new.filter(F.col("moved") | (F.col("jump") > F.col("label"))).limit(1).count()
         now = new.select("node", "label")
+        if last is not None:
+            discard(last)
+        last = new
         if not moved:
+            discard(links)
             return now

@@ -35,6 +35,7 @@ from .common import (
     bucket_count,
     chunk_table,
     codes_of,
+    discard,
     entries,
     exchange,
     release_shuffles,
@@ -192,6 +193,7 @@ def similar_documents(docs: DataFrame, width: int = WORDS, percent: int = PERCEN
             )
 
     every = staged(answered(chunks, rarity).mapInArrow(rows, ROWS), "rows")
+    discard(chunks, rarity)
     release_shuffles(spark)
 
     # Equal rows become one.
@@ -200,6 +202,9 @@ def similar_documents(docs: DataFrame, width: int = WORDS, percent: int = PERCEN
     twins = signed.groupBy("sign").agg(F.min(F.struct("doc_id", "row")).alias("first"))
     twins = staged(twins.select("sign", F.col("first.row").alias("twin"), F.col("first.doc_id").alias("label")), "twins")
     matrix = staged(open_rows.join(twins.select(F.col("twin").alias("row")), "row", "left_semi"), "matrix")
+    sizes = staged(every.select("row", "doc_id", "n"), "sizes")
+    discard(every)
+    release_shuffles(spark)
     nodes = twins.select(F.col("twin").alias("node"), F.struct(F.col("label"), F.col("twin")).alias("label"))
 
     # The first columns of each row, rarest first: a linked row holds one of them among its own first columns.
@@ -234,6 +239,7 @@ def similar_documents(docs: DataFrame, width: int = WORDS, percent: int = PERCEN
     named = firsts.select("gram", "row", "n", "place", F.struct(F.col("doc_id").alias("label"), F.col("row").alias("twin")).alias("label"))
     held = named.groupBy("gram").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
     named = staged(named.join(held.select("gram"), "gram", "left_semi"), "named")
+    discard(firsts)
     edges, found, turn, left = None, None, 0, None
     while True:
         heads = named.groupBy("gram").agg(F.min(F.struct(F.xxhash64("row", F.lit(turn)).alias("order"), "row", "n", "label")).alias("head"))
@@ -246,9 +252,11 @@ def similar_documents(docs: DataFrame, width: int = WORDS, percent: int = PERCEN
         new = verified(stars)
         edges = new if edges is None else edges.unionByName(new)
         found = components(nodes, edges)
-        named = named.drop("label").join(found.withColumnRenamed("node", "row"), "row")
+        past, named = named, named.drop("label").join(found.withColumnRenamed("node", "row"), "row")
         torn = named.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
         named = staged(named.join(torn, "gram", "left_semi").select("gram", "row", "n", "place", "label"), "named")
+        discard(past)
+        release_shuffles(spark)
         before, left, turn = left, named.select("label").distinct().count(), turn + 1
         # A round that joins under a tenth of what is apart is the last one.
         if not left or (before is not None and 10 * left > 9 * before):
@@ -259,6 +267,7 @@ def similar_documents(docs: DataFrame, width: int = WORDS, percent: int = PERCEN
     # ones of both, or beyond the first ones of the row whose first ones end earlier, so their number is bounded.
     hot = named.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "gram"))), lambda x: x["gram"]).alias("hot"))
     sides = staged(named.join(hot, "row"), "sides")
+    discard(named)
     one, other = (sides.select(*[F.col(c).alias(c + k) if c != "gram" else F.col(c) for c in sides.columns]) for k in ("_a", "_b"))
     need = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100 + percent))
     pairs = (
@@ -278,7 +287,7 @@ def similar_documents(docs: DataFrame, width: int = WORDS, percent: int = PERCEN
     members = signed.join(twins, "sign").join(found.withColumnRenamed("label", "component"), F.col("twin") == F.col("node"))
     members = members.select("row", "twin", F.col("component.label").alias("component"))
     null = lambda c: F.when(c != NULL_ID, c)
-    return every.select("row", "doc_id", "n").join(members, "row", "left").select(
+    return sizes.join(members, "row", "left").select(
         "row",
         null(F.col("doc_id")).alias("doc_id"),
         F.col("n").alias("n_shingles"),
