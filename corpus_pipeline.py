@@ -29,15 +29,15 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, laid out so that every stretch follows the sources' target weights."""
-    return mixed(docs)
+    """All documents with their position in the mix, in which every stretch follows the sources' target weights."""
+    return mixed(docs, position="position")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences that hold every id of every document once."""
+    """Pieces of token sequences, numbered along the mix, that hold every id of every document once."""
     import public_tokenizers
 
-    pieces = pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    pieces = pack(docs, public_tokenizers.path("word_bpe_49k.json"), position="position")
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

@@ -102,19 +102,19 @@ def pattern(parts: DataFrame) -> DataFrame:
     return one.filter(F.size("sources") > 0).select("sources", "h", run.alias("slots"))
 
 
-def _ranked(docs: DataFrame) -> DataFrame:
+def _ranked(docs: DataFrame, key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Rank documents inside their source without gathering a source in one task.
 
     Rows are dealt by (source, hash bucket); a bucket's first rank is the sum of the buckets
     before it, so a source with a third of all rows is spread over all its buckets.
     """
-    keyed = docs.withColumn("_h", F.xxhash64(F.lit("mix"), "doc_id")).withColumn("_b", F.pmod("_h", F.lit(RANK_BUCKETS)))
+    keyed = docs.withColumn("_h", F.xxhash64(F.lit("mix"), *key)).withColumn("_b", F.pmod("_h", F.lit(RANK_BUCKETS)))
     sizes = keyed.groupBy("source", "_b").count()
     before = Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select(
         F.col("source").alias("_s"), F.col("_b").alias("_sb"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base")
     )
-    order = Window.partitionBy("source", "_b").orderBy("_h", "doc_id")
+    order = Window.partitionBy("source", "_b").orderBy("_h", *key)
     return (
         keyed.withColumn("_r", F.row_number().over(order) - 1)
         .join(bases, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("_sb")))
@@ -123,13 +123,13 @@ def _ranked(docs: DataFrame) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, block: int = BLOCK, period: int = PERIOD, weights: dict | None = None) -> DataFrame:
+def mix(docs: DataFrame, block: int = BLOCK, period: int = PERIOD, weights: dict | None = None, key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``doc_id, source, parts, block_no, slot, position`` for every row of ``docs``.
 
     ``position`` is the row's place (from 0, without gaps) in the mixed order. A null source is a
     source of its own; repeated rows are placed each; an empty table gives an empty result.
     """
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"))
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), *key[1:])
     counts = staged(ids.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs")), "sources")
     plan = pattern(target_parts(counts, period, weights=weights))
     # Of each source: its slots inside one period, and before each slot how many it had.
@@ -146,10 +146,10 @@ def mix(docs: DataFrame, block: int = BLOCK, period: int = PERIOD, weights: dict
         F.posexplode("own").alias("k", "own"), "sources", "h"
     ).select(F.get("sources", F.col("k"))["source"].alias("_s"), F.get("sources", F.col("k"))["parts"].alias("parts"), "own", "h")
 
-    ranked = _ranked(ids).withColumn("block_no", F.floor(F.col("rank") / block))
+    ranked = _ranked(ids, key).withColumn("block_no", F.floor(F.col("rank") / block))
     # At most `period + sources` numbers: the schedule of one period, whatever the corpus.
     placed = ranked.join(F.broadcast(per_source), F.col("source").eqNullSafe(F.col("_s"))).select(
-        "doc_id",
+        *key,
         "source",
         "parts",
         "rank",
@@ -176,20 +176,25 @@ def mix(docs: DataFrame, block: int = BLOCK, period: int = PERIOD, weights: dict
     return placed.join(
         starts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block_no") == F.col("_b"))
     ).select(
-        "doc_id", "source", "parts", F.col("block_no").cast("long").alias("block_no"), F.col("slot").cast("long").alias("slot"),
+        *key, "source", "parts", F.col("block_no").cast("long").alias("block_no"), F.col("slot").cast("long").alias("slot"),
         (F.col("_ahead") + F.col("rank") % block).cast("long").alias("position"),
     )
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
+def mixed(docs: DataFrame, position: str | None = None, **options) -> DataFrame:
     """The rows of ``docs``, all columns unchanged, laid out in mixed order.
 
-    Parquet written from it holds the mix in file order. Rows that share a doc_id stay together
-    at the first of their places.
+    Parquet written from it holds the mix in file order; ``position`` names a column to add that
+    keeps the place, as tables have no order. Rows equal in doc_id, source and text share the first of their places.
     """
-    order = mix(docs, **options).groupBy(F.col("doc_id").alias("_id")).agg(F.min("position").alias("_position"))
-    joined = docs.join(order, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")))
-    return joined.repartitionByRange("_position").sortWithinPartitions("_position").drop("_id", "_position")
+    digest = F.xxhash64("text")
+    order = mix(docs.withColumn("_text", digest), key=("doc_id", "_text"), **options).groupBy("doc_id", "source", "_text").agg(F.min("position").alias("_position"))
+    order = order.withColumnsRenamed({"doc_id": "_id", "source": "_source"})
+    joined = docs.join(
+        order, (digest == F.col("_text")) & docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & docs["source"].cast("string").eqNullSafe(F.col("_source"))
+    )
+    laid = joined.repartitionByRange("_position").sortWithinPartitions("_position").drop("_id", "_source", "_text")
+    return laid.withColumnRenamed("_position", position) if position else laid.drop("_position")
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:

@@ -4,6 +4,9 @@ Documents are dealt to random groups of about a thousand; each group is tokenise
 and packed by itself, so packing needs one shuffle and no task sees more than a group.
 Inside a group a tournament tree over the bins' free room finds the first bin that fits
 in logarithmic time.
+
+Where rows have a position (the mix), groups are consecutive ranges of positions instead:
+packing is random inside a range only, and sequences are numbered by range.
 """
 
 from __future__ import annotations
@@ -59,10 +62,11 @@ def first_fit_decreasing(sizes: list[int], capacity: int = CAPACITY) -> list[tup
     return placed
 
 
-def _packer(text_definition: str, capacity: int):
+def _packer(text_definition: str, capacity: int, shuffled: bool = False):
     def pack(key, table):
         group = key[0].as_py()
-        order = np.lexsort((table.column("tie").to_numpy(), table.column("doc_id").fill_null(np.iinfo(np.int64).max).to_numpy()))
+        by = [table.column("tie").to_numpy(), table.column("doc_id").fill_null(np.iinfo(np.int64).max).to_numpy()]
+        order = np.lexsort([*by, table.column("dealt").to_numpy()] if shuffled else by)
         doc_ids = table.column("doc_id").to_pylist()
         texts = table.column("text").to_pylist()
         end = np.array([END_ID], np.uint32).tobytes()
@@ -76,6 +80,9 @@ def _packer(text_definition: str, capacity: int):
                 rows.append((doc_ids[k], start, length, raw[4 * start : 4 * (start + length)], n))
                 sizes.append(length)
         placed = first_fit_decreasing(sizes, capacity)
+        if shuffled:  # else a range would begin with its longest documents
+            number = np.random.default_rng(group).permutation(1 + max(b for b, _ in placed)).tolist()
+            placed = [(number[b], o) for b, o in placed]
         columns = list(zip(*rows, strict=True)) or [[]] * 5
         return pa.table(
             {
@@ -92,13 +99,22 @@ def _packer(text_definition: str, capacity: int):
     return pack
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, group_docs: int = GROUP_DOCS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, group_docs: int = GROUP_DOCS, position: str | None = None) -> DataFrame:
     """Pieces of all documents with their ids (little-endian unsigned 32-bit) and places.
 
     A document's ids end with id 2; a null or empty text is that id alone. Documents longer than
     a sequence are cut at its multiples. Repeated rows are packed each; a null doc_id stays null; an
     empty table gives an empty result; other columns are not read.
+
+    ``position`` names a column with the places of rows in an order, from 0. Then every ``group_docs`` places
+    make a group, and a sequence of an earlier group has the smaller number.
     """
+    if position:
+        keyed = text_rows(docs, F.col(position).cast("long").alias("position")).withColumn("tie", F.xxhash64("text"))
+        keyed = keyed.select(
+            "doc_id", "text", "tie", F.xxhash64(F.lit("pack"), "doc_id", "tie").alias("dealt"), F.floor(F.col("position") / group_docs).alias("group")
+        )
+        return keyed.groupBy("group").applyInArrow(_packer(definition(tokenizer_path), capacity, True), PIECES)
     groups = max(1, -(-docs.count() // group_docs))
     keyed = text_rows(docs).withColumn("tie", F.xxhash64("text"))
     keyed = keyed.withColumn("group", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(groups)))

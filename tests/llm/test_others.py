@@ -52,6 +52,23 @@ def test_mixing_keeps_every_row(spark):
     assert Counter(tuple(r) for r in mixed(frame(spark, data)).collect()) == Counter(data)
 
 
+def test_mixing_decides_the_sequences(spark):
+    data = [(i, f"text number {i} " * (1 + i % 3), None, "ab"[i % 2], 1, "", 1) for i in range(128)] + [(None, "no id", None, "b", 1, "", 1)] * 2
+    path = public_tokenizers.path("word_bpe_49k.json")
+
+    def dealt(**weights):
+        docs = mixed(frame(spark, data), position="position", block=4, weights=weights)
+        found = pack(docs, path, capacity=64, group_docs=32, position="position").collect()
+        assert len(found) >= len(data)
+        return {r.doc_id: r.sequence_id for r in found if r.doc_id is not None and r.start == 0}
+
+    one, other = dealt(a=0.75, b=0.25), dealt(a=0.25, b=0.75)
+    assert one != other
+    for found, even in ((one, 24), (other, 8)):
+        first = [i for i, s in found.items() if s >> 32 == 0]
+        assert abs(sum(i % 2 == 0 for i in first) - even) <= 4  # a block
+
+
 def test_first_fit_decreasing():
     sizes = [5, 7, 3, 9, 1, 10, 2, 2]
     placed = first_fit_decreasing(sizes, 10)
