@@ -19,6 +19,7 @@ transpose - reaches the share of their union that the threshold asks for.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -153,14 +154,15 @@ def _overlaps(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
         yield pa.RecordBatch.from_pydict({"a": pa.array(a[good]), "b": pa.array(b[good]), "overlap": pa.array(got[good])})
 
 
-def similar_documents(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def similar_documents(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, digests: bool = False) -> DataFrame:
     """``row, doc_id, n_shingles, component_id, twin`` for every row of ``docs``.
 
     ``component_id`` is the smallest doc_id that links reach, the row's own included; ``twin`` is the
     row whose n-gram set this one equals. Words are runs of characters other than ASCII white space,
     A-Z in lower case. Null or empty texts have no n-grams and link with nothing. Rows that share a
     doc_id are separate documents; a null id stays null unless a link gives a smaller one. Other
-    columns are not read.
+    columns are not read. With ``digests`` there are also ``digest``, the MD5 of the text, and ``head``,
+    one row number for each component (null where there are no n-grams).
     """
     spark = docs.sparkSession
     chunks = chunk_table(docs)
@@ -182,6 +184,7 @@ def similar_documents(docs: DataFrame, width: int = WORDS, percent: int = PERCEN
             shared = np.bincount(m.owners, codes > 0, minlength=len(chunk.ids)).astype(np.int64)
             stay = (m.sizes > 0) & (100 * shared >= percent * m.sizes)
             ends = np.cumsum(m.sizes)
+            more = {"digest": pa.array([hashlib.md5(chunk.text[a:b]).hexdigest() for a, b in zip(chunk.starts, chunk.ends, strict=True)])} if digests else {}
             yield pa.RecordBatch.from_pydict(
                 {
                     "row": pa.array((row["chunk_id"] << 13) + np.arange(len(chunk.ids))),
@@ -190,9 +193,11 @@ def similar_documents(docs: DataFrame, width: int = WORDS, percent: int = PERCEN
                     "grams": pa.array([m.grams[e - n : e].tobytes() if s else None for s, e, n in zip(stay, ends, m.sizes, strict=True)], pa.binary()),
                     "rarity": pa.array([codes[e - n : e].tobytes() if s else None for s, e, n in zip(stay, ends, m.sizes, strict=True)], pa.binary()),
                 }
+                | more
             )
 
-    every = staged(answered(chunks, rarity).mapInArrow(rows, ROWS), "rows")
+    told = ["digest"] if digests else []
+    every = staged(answered(chunks, rarity).mapInArrow(rows, ROWS + ", digest string" * digests), "rows")
     discard(chunks, rarity)
     release_shuffles(spark)
 
@@ -202,7 +207,7 @@ def similar_documents(docs: DataFrame, width: int = WORDS, percent: int = PERCEN
     twins = signed.groupBy("sign").agg(F.min(F.struct("doc_id", "row")).alias("first"))
     twins = staged(twins.select("sign", F.col("first.row").alias("twin"), F.col("first.doc_id").alias("label")), "twins")
     matrix = staged(open_rows.join(twins.select(F.col("twin").alias("row")), "row", "left_semi"), "matrix")
-    sizes = staged(every.select("row", "doc_id", "n"), "sizes")
+    sizes = staged(every.select("row", "doc_id", "n", *told), "sizes")
     discard(every)
     release_shuffles(spark)
     nodes = twins.select(F.col("twin").alias("node"), F.struct(F.col("label"), F.col("twin")).alias("label"))
@@ -285,7 +290,7 @@ def similar_documents(docs: DataFrame, width: int = WORDS, percent: int = PERCEN
     release_shuffles(spark)
 
     members = signed.join(twins, "sign").join(found.withColumnRenamed("label", "component"), F.col("twin") == F.col("node"))
-    members = members.select("row", "twin", F.col("component.label").alias("component"))
+    members = members.select("row", "twin", F.col("component.label").alias("component"), F.col("component.twin").alias("head"))
     null = lambda c: F.when(c != NULL_ID, c)
     return sizes.join(members, "row", "left").select(
         "row",
@@ -293,17 +298,29 @@ def similar_documents(docs: DataFrame, width: int = WORDS, percent: int = PERCEN
         F.col("n").alias("n_shingles"),
         null(F.coalesce("component", "doc_id")).alias("component_id"),
         F.coalesce("twin", "row").alias("twin"),
+        *([*told, "head"] if digests else []),
     )
 
 
 def keep_one_of_each(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that are alone or the smallest doc_id of their component.
+    """The rows of ``docs`` that are alone or the first, by doc_id and row, of their component.
 
-    Documents without words are never copies of each other and stay.
+    Decided row by row: rows that share a doc_id, or have none, are documents of their own, and of repeated
+    rows one stays. Documents without words are never copies of each other and stay.
     """
-    found = similar_documents(docs, width, percent)
-    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
+    found = staged(similar_documents(docs, width, percent, digests=True).filter(F.col("head").isNotNull()), "found")
+    rank = F.struct(F.coalesce("doc_id", F.lit(int(NULL_ID))).alias("doc_id"), "row")
+    firsts = found.groupBy("head").agg(F.min(rank)["row"].alias("row")).select("row", F.lit(True).alias("first"))
+    # Rows equal in id and text are in one component, so at most one of them is its first.
+    decided = found.join(firsts, "row", "left").groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
+    decided = decided.agg(F.count("first").alias("_stay"), F.count(F.lit(1)).alias("_rows")).filter("_stay < _rows")
+    decided = staged(decided, "decided")
+    text = F.md5(F.col("text").cast("string"))
+    same = (text == F.col("_digest")) & docs["doc_id"].cast("long").eqNullSafe(F.col("_id"))
+    rest = docs.join(decided, same, "left_anti")
+    repeated = docs.join(decided.filter("_stay = 1"), same)
+    one = repeated.groupBy("_id", "_digest").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("one"))
+    return rest.unionByName(one.select("one.*"))
 
 
 def op1_ngram_join(spark, sf_dir: str) -> DataFrame:

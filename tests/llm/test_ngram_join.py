@@ -51,3 +51,19 @@ def test_repeated_rows_and_null_ids(spark):
     text = " ".join(f"w{k}" for k in range(30))
     data = [(5, text, None, None, 1, "", 1), (5, text, None, None, 1, "", 1), (None, text, None, None, 1, "", 1)]
     assert sorted((r.n_shingles, r.component_id) for r in similar_documents(frame(spark, data)).collect()) == [(26, 5)] * 3
+
+
+def test_decides_by_row_not_by_id(spark):
+    text, other, third = (" ".join(f"{x}{k}" for k in range(30)) for x in "wvu")
+    row = lambda i, t: (i, t, None, None, None if t is None else len(t), "", 1)
+    data = [
+        *[row(5, text)] * 3, row(None, text), row(7, text),  # one group: one row of 5 stays
+        row(None, "a clean document without an id"), row(7, "a clean document that shares the id of a copy"),
+        *[row(None, other)] * 2, row(9, third), row(9, third + " more"),  # two groups of equal ids
+        row(None, None), row(None, ""), row(7, ""),
+    ]
+    left = [(r.doc_id, r.text) for r in keep_one_of_each(frame(spark, data)).collect()]
+    assert len(left) == 8
+    want = [(5, text), (None, data[5][1]), (7, data[6][1]), (None, other), (None, None), (None, ""), (7, "")]
+    assert all(left.count(w) == 1 for w in want)
+    assert sum(i == 9 for i, _ in left) == 1
