@@ -20,7 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Fixed vocabularies of the markup language.
-RAW_TAGS = "script|style|noscript|template|textarea|svg|math|iframe|object|canvas|select"
+#: Their text is code up to the closing tag, or to the end of the page.
+CODE_TAGS = ("script", "style")
+#: Left out with all they hold where they are closed; else they are elements like any other.
+DROPPED_TAGS = frozenset("noscript template textarea svg iframe object canvas select".split())
+#: Elements that "/>" closes; elsewhere the slash says nothing.
+FOREIGN_TAGS = ("svg", "math")
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure "
@@ -41,8 +46,8 @@ BAD_NAMES = (
 ).split()
 GOOD_NAMES = "article content main post entry story body text articlebody post-content entry-content".split()
 
-_RAW = re.compile(rf"<({RAW_TAGS})\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TAG = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>", re.S)
+_CODE_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>|\Z", re.I) for tag in CODE_TAGS}
 _NAMED = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|\bhidden\b(?!\s*=\s*[\"']?(?:false|until))|aria-hidden\s*=\s*[\"']?true", re.I)
 _SPLIT_NAME = re.compile(r"[\s_]+|-+|(?<=[a-z])(?=[A-Z])")
@@ -91,9 +96,39 @@ class Frame:
 _BAD, _GOOD = frozenset(BAD_NAMES), frozenset(GOOD_NAMES)
 
 
+def tags_of(page: str) -> Iterator[tuple[re.Match, int]]:
+    """Tags, comments and declarations in page order, with where the page goes on after each.
+
+    That is behind the closing tag for code, else behind the tag itself; nothing inside code or a comment is a tag.
+    """
+    at = 0
+    while m := _TAG.search(page, at):
+        at = m.end()
+        if m[2] and not m[1] and m[2].lower() in CODE_TAGS:
+            at = _CODE_END[m[2].lower()].search(page, at).end()
+        yield m, at
+
+
+def dropped(tags: list[tuple[re.Match, int]]) -> dict[int, int]:
+    """Start of each closed element that is left out, and the number of its closing tag."""
+    open_tags: dict[str, list[int]] = {}
+    ends = {}
+    for k, (m, _) in enumerate(tags):
+        tag = m[2] and m[2].lower()
+        if tag not in DROPPED_TAGS:
+            continue
+        if not m[1]:
+            if not (tag in FOREIGN_TAGS and m[3].endswith("/")):
+                open_tags.setdefault(tag, []).append(m.start())
+        elif open_tags.get(tag):
+            ends[open_tags[tag].pop()] = k
+    return ends
+
+
 def blocks_of(page: str) -> list[BlockOfText]:
     """Non-empty blocks of text in page order; broken markup never fails."""
-    page = _RAW.sub(" ", page)
+    tags = list(tags_of(page))
+    ends = dropped(tags)
     stack = [Frame("", None, "", 0)]
     done: list[BlockOfText] = []
     block: BlockOfText | None = None
@@ -120,13 +155,22 @@ def blocks_of(page: str) -> list[BlockOfText]:
                 done.append(block)
             block = None
 
-    for m in _TAG.finditer(page):
+    until = -1
+    for place, (m, onward) in enumerate(tags):
+        if place <= until:
+            continue
         text(page[at : m.start()])
-        at = m.end()
+        at = onward
         tag = m[2]
         if tag is None:
             continue
         tag = tag.lower()
+        if not m[1] and (tag in CODE_TAGS or m.start() in ends):
+            if tag not in CODE_TAGS:
+                until = ends[m.start()]
+                at = tags[until][1]
+            text(" ")
+            continue
         if m[1]:
             if tag in BLOCK_TAGS:
                 end()

@@ -6,7 +6,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from meshwright.llm.html_extract import extract
+from meshwright.llm.html_extract import blocks_of, extract
 from meshwright.llm.mixing import mixed
 from meshwright.llm.packing import first_fit_decreasing, pack
 from meshwright.llm.quality import judge, keep_good
@@ -117,6 +117,27 @@ def test_extraction(spark):
     assert "Copyright" not in got[1] and "Home" not in got[1] and "var a" not in got[1]
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<p>a</p><svg-icon></svg-icon><article>MAIN</article>", "a MAIN"),
+        ("<select-menu>x</select-menu><template-part></template-part><object-x/><p>MAIN", "x MAIN"),
+        ('<svg class="i"/><article>MAIN</article>', "MAIN"),
+        ("<math/><p>MAIN <math><mi>x</mi><mo>=</mo><mn>2</mn></math> end</p>", "MAIN x=2 end"),
+        ("<!-- old <script> tag --><p>MAIN</p><script>var a</script><p>b", "MAIN b"),
+        ("<p>a</p><script>'<p>no</p><!--'</script ><p>b</p><STYLE>p{}</style\n><p>c</p><script>to the <p>end", "a b c"),
+        ("<svg><svg><text>no</text></svg><svg/><text>no</text></svg><p>MAIN</p>", "MAIN"),
+        ("<svg><script>'</svg>'</script><!-- </svg> -->no</svg><p>MAIN</p>", "MAIN"),
+        ("<svg><p>MAIN</p><textarea><p>b</p><select><option>no</select>", "MAIN b"),
+        ("<p>foo<svg>no</svg>bar <iframe src='>'>no</iframe></p><noscript/>no</noscript><p>b", "foo bar b"),
+        ("<script src=\"x>var a</script><p>MAIN</p>", "MAIN"),
+        ("<!--><p>MAIN</p><!-- no --!><p>b</p><!-- to the end", "MAIN b"),
+    ],
+)
+def test_raw_elements(page, want):
+    assert " ".join(b.text for b in blocks_of(page)) == want
+
+
 @pytest.mark.parametrize("f", [judge, keep_good, mixed])
 def test_empty_tables(spark, f):
     assert f(spark.createDataFrame([], SCHEMA)).count() == 0
