@@ -1,18 +1,23 @@
-"""Mixing sources to target weights by Pfair scheduling, in DataFrame functions only.
-
-Every source is cut into blocks of documents in a random but repeatable order.  With
-integer weights (parts) that sum to the period H, block ``i`` of a source with ``a``
-parts is released at slot ``floor(i*H/a)`` and due by slot ``ceil((i+1)*H/a)``.  Earliest
-deadline first over these windows fills each slot with one block, and at any slot no
-source is a whole block away from its share.  The schedule repeats every H slots, so it
-is worked out once for one period (H is bounded by a parameter, not by the data) and a
-block finds its slot by arithmetic.  Nothing is dropped: a source that runs out leaves
-its slots empty and the others go on at their relative weights.
+"""Mixing sources to target weights by Pfair windows, in DataFrame functions only.
+
+Every source is cut into blocks of documents in a random but repeatable order.  Block ``i`` of
+a source with weight ``w`` is released at time ``i/w`` and due by ``(i+1)/w``.  Each block
+takes a moment of its own window, the same share of it (the phase) for all blocks of a source,
+and all blocks are ordered by their moments with a range-partitioned sort and prefix sums.
+At any moment no source is a whole block away from its weight, whatever the weights; there is
+no period, and no table of all sources is gathered.
+
+Moments and slots (places in the order) differ by what all sources together are ahead or behind: under
+one block for each source, and far less as phases are spread evenly.  So in slots the distance of a
+source from its share is under ``1 + w * sources`` blocks; it doesn't grow with time.  (Earliest deadline
+first with releases keeps it under one, but goes slot by slot; ordering by deadlines without
+releases would put all blocks of small sources behind those of large ones.)  Nothing is dropped:
+a source that runs out has no more moments and the others go on at their relative weights.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -20,90 +25,46 @@ from .common import staged
 
 #: Documents in a block.
 BLOCK = 64
-#: Slots that the weights are rounded to; each source gets one part at least.
-PERIOD = 1000
 #: Weights are the documents of a source to this power: small sources come up more often.
 TEMPER = 0.5
 #: Buckets by which the order inside one source is dealt out.
 RANK_BUCKETS = 4096
+#: Steps by the golden section spread phases evenly.
+GOLDEN = 0.6180339887498949
 
 
-def _let(value: Column, body) -> Column:
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def _ordered(rows: DataFrame, by: tuple[str, ...], size: str | None = None) -> DataFrame:
+    """``rows`` with ``no``, their place by the columns ``by``, and ``ahead``, the sum of ``size`` before them; staged."""
+    amount = F.col(size) if size else F.lit(0)
+    laid = rows.repartitionByRange(*by).sortWithinPartitions(*by)
+    laid = staged(laid.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "ordered")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = laid.groupBy("_part").agg(F.count(F.lit(1)).alias("_count"), F.sum(amount).alias("_sum"))
+    totals = totals.select(F.col("_part").alias("_held"), *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("_count", "_sum")])
+    inside = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    # One row for each partition of the sort.
+    found = laid.withColumn("_in", F.coalesce(F.sum(amount).over(inside), F.lit(0))).join(F.broadcast(totals), F.col("_part") == F.col("_held"))
+    return found.select(*rows.columns, (F.col("_count") + F.col("_at")).alias("no"), (F.col("_sum") + F.col("_in")).alias("ahead"))
 
 
-def target_parts(counts: DataFrame, period: int = PERIOD, temper: float = TEMPER, weights: dict | None = None) -> DataFrame:
-    """``source, n_docs, parts``: integer weights from given target weights or tempered counts.
+def target_weights(counts: DataFrame, temper: float = TEMPER, weights: dict | None = None) -> DataFrame:
+    """``source, n_docs, weight, phase``: shares of one, from given target weights or tempered counts.
 
-    Sources missing from ``weights`` (and the null source) get one part.
+    Sources missing from ``weights`` (and the null source) have weight 0: they follow when all others have run out.
     """
     if weights:
         pairs = F.create_map(*[F.lit(x) for kv in weights.items() for x in (kv[0], float(kv[1]))])
-        raw = F.coalesce(F.try_element_at(pairs, F.coalesce("source", F.lit(""))), F.lit(0.0))
+        raw = F.coalesce(F.try_element_at(pairs, F.col("source")), F.lit(0.0))
     else:
         raw = F.pow(F.col("n_docs").cast("double"), F.lit(temper))
     total = counts.agg(F.sum(raw).alias("total"))
     # One row: the sum of the weights.
-    return counts.join(F.broadcast(total)).select(
-        "source",
-        "n_docs",
-        F.greatest(F.lit(1), F.round(raw / F.col("total") * period).cast("int")).alias("parts"),
-    )
-
-
-def pattern(parts: DataFrame) -> DataFrame:
-    """One row: ``sources`` (source, n_docs, parts by source) and ``slots``, the source index of each slot.
-
-    Earliest deadline first over one period; ties go to the earlier source.
-    """
-    rows = F.array_sort(F.collect_list(F.struct(F.col("source"), "n_docs", "parts")))
-
-    def step(done: Column, t: Column, a: Column, h: Column) -> Column:
-        # Block `done` of source k is eligible from floor(done*h/a); its deadline is ceil((done+1)*h/a).
-        choice = F.array_min(
-            F.transform(
-                F.filter(
-                    F.transform(
-                        a,
-                        lambda p, k: F.struct(
-                            F.floor((F.get(done, k) * h) / p).alias("release"),
-                            F.ceil(((F.get(done, k) + 1) * h) / p).alias("deadline"),
-                            k.alias("k"),
-                        ),
-                    ),
-                    lambda x: x["release"] <= t,
-                ),
-                lambda x: F.struct(x["deadline"].alias("deadline"), x["k"].alias("k")),
-            )
-        )
-        return choice["k"]
-
-    one = parts.agg(rows.alias("sources"))
-    one = one.select(
-        "sources",
-        F.transform("sources", lambda s: s["parts"]).alias("a"),
-        F.aggregate("sources", F.lit(0), lambda x, s: x + s["parts"]).alias("h"),
-    )
-    run = F.aggregate(
-        F.sequence(F.lit(0), F.greatest(F.col("h") - 1, F.lit(0))),
-        F.struct(
-            F.transform("a", lambda _: F.lit(0)).alias("done"),
-            F.array().cast("array<int>").alias("slots"),
-        ),
-        lambda acc, t: _let(
-            step(acc["done"], t, F.col("a"), F.col("h")),
-            lambda k: F.struct(
-                F.transform(acc["done"], lambda d, j: F.when(j == k, d + 1).otherwise(d)).alias("done"),
-                F.concat(acc["slots"], F.array(k)).alias("slots"),
-            ),
-        ),
-        lambda acc: acc["slots"],
-    )
-    return one.filter(F.size("sources") > 0).select("sources", "h", run.alias("slots"))
+    shares = counts.join(F.broadcast(total)).select("source", "n_docs", F.coalesce(F.try_divide(raw, F.col("total")), F.lit(0.0)).alias("weight"))
+    return _ordered(shares, ("weight", "source")).select("source", "n_docs", "weight", F.pmod((F.col("no") + 1) * GOLDEN, F.lit(1.0)).alias("phase"))
 
 
-def _ranked(docs: DataFrame, key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Rank documents inside their source without gathering a source in one task.
+def _ranked(docs: DataFrame, sources: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """Rank documents inside their source, and add what ``sources`` says, without gathering a source in one task.
 
     Rows are dealt by (source, hash bucket); a bucket's first rank is the sum of the buckets
     before it, so a source with a third of all rows is spread over all its buckets.
@@ -114,6 +75,7 @@ def _ranked(docs: DataFrame, key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     bases = sizes.select(
         F.col("source").alias("_s"), F.col("_b").alias("_sb"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base")
     )
+    bases = bases.join(sources, F.col("_s").eqNullSafe(F.col("source"))).drop("source")
     order = Window.partitionBy("source", "_b").orderBy("_h", *key)
     return (
         keyed.withColumn("_r", F.row_number().over(order) - 1)
@@ -123,62 +85,27 @@ def _ranked(docs: DataFrame, key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, block: int = BLOCK, period: int = PERIOD, weights: dict | None = None, key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``doc_id, source, parts, block_no, slot, position`` for every row of ``docs``.
+def mix(docs: DataFrame, block: int = BLOCK, weights: dict | None = None, key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``doc_id, source, weight, block_no, slot, position`` for every row of ``docs``.
 
-    ``position`` is the row's place (from 0, without gaps) in the mixed order. A null source is a
-    source of its own; repeated rows are placed each; an empty table gives an empty result.
+    ``slot`` is the place of the row's block and ``position`` that of the row itself (both from 0, without
+    gaps) in the mixed order. A null source is a source of its own; repeated rows are placed each; an empty
+    table gives an empty result. ``key`` names doc_id and further columns that tell rows with one doc_id apart.
     """
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), *key[1:])
     counts = staged(ids.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs")), "sources")
-    plan = pattern(target_parts(counts, period, weights=weights))
-    # Of each source: its slots inside one period, and before each slot how many it had.
-    table = plan.select(
-        "sources",
-        "h",
-        F.transform(
-            "sources", lambda _, k: F.filter(F.transform("slots", lambda s, t: F.when(s == k, t)), lambda t: t.isNotNull())
-        ).alias("own"),
-        F.transform("sources", lambda s: s["source"]).alias("names"),
-    )
-    table = staged(table, "pattern")
-    per_source = table.select(
-        F.posexplode("own").alias("k", "own"), "sources", "h"
-    ).select(F.get("sources", F.col("k"))["source"].alias("_s"), F.get("sources", F.col("k"))["parts"].alias("parts"), "own", "h")
-
-    ranked = _ranked(ids, key).withColumn("block_no", F.floor(F.col("rank") / block))
-    # At most `period + sources` numbers: the schedule of one period, whatever the corpus.
-    placed = ranked.join(F.broadcast(per_source), F.col("source").eqNullSafe(F.col("_s"))).select(
-        *key,
-        "source",
-        "parts",
-        "rank",
-        "block_no",
-        (F.floor(F.col("block_no") / F.col("parts")) * F.col("h") + F.get("own", (F.col("block_no") % F.col("parts")).cast("int"))).alias("slot"),
-    )
-    # Rows before a block: of each source, its full blocks in earlier slots, cut at its size.
-    blocks = placed.filter(F.col("rank") % block == 0).select("source", "block_no", "slot")
-    blocks = blocks.join(F.broadcast(table.select("sources", "own", "h")))
-    ahead = F.aggregate(
-        F.zip_with("sources", "own", lambda s, o: F.struct(s["n_docs"].alias("n"), s["parts"].alias("p"), o.alias("o"))),
-        F.lit(0).cast("long"),
-        lambda acc, x: acc
-        + F.least(
-            x["n"],
-            (
-                F.floor(F.col("slot") / F.col("h")) * x["p"]
-                + F.size(F.filter(x["o"], lambda t: t < F.col("slot") % F.col("h")))
-            )
-            * F.lit(block),
-        ),
-    )
-    starts = blocks.select(F.col("source").alias("_s"), F.col("block_no").alias("_b"), ahead.alias("_ahead"))
-    return placed.join(
-        starts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block_no") == F.col("_b"))
-    ).select(
-        *key, "source", "parts", F.col("block_no").cast("long").alias("block_no"), F.col("slot").cast("long").alias("slot"),
-        (F.col("_ahead") + F.col("rank") % block).cast("long").alias("position"),
+    sources = staged(target_weights(counts, weights=weights), "weights")
+    ranked = _ranked(ids, sources, key).withColumn("block_no", F.floor(F.col("rank") / block))
+    turn = F.col("block_no") + F.col("phase")
+    moment = F.when(F.col("weight") > 0, F.try_divide(turn, F.col("weight"))).otherwise(F.lit(float("inf")))
+    blocks = ranked.filter(F.col("rank") % block == 0).select(
+        moment.alias("moment"), turn.alias("turn"), F.col("source").alias("_s"), F.col("block_no").alias("_b"), F.least(F.lit(block), F.col("n_docs") - F.col("rank")).alias("rows")
     )
+    starts = _ordered(blocks, ("moment", "turn", "_s", "_b"), "rows").select("_s", "_b", "no", "ahead")
+    return ranked.join(starts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block_no") == F.col("_b"))).select(
+        *key, "source", "weight", F.col("block_no").cast("long").alias("block_no"), F.col("no").cast("long").alias("slot"),
+        (F.col("ahead") + F.col("rank") % block).cast("long").alias("position"),
+    )
 
 
 def mixed(docs: DataFrame, position: str | None = None, **options) -> DataFrame:

@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 
 from meshwright.llm.html_extract import blocks_of, extract
-from meshwright.llm.mixing import mixed
+from meshwright.llm.mixing import mix, mixed
 from meshwright.llm.packing import first_fit_decreasing, pack
 from meshwright.llm.quality import judge, keep_good
 from meshwright.llm.tokens import END_ID
@@ -52,6 +52,31 @@ def test_mixing_keeps_every_row(spark):
     assert Counter(tuple(r) for r in mixed(frame(spark, data)).collect()) == Counter(data)
 
 
+def test_mixing_keeps_small_weights(spark):
+    count = {"big": 400, "none": 5, **{f"s{k}": 2 if k else 40 for k in range(1500)}}
+    weights = {"big": 0.5, "s0": 0.5 * 0.05, **{f"s{k}": 0.5 * 0.95 / 1499 for k in range(1, 1500)}}
+    names = [s for s, n in count.items() for _ in range(n)] + [None] * 3
+    docs = spark.createDataFrame([(k, s) for k, s in enumerate(names)], "doc_id long, source string")
+    found = sorted((r.position, r.slot, r.source, r.block_no) for r in mix(docs, block=1, weights=weights).collect())
+    assert [x[0] for x in found] == [x[1] for x in found] == list(range(len(names)))
+    assert {s for _, _, s, _ in found[-8:]} == {"none", None}
+    seen = Counter()
+    for at, (_, _, source, number) in enumerate(found[:750]):  # while all sources last
+        assert number == seen[source]
+        seen[source] += 1
+        assert abs(seen["big"] - 0.5 * (at + 1)) < 12 and abs(seen["s0"] - 0.025 * (at + 1)) < 2
+    assert max(n for s, n in seen.items() if s not in ("big", "s0")) == 1
+
+
+def test_mixing_keeps_near_the_share(spark):
+    weights = {"a": 0.4999, "b": 0.3, "c": 0.2, "d": 0.0001}
+    docs = spark.createDataFrame([(k, "abcd"[k % 4]) for k in range(4000)], "doc_id long, source string")
+    seen = Counter()
+    for at, r in enumerate(sorted(mix(docs, block=1, weights=weights).collect(), key=lambda r: r.position)[:1900], 1):
+        seen[r.source] += 1
+        assert all(abs(seen[s] - w * at) < 1 + 4 * w for s, w in weights.items())
+
+
 def test_mixing_decides_the_sequences(spark):
     data = [(i, f"text number {i} " * (1 + i % 3), None, "ab"[i % 2], 1, "", 1) for i in range(128)] + [(None, "no id", None, "b", 1, "", 1)] * 2
     path = public_tokenizers.path("word_bpe_49k.json")
