@@ -3,8 +3,8 @@
 Tokens are runs of characters other than blanks, quotes, brackets and separators.  The
 field tags each as begin, inside or outside of a secret from its shape, the words and
 marks beside it and features of its file, and is decoded by Viterbi.  Tokens shorter than
-eight characters or without a digit may only be outside (structural zeros of the model), so
-the best path through them is known and a text splits there into short runs that are
+eight characters may only be outside, and so may those without a digit unless they mix upper and lower
+case or a word such as "key" stands before them (structural zeros of the model), so the best path through them is known and a text splits there into short runs that are
 decoded one by one - the result is that of decoding the whole text.
 """
 
@@ -58,18 +58,21 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 DELIMITERS = " \t\n\r\x0b\x0c\"'`<>(){}[],;:|="
 _DIGIT = re.compile(r"[0-9]")
 _NOT_TOKEN = re.compile(r"[\s\"'`<>(){}\[\],;:|=]")
+_LONG_TOKEN = re.compile(r"[^\s\"'`<>(){}\[\],;:|=]{8,}")
+_MIXED = re.compile(r"[a-z][A-Z]|[A-Z]{2}[a-z]")
+_HARD = re.compile(r"[b-df-hj-np-tv-xz]{5}", re.I)
 _BEFORE = re.compile(r"([A-Za-z_-]*)([^A-Za-z_-]*)$")
 #: Context that the neighbour features look at, in characters.
 CONTEXT = 40
 KEYWORD = re.compile(r"key|secret|token|passw|pwd|auth|bearer|credential|private|signature|cert", re.I)
 CODE = re.compile(r"\{\s*$|;\s*$|==|\bimport\b|\bexport\b|\bdef\b", re.M)
 OUT, BEGIN, INSIDE = 0, 1, 2
-N_FEATURES = 32
+N_FEATURES = 37
 
 
-def is_open(token: str) -> bool:
-    """Whether a token may be part of a secret at all."""
-    return len(token) >= 8 and _DIGIT.search(token) is not None
+def is_open(token: str, before: str) -> bool:
+    """Whether a token may be part of a secret at all; ``before`` is the text ahead of it."""
+    return len(token) >= 8 and (_DIGIT.search(token) is not None or _MIXED.search(token) is not None or KEYWORD.search(before) is not None)
 
 
 def features(token: str, before: str, after: str, file: tuple[bool, bool], follows: bool) -> np.ndarray:
@@ -108,6 +111,11 @@ def features(token: str, before: str, after: str, file: tuple[bool, bool], follo
     x[29] = follows
     x[30] = x[22] and x[23]
     x[31] = x[18] and x[17] and upper and lower
+    x[32] = not digits
+    x[33] = KEYWORD.search(before) is not None
+    x[34] = not digits and x[30]
+    x[35] = not digits and upper and lower and _MIXED.search(token) is not None
+    x[36] = _HARD.search(token) is not None
     return x
 
 
@@ -119,18 +127,9 @@ def file_features(text: str) -> tuple[bool, bool]:
 def open_runs(text: str) -> Iterator[list[tuple[int, int]]]:
     """Runs of adjacent open tokens, as (start, end); between runs every path is outside."""
     run: list[tuple[int, int]] = []
-    done = 0
-    for m in _DIGIT.finditer(text):
-        at = m.start()
-        if at < done:
-            continue
-        start = at
-        while start > done and text[start - 1] not in DELIMITERS and not text[start - 1].isspace():
-            start -= 1
-        end_m = _NOT_TOKEN.search(text, at)
-        end = end_m.start() if end_m else len(text)
-        done = end
-        if end - start < 8:
+    for m in _LONG_TOKEN.finditer(text):
+        start, end = m.span()
+        if not is_open(m[0], text[max(0, start - CONTEXT) : start]):
             continue
         if run and _NOT_TOKEN.sub("", text[run[-1][1] : start]):
             yield run
@@ -192,12 +191,17 @@ def _word(rng: np.random.Generator) -> str:
     return _token(rng, "etaoinshrdlu", 2, 9)
 
 
+def _words(rng: np.random.Generator) -> str:
+    """A long word, or words joined by hyphens."""
+    return str(rng.choice(["", "-"])).join(_word(rng) for _ in range(int(rng.integers(2, 4))))
+
+
 def example(rng: np.random.Generator) -> tuple[str, list[tuple[int, int]]]:
     """A made-up passage and its secrets: keys in several forms, or numbers that are none."""
     low, up, dig = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     words = lambda k: " ".join(_word(rng) for _ in range(k))
     before, after = words(rng.integers(0, 6)), words(rng.integers(0, 6))
-    kind = int(rng.integers(0, 14))
+    kind = int(rng.integers(0, 20))
     name = str(rng.choice(["key", "api-key", "secret_key", "auth", "Authorization", "pwd", "credential", "private", "access_token"]))
     sep = str(rng.choice(["=", ": ", " = ", ":", " "]))
     quote = str(rng.choice(["", '"', "'"]))
@@ -218,8 +222,9 @@ def example(rng: np.random.Generator) -> tuple[str, list[tuple[int, int]]]:
         secret = ".".join(_token(rng, low + up + dig + "_-", 20, 40) for _ in range(3))
         body = f"Bearer {secret}" if rng.random() < 0.5 else f"{name}{sep}{secret}"
     elif kind == 5:
-        secret = " ".join(_token(rng, low + up + dig + "+/", 30, 64) for _ in range(int(rng.integers(2, 4))))
-        body = f"private key: {secret}"
+        alphabet, least = str(rng.choice([low + up + dig + "+/", low + up + dig])), int(rng.choice([12, 30]))
+        secret = " ".join(_token(rng, alphabet, least, 64 if least == 30 else 24) for _ in range(int(rng.integers(2, 4))))
+        body = f"{str(rng.choice(['private key', 'secret', name]))}: {secret}"
     elif kind == 6:
         body = _token(rng, dig, 8, 20)
     elif kind == 7:
@@ -234,6 +239,18 @@ def example(rng: np.random.Generator) -> tuple[str, list[tuple[int, int]]]:
         body = f"{rng.integers(1990, 2030)}-{rng.integers(10, 13)}-{rng.integers(10, 28)}T{rng.integers(10, 23)}-{rng.integers(10, 59)} {_word(rng)}{_word(rng)}{rng.integers(1, 99)}"
     elif kind == 12:
         body = f"{_word(rng)}_{_word(rng)}_{rng.integers(1, 9)} {_word(rng)}{rng.integers(100, 999)}{_word(rng)}.txt version-{rng.integers(1, 9)}.{rng.integers(1, 99)}.0"
+    elif kind in (14, 15):
+        secret = _token(rng, low + up if kind == 14 else low, 16, 40)
+        body = f"{name}{sep}{quote}{secret}{quote}"
+    elif kind == 16:
+        secret = _token(rng, low + up, 24, 64)
+        body = secret
+    elif kind == 17:
+        body = f"{name}{str(rng.choice([' ', ' of the ', ': the ', ', ', sep]))}{_words(rng)} {_words(rng)}"
+    elif kind == 18:
+        body = f"{_word(rng)}{''.join(_word(rng).title() for _ in range(int(rng.integers(1, 5))))} {_word(rng).title()}{_word(rng).title()}.{_word(rng)}{_word(rng).title()}"
+    elif kind == 19:
+        body = f"{name}{sep}{quote}{_word(rng)}{''.join(_word(rng).title() for _ in range(int(rng.integers(1, 4))))}{quote} {_words(rng)}"
     else:
         body = f"id: {_token(rng, dig, 8, 12)} {str(rng.choice(['***', '%%%', '###', '!!']))}{_word(rng)}{rng.integers(10, 99)}{_word(rng)}"
     text = " ".join(x for x in (before, body, after) if x)
@@ -309,9 +326,9 @@ def field() -> Field:
 
 
 def all_spans(text: str, model: Field) -> list[tuple[int, int, int, str]]:
-    """Base spans, and those of the field that touch no base span, by start and kind."""
+    """Base spans, and those of the field that don't lie wholly inside one, by start and kind; they may overlap."""
     base = base_spans(text)
-    more = [(a, len(KINDS), b, "field") for a, b in model.spans(text) if not any(a < e and s < b for s, _, e, _ in base)]
+    more = [(a, len(KINDS), b, "field") for a, b in model.spans(text) if not any(s <= a and b <= e for s, _, e, _ in base)]
     return sorted(base + more)
 
 
