@@ -159,6 +159,15 @@ def star_components(spark, sf_dir):
     return graph.components(nodes, some).groupBy("component").agg(F.count(F.lit(1)).alias("nodes"))
 
 
+def component_sizes(net: Network) -> DataFrame:
+    """Components over all points and lines, and their points."""
+    return graph.components(net.points.select("node"), net.edges).groupBy("component").agg(F.count(F.lit(1)).alias("nodes"))
+
+
+def all_components(spark, sf_dir):
+    return component_sizes(network(spark, sf_dir))
+
+
 def loop_edges(spark, sf_dir):
     net = network(spark, sf_dir)
     return net.edges.join(traces.loops(net), "eid", "left_semi").select("class", "fid")
@@ -304,6 +313,7 @@ QUERIES = {
         pairs AS (SELECT DISTINCT src AS node, src AS root FROM both_ways UNION SELECT dst, root FROM pairs JOIN both_ways ON src = node),
         least AS (SELECT node, min(root) AS component FROM pairs GROUP BY node) SELECT component, count(*) AS nodes FROM least GROUP BY component""",
     ),
+    "all_components": (all_components, None),
     "loop_edges": (loop_edges, None),
     "block_sizes": (block_sizes, None),
     "upstream_all": (upstream_all, None),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshwright.operators import reports, rules
+from meshwright.plans.graph_queries import criticality
 from meshwright.sources import network_view as nv
 
 #: class, group, type, size, price, unit in the order in which they are looked up; null fits everything.
@@ -121,6 +122,22 @@ def risk_ranking(spark, sf_dir):
     return reports.ranked(risk_scores(spark, sf_dir)).select("priority", "class", "fid", "score", "risk")
 
 
+def with_losses(lines: DataFrame, lost: DataFrame) -> DataFrame:
+    """All ``lines`` with the customers that each cuts off by ``lost`` (``class, fid, customers``), zero where none."""
+    condition = F.when(F.col("lifecycle") == 4, 5)
+    lines = lines.select("class", "fid", "built", condition.alias("condition")).join(lost, ["class", "fid"], "left")
+    return lines.withColumn("customers", F.coalesce("customers", F.lit(0)))
+
+
+def risk_scores_all(spark, sf_dir):
+    """Lines of every class, Mesh included, by the customers that are cut off without them."""
+    return reports.risk(with_losses(nv.lines(spark, sf_dir), criticality(spark, sf_dir)), AS_OF_YEAR, F.lit(LIFE))
+
+
+def risk_ranking_all(spark, sf_dir):
+    return reports.ranked(risk_scores_all(spark, sf_dir)).select("priority", "class", "fid", "score", "risk")
+
+
 def next_ids(spark, sf_dir):
     """Identifiers for parts, going on after those that suppliers hold by region."""
     existing = nv.table(spark, sf_dir, "supplier").select(F.concat_ws("-", F.concat(F.lit("N"), F.col("s_nationkey")), F.lpad(F.col("s_suppkey").cast("string"), 6, "0")).alias("assetid"))
@@ -192,6 +209,8 @@ QUERIES = {
     ),
     "risk_scores": (risk_scores, f"WITH {nv.VIEW_SQL}, {_FED} SELECT class, fid, customers, likelihood, consequence, score, risk FROM risks"),
     "risk_ranking": (risk_ranking, f"WITH {nv.VIEW_SQL}, {_FED} SELECT row_number() OVER (ORDER BY score DESC, customers DESC, class, fid) AS priority, class, fid, score, risk FROM risks"),
+    "risk_scores_all": (risk_scores_all, None),
+    "risk_ranking_all": (risk_ranking_all, None),
     "next_ids": (
         next_ids,
         """WITH most AS (SELECT concat('N', s_nationkey) AS prefix, max(s_suppkey) AS most FROM supplier GROUP BY 1)
