@@ -2,10 +2,16 @@
 
 Each document's words are cut into non-overlapping reference blocks of half a window.  A
 repeated window holds at least one whole reference block of the other document, so every
-rolling window of block length probes the index of blocks (first exchange).  Around hits,
-the full windows are compared between all documents (second exchange): the union of the
-windows that a smaller document also holds is exactly the union of maximal repeats of at
-least a window, which is what a hit extended word by word would give.
+rolling window of block length probes the index of blocks (an exchange of fingerprints).  Of the hits
+in a window the one with the smallest fingerprint is its anchor (see ``anchors``), the same in all copies.
+
+Hits are then extended: each sends the words around it once, equal ones of a chunk as one.  Where
+hits of one block meet, they are extended word by word, to the right and to the left, all at once: a step splits those
+whose next words differ.  Hits that are together after ``l`` words to the left and the rest of a window to the
+right hold the same window, and those are judged by the smallest document.  The union of such windows is that of
+the maximal repeats of at least a window, and no pair of hits is ever made.
+
+Fingerprints only choose hits; whether windows are equal is decided by their words.
 """
 
 from __future__ import annotations
@@ -17,11 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .anchors import NEVER, Anchors, level_bits, smaller_elsewhere, spans_of
 from .common import (
     ENTRY_SCHEMA,
     Chunk,
+    Grouped,
     answered,
     bucket_count,
+    bucket_of,
     chunk_table,
     codes_of,
     entries,
@@ -37,44 +46,32 @@ from .common import (
 WINDOW = 50
 #: An English-like word and its blank, for the number of buckets only.
 WORD_BYTES = 6
+#: Hits that one bucket extends, if all could repeat.
+BUCKET_HITS = 1 << 16
 
+HIT_SCHEMA = "bucket long, chunk_id long, ids binary, low binary, high binary, words binary"
+ANSWER_SCHEMA = "bucket long, chunk_id long, codes binary"
 RESULT = "doc_id long, n_words long, n_removed long, kept_text string"
 
 
-class Grouped:
-    """Positions grouped by fingerprint: sorted distinct fingerprints and per-group minima and maxima."""
-
-    def __init__(self, hashes: np.ndarray) -> None:
-        self.order = np.argsort(hashes, kind="stable")
-        ranked = hashes[self.order]
-        new = np.ones(len(ranked), bool)
-        new[1:] = ranked[1:] != ranked[:-1]
-        self.first = np.flatnonzero(new)
-        self.distinct = ranked[self.first]
-        self.group = np.empty(len(ranked), np.int64)
-        self.group[self.order] = np.cumsum(new) - 1
-
-    def least(self, values: np.ndarray) -> np.ndarray:
-        return np.minimum.reduceat(values[self.order], self.first) if len(self.first) else values[:0]
-
-    def most(self, values: np.ndarray) -> np.ndarray:
-        return np.maximum.reduceat(values[self.order], self.first) if len(self.first) else values[:0]
-
-
 class Windows:
     """Words of a chunk and its windows, worked out again in every pass instead of being stored."""
 
-    def __init__(self, chunk: Chunk, window: int) -> None:
-        self.chunk, self.window, self.block = chunk, window, window // 2
-        _, _, self.words, self.counts = words_of(chunk)
+    def __init__(self, row: dict, window: int) -> None:
+        self.chunk = chunk = Chunk(row)
+        self.window, self.span = window, spans_of(window)
+        self.block = window - self.span
+        self.start, self.end, words, self.counts = words_of(chunk)
+        self.n_words = len(words)
         long_enough = np.where(self.counts >= window, self.counts, 0)
-        first = np.concatenate([[0], np.cumsum(self.counts)[:-1]])
-        at, self.probe_owner = inside(long_enough, self.block)
+        first = np.cumsum(self.counts) - self.counts
+        _, self.probe_owner = inside(long_enough, self.block)
         fit = np.maximum(long_enough - self.block + 1, 0)
-        inner = np.arange(len(at)) - np.repeat(np.cumsum(fit) - fit, fit)
+        inner = np.arange(fit.sum()) - np.repeat(np.cumsum(fit) - fit, fit)
         self.probe_at = inner + np.repeat(first, fit)
         self.aligned = inner % self.block == 0
-        self.probes = Grouped(window_hashes(self.words, self.block)[self.probe_at])
+        self.hashes = window_hashes(words, self.block)
+        self.probes = Grouped(self.hashes[self.probe_at])
 
     def index_entries(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct block-length windows: documents that hold them here (1, or 2 for more), plus 4 if a reference block."""
@@ -82,29 +79,58 @@ class Windows:
         several = g.least(self.probe_owner) != g.most(self.probe_owner)
         return g.distinct, (1 + several + 4 * g.most(self.aligned)).astype(np.uint8)
 
-    def candidates(self, hit: np.ndarray) -> None:
-        """Full windows that hold a hit anchor."""
-        n = len(self.words)
-        marks = np.zeros(n + 1, np.int64)
-        marks[1:][self.probe_at] = hit[self.probes.group]
-        marks = np.cumsum(marks)
-        first = np.concatenate([[0], np.cumsum(self.counts)[:-1]])
-        fit = np.maximum(self.counts - self.window + 1, 0)
-        at = np.arange(fit.sum()) - np.repeat(np.cumsum(fit) - fit, fit) + np.repeat(first, fit)
-        owner = np.repeat(np.arange(len(fit)), fit)
-        near = marks[at + self.window - self.block + 1] > marks[at]
-        self.at = at[near]
-        self.ids = self.chunk.ids[owner[near]]
-        self.full = Grouped(window_hashes(self.words, self.window)[self.at])
-
-    def removed(self, smaller_elsewhere: np.ndarray) -> np.ndarray:
+    def hits(self, hit: np.ndarray, buckets: int) -> None:
+        """The anchors among the hits, and the distinct words around them, in order of buckets."""
+        values = np.full(len(self.hashes), NEVER)
+        if len(hit):
+            at = self.probe_at[hit[self.probes.group] > 0]
+            values[at] = np.minimum((self.hashes[at] >> np.uint64(32)).astype(np.uint32), NEVER - np.uint32(1))
+        valid = np.zeros(self.n_words, bool)
+        valid[inside(self.counts, self.window)[0]] = True
+        self.anchors = Anchors(values, valid, self.span)
+        place, low, high = self.anchors.place, self.anchors.low, self.anchors.high
+        self.ids = self.chunk.ids[np.searchsorted(np.cumsum(self.counts), place, "right")]
+        text = self.chunk.text
+        begin, end = self.start[place - high].tolist(), self.end[place + self.window - low - 1].tolist()
+        number: dict[tuple, int] = {}
+        self.group = np.array(
+            [
+                number.setdefault((b" ".join(text[a:b].split()), i, j), len(number))
+                for a, b, i, j in zip(begin, end, low.tolist(), high.tolist(), strict=True)
+            ],
+            np.int64,
+        )
+        self.contexts = list(number)
+        least = np.full(len(number), np.iinfo(np.int64).max)
+        np.minimum.at(least, self.group, self.ids)
+        bucket = np.zeros(len(number), np.int64)
+        bucket[self.group] = bucket_of(self.hashes[place], buckets).astype(np.int64)
+        self.sent = np.argsort(bucket, kind="stable")
+        self.bucket, self.least = bucket[self.sent], least
+
+    def messages(self) -> Iterator[pa.RecordBatch]:
+        """One row a bucket."""
+        cut = np.flatnonzero(np.concatenate([[True], self.bucket[1:] != self.bucket[:-1]])) if len(self.bucket) else []
+        for a, b in zip(cut, [*cut[1:], len(self.bucket)], strict=True):
+            mine = [self.contexts[k] for k in self.sent[a:b].tolist()]
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "bucket": pa.array(self.bucket[a : a + 1]),
+                    "chunk_id": pa.array([self.chunk.chunk_id], pa.int64()),
+                    "ids": pa.array([self.least[self.sent[a:b]].tobytes()], pa.binary()),
+                    "low": pa.array([bytes(i for _, i, _ in mine)], pa.binary()),
+                    "high": pa.array([bytes(j for *_, j in mine)], pa.binary()),
+                    "words": pa.array([b"\n".join(x for x, *_ in mine)], pa.binary()),
+                }
+            )
+
+    def removed(self, codes: np.ndarray) -> np.ndarray:
         """Words covered by a window that a smaller document also holds."""
-        g = self.full
-        bad = (smaller_elsewhere[g.group] == 1) | (self.ids > g.least(self.ids)[g.group])
-        edge = np.zeros(len(self.words) + 1, np.int64)
-        np.add.at(edge, self.at[bad], 1)
-        np.add.at(edge, self.at[bad] + self.window, -1)
-        return np.cumsum(edge)[:-1] > 0
+        bits = np.zeros(len(self.sent), np.uint32)
+        bits[self.sent] = codes
+        all_levels = level_bits(self.anchors.low, self.anchors.high)
+        bits = np.where(self.ids > self.least[self.group], all_levels, bits[self.group])
+        return self.anchors.covered(bits, self.n_words, self.window)
 
 
 def _anchored(values: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
@@ -115,11 +141,41 @@ def _anchored(values: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
     return ((holders >= 2) & index)[group].astype(np.uint8)
 
 
-def smaller_elsewhere(values: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
-    """1 where another chunk's smallest document is smaller than this one's."""
-    least = np.full(n, np.iinfo(np.int64).max)
-    np.minimum.at(least, group, values)
-    return (values > least[group]).astype(np.uint8)
+def _extended(together: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hits that stay together when each is extended by one more word."""
+    return np.unique(together.astype(np.int64) << 32 | (word + 1), return_inverse=True)[1]
+
+
+def _extender(window: int):
+    span = spans_of(window)
+
+    def extend(table: pa.Table) -> pa.Table:
+        ids, low, high = ([np.frombuffer(x, t) for x in table.column(c).to_pylist()] for c, t in (("ids", np.int64), ("low", np.uint8), ("high", np.uint8)))
+        sizes = [len(x) for x in ids]
+        values, low, high = np.concatenate(ids), np.concatenate(low).astype(np.int64), np.concatenate(high).astype(np.int64)
+        right = np.full((len(values), window), -1, np.int32)
+        left = np.full((len(values), span), -1, np.int32)
+        number: dict[bytes, int] = {}
+        k = 0
+        for blob in table.column("words"):
+            for context in blob.as_py().split(b"\n"):
+                words = [number.setdefault(w, len(number)) for w in context.split(b" ")]
+                at = int(high[k])
+                right[k, : len(words) - at] = words[at:]
+                left[k, :at] = words[:at][::-1]
+                k += 1
+        together = [np.zeros(len(values), np.int64)]
+        for word in right.T:
+            together.append(_extended(together[-1], word))
+        before = [together[0]]
+        for word in left.T:
+            before.append(_extended(before[-1], word))
+        bits = smaller_elsewhere(low, high, values, lambda level: (before[level], together[window - level]), span)
+        ends = np.cumsum(sizes)
+        codes = [bits[b - n : b].tobytes() for n, b in zip(sizes, ends, strict=True)]
+        return pa.table({"bucket": table.column("bucket"), "chunk_id": table.column("chunk_id"), "codes": pa.array(codes, pa.binary())})
+
+    return extend
 
 
 def dedup_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -128,38 +184,40 @@ def dedup_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     A word goes if a window of ``window`` words that covers it also starts in a document with a
     smaller doc_id; windows are judged on the input. A null or empty text has no words. Rows that
     share an id don't shorten each other; a null id is larger than all others. Empty tables give
-    empty results; other columns are not read.
+    empty results; other columns are not read. A document stays whole in one task, which takes some 30 bytes of memory
+    a byte of it, and the windows of its words once more for every 13 words that repeat.
     """
     spark = docs.sparkSession
     chunks = chunk_table(docs)
     total = chunks.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = bucket_count(total // WORD_BYTES)
+    hit_buckets = max(16, total // (WORD_BYTES * 13 * BUCKET_HITS))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
-            w = Windows(Chunk(row), window)
-            yield from entries(row["chunk_id"], *w.index_entries(), buckets, bits=48)
+            yield from entries(row["chunk_id"], *Windows(row, window).index_entries(), buckets, bits=48)
 
     anchors = staged(exchange(chunks.mapInArrow(index, ENTRY_SCHEMA), "u1", _anchored, bits=48), "anchors")
     release_shuffles(spark)
     anchored = answered(chunks, anchors)
 
-    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
-            w = Windows(Chunk(row), window)
-            w.candidates(codes_of(row))
-            yield from entries(row["chunk_id"], w.full.distinct, w.full.least(w.ids), buckets)
+            w = Windows(row, window)
+            w.hits(codes_of(row), hit_buckets)
+            yield from w.messages()
 
-    verdicts = staged(exchange(anchored.mapInArrow(full, ENTRY_SCHEMA), "i8", smaller_elsewhere), "verdicts")
+    extended = anchored.mapInArrow(hits, HIT_SCHEMA).groupBy("bucket").applyInArrow(_extender(window), ANSWER_SCHEMA)
+    extended = staged(extended.groupBy("chunk_id").agg(F.sort_array(F.collect_list(F.struct("bucket", "codes"))).alias("verdicts")), "verdicts")
     release_shuffles(spark)
-    judged = answered(anchored, verdicts, "verdicts")
+    judged = answered(anchored, extended, "verdicts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
-            chunk = Chunk(row)
-            w = Windows(chunk, window)
-            w.candidates(codes_of(row))
-            gone = w.removed(codes_of({"answers": row["verdicts"]}))
+            w = Windows(row, window)
+            w.hits(codes_of(row), hit_buckets)
+            chunk = w.chunk
+            gone = w.removed(codes_of({"answers": row["verdicts"]}).view(np.uint32))
             per_doc = np.split(gone, np.cumsum(w.counts)[:-1])
             kept = []
             for a, b, g in zip(chunk.starts, chunk.ends, per_doc, strict=True):

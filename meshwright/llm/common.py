@@ -12,6 +12,7 @@ row, and no task sees a group larger than a bucket.
 from __future__ import annotations
 
 import gc
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -32,13 +33,17 @@ BUCKET_ENTRIES = 1 << 19
 #: Documents that one chunk row holds at most, so that a row number fits beside the chunk's.
 CHUNK_DOCS = 1 << 13
 
-CHUNK_SCHEMA = "chunk_id long, n_bytes long, doc_ids binary, ends binary, flags binary, text binary"
+CHUNK_SCHEMA = "chunk_id long, n_bytes long, doc_ids binary, ends binary, signs binary, text binary"
+#: Text bytes of one bucket of a chunk table, on average, where the corpus is large.
+TABLE_BUCKET_BYTES = 1 << 28
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; one is set only where the session names none."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="meshwright-")
         spark.conf.set("spark.checkpoint.dir", root)
     if not spark.sparkContext.getCheckpointDir():
@@ -88,7 +93,6 @@ def text_rows(docs: DataFrame, *more: str) -> DataFrame:
 def _pack_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     base, seq = TaskContext.get().partitionId() << 28, 0
     ids: list[int] = []
-    flags: list[bool] = []
     parts: list[bytes] = []
     size = 0
 
@@ -100,42 +104,51 @@ def _pack_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 "n_bytes": pa.array([size], pa.int64()),
                 "doc_ids": pa.array([np.array(ids, np.int64).tobytes()], pa.binary()),
                 "ends": pa.array([ends.tobytes()], pa.binary()),
-                "flags": pa.array([np.array(flags, np.uint8).tobytes()], pa.binary()),
+                "signs": pa.array([b"".join(hashlib.md5(p).digest() for p in parts)], pa.binary()),
                 "text": pa.array([b"".join(parts)], pa.binary()),
             }
         )
 
     for batch in batches:
-        columns = [batch.column("doc_id").fill_null(NULL_ID), batch.column("flag"), batch.column("text").cast(pa.binary())]
-        for doc_id, flag, raw in zip(*[c.to_pylist() for c in columns], strict=True):
+        columns = [batch.column("doc_id").fill_null(NULL_ID), batch.column("text").cast(pa.binary())]
+        for doc_id, raw in zip(*[c.to_pylist() for c in columns], strict=True):
             ids.append(doc_id)
-            flags.append(flag)
             parts.append(raw)
             size += len(raw)
             if size >= CHUNK_BYTES or len(ids) >= CHUNK_DOCS:
                 yield row()
-                ids, flags, parts, size, seq = [], [], [], 0, seq + 1
+                ids, parts, size, seq = [], [], 0, seq + 1
     if ids:
         yield row()
 
 
-def chunk_table(docs: DataFrame, flag: str | None = None) -> DataFrame:
+def chunk_table(docs: DataFrame) -> DataFrame:
     """Write ``docs`` as rows of about four megabytes of text each, without a shuffle.
 
-    The table is bucketed by chunk, so that answers are joined to it without moving texts again.
-    ``flag`` names a boolean column to keep for each document.
+    The table is bucketed by chunk, so that answers are joined to it without moving texts again; its
+    number of buckets grows with the corpus. ``signs`` holds the MD5 of every text.
     """
     spark = docs.sparkSession
-    rows = text_rows(docs.withColumn("_flag", F.col(flag) if flag else F.lit(False)), "_flag")
+    rows = text_rows(docs)
     name = f"chunks_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed = rows.withColumnRenamed("_flag", "flag").mapInArrow(_pack_chunks, CHUNK_SCHEMA)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TABLE_BUCKET_BYTES))
+    packed = rows.mapInArrow(_pack_chunks, CHUNK_SCHEMA)
     packed.write.format("parquet").option("compression", "zstd").bucketBy(buckets, "chunk_id").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     table = spark.table(name)
     table.staged_in = f"{shared_dir(spark)}/{name}"
+    # The name was needed only to write buckets: what was read keeps its files and their layout.
+    spark.sql(f"DROP TABLE {name}")
     return table
 
 
+def spread_join(rows: DataFrame, facts: DataFrame, key: str, by: str, how: str = "inner", salts: int = 64) -> DataFrame:
+    """Join ``rows`` to ``facts``, which has one row a ``key``; rows of a hot key are spread by their ``by``."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)))
+    copies = salted.select(key, "_salt").distinct().join(facts, key, how)
+    return salted.join(copies, [key, "_salt"]).drop("_salt")
+
+
 def answered(chunks: DataFrame, answers: DataFrame, name: str = "answers") -> DataFrame:
     """Chunks with the answers of an exchange beside them; only the answers move."""
     return chunks.join(answers.withColumnRenamed("answers", name).hint("shuffle_hash"), "chunk_id", "left")
@@ -240,6 +253,26 @@ def inside(counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return at, owner
 
 
+class Grouped:
+    """Positions grouped by value: sorted distinct values and per-group minima and maxima."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        self.order = np.argsort(values, kind="stable")
+        ranked = values[self.order]
+        new = np.ones(len(ranked), bool)
+        new[1:] = ranked[1:] != ranked[:-1]
+        self.first = np.flatnonzero(new)
+        self.distinct = ranked[self.first]
+        self.group = np.empty(len(ranked), np.int64)
+        self.group[self.order] = np.cumsum(new) - 1
+
+    def least(self, values: np.ndarray) -> np.ndarray:
+        return np.minimum.reduceat(values[self.order], self.first) if len(self.first) else values[:0]
+
+    def most(self, values: np.ndarray) -> np.ndarray:
+        return np.maximum.reduceat(values[self.order], self.first) if len(self.first) else values[:0]
+
+
 # ---------------------------------------------------------------- exchange
 
 ENTRY_SCHEMA = "bucket long, chunk_id long, hashes binary, payload binary"

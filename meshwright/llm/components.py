@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, staged
+from .common import discard, spread_join, staged
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -16,18 +16,16 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     owned it, so chains shorten; every round is a staged table, and only the number of
     changed labels comes to the driver.
     """
-    links = staged(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))), "edges")
-    both = links.withColumnsRenamed({"a": "src", "b": "dst"})
+    links = staged(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).toDF("src", "dst"), "edges")
     last, now = None, staged(nodes.select("node", "label"), "labels")
-    owners = now.withColumnsRenamed({"node": "owner", "label": "owned"})
+    owners = now.withColumnsRenamed({"node": "owner", "label": "near"})
     while True:
-        heard = both.join(now, both["src"] == now["node"]).groupBy("dst").agg(F.min("label").alias("heard"))
-        nearer = now.join(heard, now["node"] == heard["dst"], "left").select(
-            "node", "label", F.least("label", F.coalesce("heard", "label")).alias("near")
-        )
+        # A node with very many edges, or a label with very many nodes, is spread over tasks.
+        heard = spread_join(links, now.withColumnRenamed("node", "src"), "src", "dst").groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("heard"))
+        nearer = now.join(heard, "node", "left").select("node", "label", F.least("label", F.coalesce("heard", "label")).alias("near"))
         # The label's owner may itself have heard of a smaller one.
-        of_owner = now.join(owners, now["node"] == owners["owner"]).select("owned", F.col("label").alias("jump"))
-        new = nearer.join(of_owner, nearer["near"] == of_owner["owned"], "left").select(
+        of_owner = now.select(F.col("node").alias("owner"), F.col("label").alias("jump")).join(owners, "owner").select("near", "jump")
+        new = spread_join(nearer, of_owner, "near", "node", "left").select(
             "node", F.least("near", F.coalesce("jump", "near")).alias("label"), (F.col("near") != F.col("label")).alias("moved"), "jump"
         )
         new = staged(new, "labels")

@@ -27,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .block_dedup import Grouped
 from .common import (
     ENTRY_SCHEMA,
     NULL_ID,
     Chunk,
+    Grouped,
     answered,
     bucket_count,
     chunk_table,
@@ -41,6 +41,7 @@ from .common import (
     exchange,
     release_shuffles,
     rows_of,
+    spread_join,
     staged,
     window_hashes,
     words_of,
@@ -52,7 +53,7 @@ WORDS = 5
 PERCENT = 80
 
 ROWS = "row long, doc_id long, n long, grams binary, rarity binary"
-EDGES = "a long, b long, overlap long"
+EDGES = "a long, b long, overlap long, label_a long, label_b long"
 
 
 class Incidence:
@@ -151,7 +152,21 @@ def _overlaps(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
         got = block_product(left, blobs, pairs, percent)
         sizes_a, sizes_b = np.array([len(x) for x in left]), np.array([len(blobs[p]) for p in place])
         good = (got >= 0) & links(got, sizes_a, sizes_b, percent) if len(a) else np.zeros(0, bool)
-        yield pa.RecordBatch.from_pydict({"a": pa.array(a[good]), "b": pa.array(b[good]), "overlap": pa.array(got[good])})
+        told = {c: batch.column(c).filter(pa.array(good)) for c in ("label_a", "label_b")}
+        yield pa.RecordBatch.from_pydict({"a": pa.array(a[good]), "b": pa.array(b[good]), "overlap": pa.array(got[good])} | told)
+
+
+def _relabelled(labels: DataFrame, edges: DataFrame, *rows: DataFrame) -> tuple[DataFrame, ...]:
+    """``labels``, and every table of ``rows``, with the labels that edges join replaced by the smallest of their component."""
+    joined = staged(edges.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct(), "joined")
+    ends = joined.select("a").union(joined.select("b")).distinct().select(F.col("a").alias("node"), F.col("a").alias("label"))
+    moved = components(ends, joined).select(F.col("label").alias("_new"), F.col("node").alias("label"))
+    out = []
+    for table in (labels, *rows):
+        columns = [F.coalesce("_new", "label").alias(c) if c == "label" else F.col(c) for c in table.columns]
+        out.append(staged(spread_join(table, moved, "label", "row", "left").select(*columns), "labels"))
+    discard(joined, edges)
+    return tuple(out) if rows else (out[0], None)
 
 
 def similar_documents(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, digests: bool = False) -> DataFrame:
@@ -210,7 +225,6 @@ def similar_documents(docs: DataFrame, width: int = WORDS, percent: int = PERCEN
     sizes = staged(every.select("row", "doc_id", "n", *told), "sizes")
     discard(every)
     release_shuffles(spark)
-    nodes = twins.select(F.col("twin").alias("node"), F.struct(F.col("label"), F.col("twin")).alias("label"))
 
     # The first columns of each row, rarest first: a linked row holds one of them among its own first columns.
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,34 +252,39 @@ def similar_documents(docs: DataFrame, width: int = WORDS, percent: int = PERCEN
     def verified(pairs: DataFrame) -> DataFrame:
         left = sets.withColumnsRenamed({"row": "a", "grams": "grams_a"})
         right = sets.withColumnsRenamed({"row": "b", "grams": "grams_b"})
-        return staged(pairs.join(left, "a").join(right, "b").mapInArrow(lambda it: _overlaps(it, percent), EDGES), "edges")
-
-    # One partner per column and round, another one each time: near copies grow together without all their pairs.
-    named = firsts.select("gram", "row", "n", "place", F.struct(F.col("doc_id").alias("label"), F.col("row").alias("twin")).alias("label"))
-    held = named.groupBy("gram").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
-    named = staged(named.join(held.select("gram"), "gram", "left_semi"), "named")
+        blocks = spread_join(pairs.join(left, "a"), right, "b", "a").sortWithinPartitions("b")
+        return staged(blocks.mapInArrow(lambda it: _overlaps(it, percent), EDGES), "edges")
+
+    # Each round every row meets one partner, another one each time: near copies grow together without all their pairs.
+    # Only labels of components outlive a round, so components are joined on a graph that shrinks.
+    named = firsts.select("gram", "row", "n", "place")
+    held = named.groupBy("gram").agg(F.count(F.lit(1)).alias("held")).filter("held > 1").drop("held")
+    named = staged(spread_join(named, held, "gram", "row").withColumn("label", F.col("row")), "named")
     discard(firsts)
-    edges, found, turn, left = None, None, 0, None
+    labels, turn, before = staged(twins.select(F.col("twin").alias("row"), F.col("twin").alias("label")), "labels"), 0, None
     while True:
-        heads = named.groupBy("gram").agg(F.min(F.struct(F.xxhash64("row", F.lit(turn)).alias("order"), "row", "n", "label")).alias("head"))
-        stars = (
-            named.join(heads, "gram")
-            .filter((F.col("label") != F.col("head.label")) & may_link(F.col("n"), F.col("head.n")))
-            .select(F.col("row").alias("a"), F.col("head.row").alias("b"))
-            .distinct()
+        order = F.xxhash64("row", F.lit(turn))
+        heads = named.groupBy("gram").agg(
+            F.min(F.struct(order.alias("order"), F.col("row").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))).alias("head"),
+            F.min("label").alias("least"),
+            F.max("label").alias("most"),
         )
-        new = verified(stars)
-        edges = new if edges is None else edges.unionByName(new)
-        found = components(nodes, edges)
-        past, named = named, named.drop("label").join(found.withColumnRenamed("node", "row"), "row")
-        torn = named.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-        named = staged(named.join(torn, "gram", "left_semi").select("gram", "row", "n", "place", "label"), "named")
-        discard(past)
+        torn = staged(spread_join(named, heads.filter("least < most").select("gram", "head"), "gram", "row"), "torn")
+        discard(named)
+        left = torn.agg(F.approx_count_distinct("label")).first()[0]
+        if left:
+            met = torn.filter((F.col("label") != F.col("head.label_b")) & may_link(F.col("n"), F.col("head.n_b")))
+            met = met.groupBy(F.col("row").alias("a")).agg(F.min(F.struct("head.order", "head.b", F.col("label").alias("label_a"), "head.label_b")).alias("met"))
+            new = verified(met.select("a", "met.b", "met.label_a", "met.label_b"))
+            labels, named = _relabelled(labels, new, torn.drop("head"))
+        else:
+            named = staged(torn.drop("head"), "named")
+        discard(torn)
         release_shuffles(spark)
-        before, left, turn = left, named.select("label").distinct().count(), turn + 1
         # A round that joins under a tenth of what is apart is the last one.
         if not left or (before is not None and 10 * left > 9 * before):
             break
+        before, turn = left, turn + 1
 
     # Rows of different components that share a first column: the pair is made at the first one both have,
     # and only if the columns from there on can hold the overlap it needs. Columns that both have lie among the first
@@ -282,14 +301,16 @@ def similar_documents(docs: DataFrame, width: int = WORDS, percent: int = PERCEN
         .filter(F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) >= need)
         .filter(F.get(F.array_intersect("hot_a", "hot_b"), F.lit(0)) == F.col("gram"))
         .filter(F.size(F.array_intersect("hot_a", "hot_b")) + F.ceil(percent * F.greatest("n_a", "n_b") / 100) - 1 >= need)
-        .select(F.col("row_a").alias("a"), F.col("row_b").alias("b"))
+        .select(F.col("row_a").alias("a"), F.col("row_b").alias("b"), "label_a", "label_b")
     )
-    more = verified(pairs)
-    if more.limit(1).count():
-        found = components(nodes, edges.unionByName(more))
+    labels, _ = _relabelled(labels, verified(pairs))
     release_shuffles(spark)
 
-    members = signed.join(twins, "sign").join(found.withColumnRenamed("label", "component"), F.col("twin") == F.col("node"))
+    # A component's name is its smallest document, and of those with that id the first row.
+    named_by = twins.join(labels.withColumnsRenamed({"row": "twin", "label": "group"}), "twin")
+    names = named_by.groupBy("group").agg(F.min(F.struct("label", "twin")).alias("component"))
+    found = staged(spread_join(named_by.select("twin", "group"), names, "group", "twin").select("twin", "component"), "components")
+    members = spread_join(signed.select("row", "sign"), twins.join(found, "twin").select("sign", "twin", "component"), "sign", "row")
     members = members.select("row", "twin", F.col("component.label").alias("component"), F.col("component.twin").alias("head"))
     null = lambda c: F.when(c != NULL_ID, c)
     return sizes.join(members, "row", "left").select(
