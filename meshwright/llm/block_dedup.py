@@ -240,3 +240,26 @@ def dedup_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def op6_block_dedup(spark, sf_dir: str) -> DataFrame:
     found = dedup_windows(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
+
+
+OP6_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, coalesce(doc_id, 9223372036854775807) AS r, doc_id,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+),
+windows AS (
+  SELECT rid, r, i, array_to_string(w[i : i + 49], ' ') AS g
+  FROM (SELECT rid, r, w, unnest(range(1, len(w) - 48)) AS i FROM d)
+),
+bad AS (SELECT rid, i FROM (SELECT rid, r, i, min(r) OVER (PARTITION BY g) AS first FROM windows) WHERE r > first),
+gone AS (SELECT DISTINCT rid, unnest(range(i, i + 50)) AS i FROM bad),
+words AS (SELECT rid, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS x FROM d),
+kept AS (
+  SELECT rid, count(g.i) AS n_removed, string_agg(CASE WHEN g.i IS NULL THEN x END, ' ' ORDER BY words.i) AS t
+  FROM words LEFT JOIN gone g USING (rid, i) GROUP BY rid
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (rid)
+"""

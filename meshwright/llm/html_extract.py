@@ -13,6 +13,7 @@ import html as entities
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,9 @@ BLOCK_TAGS = frozenset(
 CLOSES_P = BLOCK_TAGS - {"button", "caption", "legend", "option", "body", "html", "tbody", "td", "tfoot", "th", "thead", "tr", "li", "dd", "dt", "title", "summary"}
 #: An item closes the open item of its kind, up to the container.
 CLOSES_SELF = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "option": ("select",), "tr": ("table",), "td": ("tr",), "th": ("tr",)}
+AROUND_P = BLOCK_TAGS - {"p"}
 GOOD_TAGS = ("article", "main")
-BAD_TAGS = ("nav", "header", "footer", "aside", "form", "menu", "button", "dialog", "head", "title", "figcaption", "label", "fieldset")
+BAD_TAGS = ("nav", "header", "footer", "aside", "form", "menu", "button", "dialog", "head", "title", "label", "fieldset")
 BAD_NAMES = (
     "nav menu sidebar side footer header banner ad ads advert adverts advertisement sponsor sponsored promo promotion cookie cookies "
     "consent notice notices alert popup modal newsletter subscribe signup login share sharing social breadcrumb breadcrumbs "
@@ -46,14 +48,20 @@ BAD_NAMES = (
 ).split()
 GOOD_NAMES = "article content main post entry story body text articlebody post-content entry-content".split()
 
-_TAG = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>", re.S)
-_CODE_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>|\Z", re.I) for tag in CODE_TAGS}
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+_PLAIN = re.compile(r"[^>=]*+")
+_BLANK = re.compile(r"\s*+")
+_UNQUOTED = re.compile(r"[^\s>]*+")
+_COMMENT_END = re.compile(r"--!?>")
+_CODE_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in CODE_TAGS}
 _NAMED = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|\bhidden\b(?!\s*=\s*[\"']?(?:false|until))|aria-hidden\s*=\s*[\"']?true", re.I)
 _SPLIT_NAME = re.compile(r"[\s_]+|-+|(?<=[a-z])(?=[A-Z])")
 _SPACE = re.compile(r"\s+")
 
-N_FEATURES = 15
+#: Elements deeper than this count as part of the one that holds them.
+MAX_DEPTH = 512
+N_FEATURES = 27
 
 
 class BlockOfText:
@@ -77,7 +85,8 @@ class Frame:
         good, bad, named_good, named_bad, hidden = above.marks if above else (False,) * 5
         in_page = tag in ("html", "body")
         if tag in GOOD_TAGS:
-            good, bad = True, bad
+            # Names of the layout around an article say nothing about it.
+            good, named_bad = True, False
         if tag in BAD_TAGS:
             bad = True
         if attributes and not in_page:
@@ -96,37 +105,78 @@ class Frame:
 _BAD, _GOOD = frozenset(BAD_NAMES), frozenset(GOOD_NAMES)
 
 
-def tags_of(page: str) -> Iterator[tuple[re.Match, int]]:
-    """Tags, comments and declarations in page order, with where the page goes on after each.
+class Tag(NamedTuple):
+    """A tag, comment or declaration of a page; ``name`` is None if it isn't a tag."""
 
-    That is behind the closing tag for code, else behind the tag itself; nothing inside code or a comment is a tag.
+    start: int
+    onward: int
+    name: str | None = None
+    closing: bool = False
+    attributes: str = ""
+    closed: bool = False
+
+
+def tags_of(page: str) -> Iterator[Tag]:
+    """Tags, comments and declarations in page order, and where the page goes on after each, in linear time.
+
+    That is behind the closing tag for code, else behind the tag itself; nothing inside code or a comment is a tag. A quote
+    holds back the end of a tag only where it begins a value and is closed again; without a ">" there is no tag.
     """
+    size = len(page)
+    last = {c: page.rfind(c) for c in ">\"'"}
     at = 0
-    while m := _TAG.search(page, at):
-        at = m.end()
-        if m[2] and not m[1] and m[2].lower() in CODE_TAGS:
-            at = _CODE_END[m[2].lower()].search(page, at).end()
-        yield m, at
+    while 0 <= (start := page.find("<", at)) < last[">"]:
+        at = start + 1
+        m = _NAME.match(page, start)
+        if m is None:
+            if page.startswith("<!--", start):
+                # "<!-->" and "<!--->" are whole comments.
+                end = _COMMENT_END.search(page, start + 2 if page[start + 4 : start + 6] in ("->", ">") or page[start + 4 : start + 5] == ">" else start + 4)
+                at = end.end() if end else size
+                yield Tag(start, at)
+            elif page[at : at + 1] in ("!", "?"):
+                at = page.index(">", at) + 1
+                yield Tag(start, at)
+            continue
+        end, bare = m.end(), -1
+        while True:
+            end = _PLAIN.match(page, end).end()
+            if end >= size or page[end] == ">":
+                break
+            end = _BLANK.match(page, end + 1).end()
+            quote = page[end : end + 1]
+            if quote and quote in "\"'" and last[quote] > end:
+                end = page.index(quote, end + 1) + 1
+            else:
+                end = bare = _UNQUOTED.match(page, end).end()
+        if end >= size:
+            continue
+        name, at = m[2].lower(), end + 1
+        if not m[1] and name in CODE_TAGS:
+            found = _CODE_END[name].search(page, at)
+            at = page.find(">", found.end()) + 1 or size if found else size
+        yield Tag(start, at, name, bool(m[1]), page[m.end() : end], page[end - 1] == "/" and bare != end)
+    if (start := page.find("<!--", at)) >= 0:
+        yield Tag(start, size)
 
 
-def dropped(tags: list[tuple[re.Match, int]]) -> dict[int, int]:
-    """Start of each closed element that is left out, and the number of its closing tag."""
+def dropped(tags: list[Tag]) -> dict[int, int]:
+    """Number of each opening tag whose closed element is left out, and of its closing tag."""
     open_tags: dict[str, list[int]] = {}
     ends = {}
-    for k, (m, _) in enumerate(tags):
-        tag = m[2] and m[2].lower()
-        if tag not in DROPPED_TAGS:
+    for k, tag in enumerate(tags):
+        if tag.name not in DROPPED_TAGS:
             continue
-        if not m[1]:
-            if not (tag in FOREIGN_TAGS and m[3].endswith("/")):
-                open_tags.setdefault(tag, []).append(m.start())
-        elif open_tags.get(tag):
-            ends[open_tags[tag].pop()] = k
+        if not tag.closing:
+            if not (tag.name in FOREIGN_TAGS and tag.closed):
+                open_tags.setdefault(tag.name, []).append(k)
+        elif open_tags.get(tag.name):
+            ends[open_tags[tag.name].pop()] = k
     return ends
 
 
 def blocks_of(page: str) -> list[BlockOfText]:
-    """Non-empty blocks of text in page order; broken markup never fails."""
+    """Non-empty blocks of text in page order; broken markup never fails, and time is linear in the page."""
     tags = list(tags_of(page))
     ends = dropped(tags)
     stack = [Frame("", None, "", 0)]
@@ -155,70 +205,74 @@ def blocks_of(page: str) -> list[BlockOfText]:
                 done.append(block)
             block = None
 
+    def close(tag: str, stops) -> None:
+        """Close the innermost open ``tag``, unless an element of ``stops`` is open inside it."""
+        for k in range(len(stack) - 1, 0, -1):
+            if stack[k].tag == tag:
+                del stack[k:]
+                return
+            if stack[k].tag in stops:
+                return
+
     until = -1
-    for place, (m, onward) in enumerate(tags):
+    for place, tag in enumerate(tags):
         if place <= until:
             continue
-        text(page[at : m.start()])
-        at = onward
-        tag = m[2]
-        if tag is None:
+        text(page[at : tag.start])
+        at, name = tag.onward, tag.name
+        if name is None:
             continue
-        tag = tag.lower()
-        if not m[1] and (tag in CODE_TAGS or m.start() in ends):
-            if tag not in CODE_TAGS:
-                until = ends[m.start()]
-                at = tags[until][1]
+        if not tag.closing and (name in CODE_TAGS or place in ends):
+            if name not in CODE_TAGS:
+                until = ends[place]
+                at = tags[until].onward
             text(" ")
             continue
-        if m[1]:
-            if tag in BLOCK_TAGS:
+        if tag.closing:
+            if name in BLOCK_TAGS:
                 end()
-            if tag == "a":
+            if name == "a":
                 links = max(0, links - 1)
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if tag not in BLOCK_TAGS and stack[k].tag in BLOCK_TAGS:
-                    break
+            close(name, () if name in BLOCK_TAGS else BLOCK_TAGS)
             continue
-        if tag in BLOCK_TAGS:
+        if name in BLOCK_TAGS:
             end()
             # An element left open ends where the next of its kind must begin.
-            if tag in CLOSES_P:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == "p":
-                        del stack[k:]
-                        break
-                    if stack[k].tag in BLOCK_TAGS:
-                        break
-            elif tag in CLOSES_SELF:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == tag:
-                        del stack[k:]
-                        break
-                    if stack[k].tag in CLOSES_SELF[tag]:
-                        break
-        elif tag == "br":
+            if name in CLOSES_P:
+                close("p", AROUND_P)
+            elif name in CLOSES_SELF:
+                close(name, CLOSES_SELF[name])
+        elif name == "br":
             text(" ")
-        if tag in VOID_TAGS or m[3].endswith("/"):
+        if name in VOID_TAGS or (tag.closed and name in FOREIGN_TAGS):
             continue
-        if tag == "a":
+        if name == "a":
             links += 1
         number += 1
-        stack.append(Frame(tag, stack[-1], m[3], number))
+        if len(stack) < MAX_DEPTH:
+            stack.append(Frame(name, stack[-1], tag.attributes, number))
     text(page[at:])
     end()
     return done
 
 
 def block_features(blocks: list[BlockOfText]) -> np.ndarray:
-    """Features of each block from its own text and the elements around it; block order matters only to the cut."""
+    """Features of each block: its text, the text that its parent holds, the elements around it and their names."""
     x = np.zeros((len(blocks), N_FEATURES))
-    for k, b in enumerate(blocks):
-        n = len(b.text)
-        words = b.text.count(" ") + 1
+    words = [b.text.count(" ") + 1 for b in blocks]
+    total = sum(words)
+    held: dict[int, list[float]] = {}
+    for b, n in zip(blocks, words, strict=True):
+        # Words of the parent's blocks outside links, words in links, and blocks.
+        of = held.setdefault(b.parent, [0.0, 0.0, 0.0])
+        share = min(1.0, b.linked / len(b.text))
+        of[0] += n * (1 - share)
+        of[1] += n * share
+        of[2] += 1
+    most = max((of[0] for of in held.values()), default=0)
+    told = any(b.good for b in blocks)
+    for k, (b, n) in enumerate(zip(blocks, words, strict=True)):
+        size, of = len(b.text), held[b.parent]
         x[k] = (
             1,
             b.good,
@@ -228,13 +282,25 @@ def block_features(blocks: list[BlockOfText]) -> np.ndarray:
             b.hidden,
             b.heading,
             b.item,
-            min(1.0, b.linked / n),
-            b.linked * 2 > n,
-            words >= 10,
-            words >= 40,
-            words <= 3,
+            min(1.0, b.linked / size),
+            b.linked * 2 > size,
+            n >= 10,
+            n >= 40,
+            n <= 3,
             b.text[-1] in ".!?:\"”",
             "©" in b.text or "cookie" in b.text.lower(),
+            np.log1p(n) / 5,
+            min(1.0, 5 * sum(map(b.text.count, ".,;:!?")) / n),
+            of[0] / (1 + most),
+            of[0] * 4 > total,
+            of[1] > of[0],
+            np.log1p(of[0]) / 7,
+            min(1.0, of[2] / 10),
+            of[2] == 1,
+            k * 4 < len(blocks),
+            (k + 1) * 4 > 3 * len(blocks),
+            b.good and not (b.bad or b.named_bad or b.hidden),
+            told and not b.good,
         )
     return x
 
@@ -297,6 +363,8 @@ class Cut:
                     break
 
 
+#: Share of the classifier's log odds that counts as cost: words and names of one block may be wrong, its neighbours then decide.
+SOFTNESS = 0.6
 #: Capacity between blocks that follow each other on the page, and between those of one parent.
 ADJACENT = 0.35
 SIBLING = 0.8
@@ -307,7 +375,7 @@ def label(blocks: list[BlockOfText], weights: np.ndarray) -> list[bool]:
     n = len(blocks)
     if not n:
         return []
-    z = np.clip(block_features(blocks) @ weights, -12, 12)
+    z = np.clip(SOFTNESS * (block_features(blocks) @ weights), -6, 6)
     keep, drop = np.logaddexp(0, z), np.logaddexp(0, -z)
     links = [(k, k + 1, ADJACENT) for k in range(n - 1)]
     last: dict[int, int] = {}
@@ -342,7 +410,15 @@ def made_up_page(rng: np.random.Generator) -> tuple[str, set[str]]:
         return " ".join([f"W{count}", *some]) + stop
 
     pick = lambda *a: a[int(rng.integers(0, len(a)))]
-    wrap = lambda tag, name, inner: f"<{tag}{name and pick(' class=', ' id=') + chr(34) + name + chr(34)}>{inner}</{tag}>"
+    named, tagged = rng.random() < 0.5, rng.random() < 0.6
+
+    def wrap(tag: str, name: str, inner: str) -> str:
+        if not named and tag in ("div", "section"):
+            name = pick("", "", f"c{rng.integers(0, 99)}", "box", "row", "wrap")
+        if not tagged and tag in ("nav", "header", "footer", "aside", "article", "main"):
+            tag = "div"
+        return f"<{tag}{name and pick(' class=', ' id=') + chr(34) + name + chr(34)}>{inner}</{tag}>"
+
     menu = lambda: "<ul>" + "".join(f'<li><a href="/x">{words(0, 2, "")}</a></li>' for _ in range(rng.integers(2, 8))) + "</ul>"
     noise = lambda: pick(words(2, 30), f"<p>{words(2, 30)}</p>", f"<div>{words(2, 12)}</div><div>{words(3, 30)}</div>")
     content: set[str] = set()
@@ -356,20 +432,23 @@ def made_up_page(rng: np.random.Generator) -> tuple[str, set[str]]:
     for _ in range(rng.integers(1, 12)):
         body += pick(
             good("p", 0, 4), good("p", 5, 40), good("p", 30, 150), good("p", 30, 150), good("h2", 1, 8, ""),
-            "<ul>" + good("li", 2, 20) + good("li", 2, 20) + "</ul>", f"<blockquote>{good('p', 5, 40)}</blockquote>", good("div", 10, 60),
+            "<ul>" + good("li", 2, 20) + good("li", 2, 20) + "</ul>", f"<blockquote>{good('p', 5, 40)}</blockquote>", good("div", 10, 60), good("figcaption", 3, 15),
         )
-        if rng.random() < 0.08:
+        if named and rng.random() < 0.08:
             body += wrap("div", pick("ad", "advert", "share-buttons", "newsletter-signup", "related-posts"), noise())
-    page = pick(f"<nav>{menu()}</nav>", wrap("div", pick("menu", "navbar", "site-nav"), menu()), menu(), "")
-    page = pick(f"<header>{words(1, 6, '')}{page}</header>", wrap("div", pick("header", "masthead"), words(1, 5, "") + page), page)
+    page = pick(wrap("nav", "", menu()), wrap("div", pick("menu", "navbar", "site-nav"), menu()), menu(), "")
+    page = pick(wrap("header", "", words(1, 6, "") + page), wrap("div", pick("header", "masthead"), words(1, 5, "") + page), page)
     for _ in range(rng.integers(0, 3)):
         page += wrap("div", pick("ad", "ads", "ad-slot", "sponsored", "cookie-notice", "banner", "notice", "alert popup"), noise())
-    page += pick(f"<article>{body}</article>", f"<article>{body}</article>", f"<main>{body}</main>", wrap("div", pick("content", "post", "story", "entry-content"), body), f"<main><article>{body}</article></main>")
-    page += pick("", f"<aside>{menu()}{noise()}</aside>", wrap("div", pick("sidebar", "widget", "related"), menu() + noise()))
+    page += pick(
+        wrap("article", "", body), wrap("article", "", body), wrap("main", "", body), wrap("div", pick("content", "post", "story", "entry-content"), body),
+        wrap("main", "", wrap("article", "", body)), wrap("div", pick("legal", "with-sidebar", "page", "layout"), wrap("article", "", body)),
+    )
+    page += pick("", wrap("aside", "", menu() + noise()), wrap("div", pick("sidebar", "widget", "related"), menu() + noise()))
     page += pick("", wrap(pick("div", "section"), pick("comments", "comment-list", "disqus", "replies"), "".join(wrap("div", pick("comment", "reply", ""), noise()) for _ in range(rng.integers(1, 5)))))
     page += pick("", "", f"<div hidden>{noise()}</div>", f'<div style="display:none">{noise()}</div>')
     page += pick("", f"<form><label>{words(1, 3, '')}</label><input><button>{words(0, 2, '')}</button></form>")
-    page += pick(f"<footer>&copy; {words(2, 15)}</footer>", wrap("div", "footer", words(2, 15)), "")
+    page += pick(wrap("footer", "", f"&copy; {words(2, 15)}"), wrap("div", "footer", words(2, 15)), "")
     page = f"<html><head><title>{words(3, 8, '')}</title></head><body>{page}</body></html>"
     return page, {t for t in content if f">{t}<" in page}
 

@@ -114,14 +114,15 @@ def mixed(docs: DataFrame, position: str | None = None, **options) -> DataFrame:
     Parquet written from it holds the mix in file order; ``position`` names a column to add that
     keeps the place, as tables have no order. Rows equal in doc_id, source and text share the first of their places.
     """
-    digest = F.xxhash64("text")
-    order = mix(docs.withColumn("_text", digest), key=("doc_id", "_text"), **options).groupBy("doc_id", "source", "_text").agg(F.min("position").alias("_position"))
-    order = order.withColumnsRenamed({"doc_id": "_id", "source": "_source"})
-    joined = docs.join(
-        order, (digest == F.col("_text")) & docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & docs["source"].cast("string").eqNullSafe(F.col("_source"))
+    # Two 64-bit numbers stand for the text; the row travels in a struct, where no name can clash.
+    digest = F.array(F.xxhash64("text"), F.xxhash64(F.lit("mix"), "text"))
+    rows = docs.select(
+        F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), digest.alias("text_key")
     )
-    laid = joined.repartitionByRange("_position").sortWithinPartitions("_position").drop("_id", "_source", "_text")
-    return laid.withColumnRenamed("_position", position) if position else laid.drop("_position")
+    order = mix(rows.select("doc_id", "source", "text_key"), key=("doc_id", "text_key"), **options).groupBy("doc_id", "source", "text_key").agg(F.min("position").alias("place"))
+    same = rows["doc_id"].eqNullSafe(order["doc_id"]) & rows["source"].eqNullSafe(order["source"]) & (rows["text_key"] == order["text_key"])
+    laid = rows.join(order, same).repartitionByRange("place").sortWithinPartitions("place")
+    return laid.select("row.*", *([F.col("place").alias(position)] if position else []))
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:

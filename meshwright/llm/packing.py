@@ -20,8 +20,9 @@ from .common import text_rows
 from .tokens import END_ID, definition, tokenizer
 
 CAPACITY = 4096
-#: Documents of a packing group, on average.
+#: Documents, and bytes of text, of a packing group at most, on average.
 GROUP_DOCS = 1024
+GROUP_BYTES = 1 << 24
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -115,7 +116,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, group_d
             "doc_id", "text", "tie", F.xxhash64(F.lit("pack"), "doc_id", "tie").alias("dealt"), F.floor(F.col("position") / group_docs).alias("group")
         )
         return keyed.groupBy("group").applyInArrow(_packer(definition(tokenizer_path), capacity, True), PIECES)
-    groups = max(1, -(-docs.count() // group_docs))
+    n, size = text_rows(docs).agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    groups = max(1, -(-n // group_docs), -(-(size or 0) // GROUP_BYTES))
     keyed = text_rows(docs).withColumn("tie", F.xxhash64("text"))
     keyed = keyed.withColumn("group", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(groups)))
     return keyed.groupBy("group").applyInArrow(_packer(definition(tokenizer_path), capacity), PIECES)

@@ -2,7 +2,7 @@
 
 Documents are measured and tested by rules; rule failures are summed by host; each
 host's failure rate is shrunk towards the corpus with an empirical beta prior; a host
-whose shrunk rate is high gets a strict verdict, which is joined back to its documents:
+whose rate is surely above that of the corpus gets a strict verdict, which is joined back to its documents:
 there a document that also breaks a soft rule is rejected.  Clean documents of a bad
 host stay.
 """
@@ -24,8 +24,8 @@ MAX_REPEAT_PERCENT = 50
 SOFT_SYMBOL_PERCENT = 10
 SOFT_DUP_LINE_PERCENT = 30
 SOFT_MEAN_CHARS = (2, 15)
-#: A host is strict when its shrunk failure rate is at least this.
-STRICT_RATE = 0.5
+#: A host is strict when its failure rate is above the corpus rate by so many deviations of its posterior.
+STRICT_DEVIATIONS = 2.0
 
 
 def _words(text: Column) -> Column:
@@ -142,7 +142,7 @@ def verdicts(measured: DataFrame) -> DataFrame:
 
 
 def host_rates(judged: DataFrame) -> DataFrame:
-    """Per host: documents, failures, and the failure rate shrunk by an empirical beta prior.
+    """Per host: documents, failures, the failure rate shrunk by an empirical beta prior, and whether it is strict.
 
     The prior's mean and strength come from the hosts' own rates by the method of moments
     (strength between 2 and 10,000); with one host, or no spread, the strength is the upper bound.
@@ -175,7 +175,9 @@ def host_rates(judged: DataFrame) -> DataFrame:
         "n_docs",
         "n_failed",
         ((F.col("n_failed") + F.col("mean") * F.col("strength")) / (F.col("n_docs") + F.col("strength"))).alias("rate"),
-    )
+        "mean",
+        (F.col("n_docs") + F.col("strength") + 1).alias("weight"),
+    ).withColumn("strict_host", F.col("rate") - STRICT_DEVIATIONS * F.sqrt(F.col("rate") * (1 - F.col("rate")) / F.col("weight")) > F.col("mean"))
 
 
 #: Rows of a host table that may be broadcast; a longer one is joined by shuffle.
@@ -184,13 +186,13 @@ BROADCAST_HOSTS = 50_000
 
 def _with_hosts(judged: DataFrame, hosts: DataFrame) -> DataFrame:
     """Join shrunk rates to documents and give the verdict."""
-    hosts = staged(hosts.select(F.col("host").alias("_host"), "rate"), "hosts")
+    hosts = staged(hosts.select(F.col("host").alias("_host"), "rate", "strict_host"), "hosts")
     if hosts.count() <= BROADCAST_HOSTS:
         hosts = F.broadcast(hosts)
     return (
         judged.join(hosts, judged["host"].eqNullSafe(hosts["_host"]), "left")
         .drop("_host")
-        .withColumn("strict_host", F.coalesce(F.col("rate") >= STRICT_RATE, F.lit(False)))
+        .withColumn("strict_host", F.coalesce("strict_host", F.lit(False)))
         .withColumn("kept", ~F.col("base_failed") & ~(F.col("strict_host") & F.col("soft_failed")))
     )
 
@@ -205,13 +207,60 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, all columns unchanged; texts are not shuffled."""
-    hosts = host_rates(verdicts(measure(docs)))
-    return _with_hosts(verdicts(measure(docs, whole_rows=True)), hosts).filter("kept").select("_row.*")
+    """The rows of ``docs`` that the rules keep, all columns unchanged; texts are measured once and not shuffled.
+
+    Null and empty texts have too few words and go. An empty table gives an empty result; no column name can clash.
+    """
+    judged = staged(verdicts(measure(docs, whole_rows=True)).select("host", "base_failed", "soft_failed", "_row"), "quality")
+    return _with_hosts(judged, host_rates(judged.drop("_row"))).filter("kept").select("_row.*")
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
     judged = judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return judged.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rate"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+OP8_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+),
+grams AS (
+  SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
+  FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM d)
+),
+twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM grams) WHERE c > 1),
+repeated AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY rid),
+lines AS (
+  SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_dup
+  FROM (SELECT rid, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY rid
+),
+m AS (
+  SELECT d.doc_id, d.source, len(w) AS n_words,
+         CAST(list_sum(list_transform(w, lambda x: length(x))) AS BIGINT) AS wc,
+         length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols,
+         coalesce(n_dup, 0) AS n_dup_lines, coalesce(n_lines, 0) AS n_lines, coalesce(r.n, 0) AS n_repeat_words
+  FROM d LEFT JOIN lines USING (rid) LEFT JOIN repeated r USING (rid)
+),
+j AS (
+  SELECT *, coalesce(wc, 0) AS word_chars, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+         100 * n_symbols > 10 * coalesce(wc, 0) OR 100 * n_dup_lines > 30 * n_lines
+         OR coalesce(wc, 0) < 2 * n_words OR coalesce(wc, 0) > 15 * n_words AS soft_failed
+  FROM m
+),
+h AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE base_failed OR soft_failed) AS f FROM j GROUP BY source),
+p AS (SELECT sum(f) / sum(n) AS mean, var_samp(f / n) AS spread, avg(1 / n) AS per_doc FROM h),
+s AS (
+  SELECT mean, coalesce(greatest(2.0, least(10000.0,
+         mean * (1 - mean) / nullif(greatest(0.0, spread - mean * (1 - mean) * per_doc), 0))), 10000.0) AS strength
+  FROM p
+),
+hosts AS (SELECT source, n, mean, (f + mean * strength) / (n + strength) AS rate, strength FROM h, s)
+SELECT j.doc_id, CAST(n_words AS BIGINT) AS n_words, word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+       CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+       NOT base_failed AND NOT (soft_failed AND rate - 2.0 * sqrt(rate * (1 - rate) / (n + strength + 1)) > mean) AS kept
+FROM j JOIN hosts ON j.source IS NOT DISTINCT FROM hosts.source
+"""

@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_topk": topk.OP9_SQL}
+    return {"op6_block_dedup": block_dedup.OP6_SQL, "op8_quality_rules": quality.OP8_SQL, "op9_exact_topk": topk.OP9_SQL}

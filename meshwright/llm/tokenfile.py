@@ -36,6 +36,8 @@ FRAME_IDS = 1 << 16
 #: A frame's content stays below this, whatever a document's length.
 MOST_FRAME_IDS = 1 << 26
 LEVEL = 3
+#: Text that one file holds at most, on average, where the corpus is large.
+SHARD_BYTES = 1 << 29
 
 SHARDS = "shard long, path string, n_docs long, n_ids long, n_bytes long"
 DOCUMENTS = "doc_id long, start long, n_tokens long, ids binary"
@@ -150,7 +152,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str) -> DataFrame
     names counts, so lost or repeated attempts do no harm.
     """
     spark = docs.sparkSession
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = text_rows(docs).agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     spec = definition(tokenizer_path)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +215,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                         )
 
     tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return shards.repartition(tasks).mapInArrow(read, DOCUMENTS)
+    return shards.repartition(max(tasks, manifest.count())).mapInArrow(read, DOCUMENTS)
 
 
 def op4_token_files(spark, sf_dir: str) -> DataFrame:

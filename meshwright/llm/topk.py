@@ -1,7 +1,7 @@
 """Exact top-k inner-product search by block-at-a-time pruning.
 
-Vectors are quantised to integers and cut into blocks of consecutive rows of a
-document range.  A block is a forward index (its rows' ids and components) and, for
+Vectors are quantised to integers.  The rows of a document range are put in an order in which near vectors
+are neighbours (halves by the component that varies most, again and again) and cut into blocks.  A block is a forward index (its rows' ids and components) and, for
 each component, the largest and smallest value.  For a query the largest score that a
 block can hold is the sum of the component maxima (minima where the query is negative);
 blocks are taken in falling order of that bound and scored until the next bound falls
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import staged
 
 #: Rows of one forward-index block.
-BLOCK_ROWS = 256
+BLOCK_ROWS = 64
 #: Rows of candidates, and queries, that meet in one task.
 GROUP_ROWS = 1 << 14
 QUERY_ROWS = 1 << 11
@@ -48,6 +48,20 @@ class Block:
         self.most, self.least = rows.max(0), rows.min(0)
 
 
+def neighbours(rows: np.ndarray, mine: np.ndarray, most: int = BLOCK_ROWS) -> list[np.ndarray]:
+    """Places ``mine`` in blocks of at most ``most`` near rows."""
+    parts, blocks = [mine], []
+    while parts:
+        part = parts.pop()
+        if len(part) <= most:
+            blocks.append(np.sort(part))
+            continue
+        x = rows[part]
+        order = part[np.argsort(x[:, x.var(0).argmax()], kind="stable")] if x.shape[1] else part
+        parts += [order[len(part) // 2 :], order[: len(part) // 2]]
+    return blocks
+
+
 def _matrix(column: pa.ChunkedArray) -> list[np.ndarray]:
     return [np.asarray(x, np.int64) for x in column.to_pylist()]
 
@@ -85,23 +99,20 @@ def _group_search(k: int):
         if left.num_rows and right.num_rows:
             ids, rows = np.array(left.column("vec_id").to_pylist(), np.int64), _matrix(left.column("v"))
             order = np.argsort(ids, kind="stable")
-            by_width: dict[int, list[Block]] = {}
+            by_width: dict[int, tuple[list[Block], list[Block]]] = {}
             for width in {len(r) for r in rows}:
                 mine = [i for i in order if len(rows[i]) == width]
-                by_width[width] = [
-                    Block(ids[mine[a : a + BLOCK_ROWS]], np.stack([rows[i] for i in mine[a : a + BLOCK_ROWS]]))
-                    for a in range(0, len(mine), BLOCK_ROWS)
-                ]
-            exact = max((int(np.abs(b.rows).max(initial=0)) for bs in by_width.values() for b in bs), default=0)
+                flat = np.stack([rows[i] for i in mine])
+                blocks = [(ids[mine][part], flat[part]) for part in neighbours(flat.astype(float), np.arange(len(mine)))]
+                # Twice: float products are much faster, and integer ones are there for values where those aren't exact.
+                by_width[width] = [Block(i, r) for i, r in blocks], [Block(i, r.astype(float)) for i, r in blocks]
+            largest = {width: max(int(np.abs(b.rows).max(initial=0)) for b in blocks) for width, (blocks, _) in by_width.items()}
             for q_id, q in zip(right.column("query_id").to_pylist(), _matrix(right.column("query")), strict=True):
-                blocks = by_width.get(len(q))
+                blocks, floats = by_width.get(len(q), ((), ()))
                 if not blocks:
                     continue
-                if exact * max(1, int(np.abs(q).sum())) < 1 << 52:  # float products are exact, and much faster
-                    q = q.astype(np.float64)
-                    if blocks[0].rows.dtype != np.float64:
-                        for b in blocks:
-                            b.rows, b.most, b.least = b.rows.astype(float), b.most.astype(float), b.least.astype(float)
+                if largest[len(q)] * max(1, int(np.abs(q).sum())) < 1 << 52:
+                    q, blocks = q.astype(np.float64), floats
                 scores, found, _ = search_blocks(blocks, q, q_id, k)
                 out["query_id"] += [q_id] * len(found)
                 out["vec_id"] += found.tolist()
@@ -116,22 +127,16 @@ def search(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     Both sides hold ``vec_id, v`` (integers). Vectors of another length than the query's have no
     inner product with it and take no part. Repeated candidate rows count each; of query rows
-    that share an id one is asked. Candidates meet queries by (candidate group, query group), so a task holds
+    that share an id the smallest vector is asked. Scores are exact while they fit 64 bits. Candidates meet queries by (candidate group, query group), so a task holds
     bounded numbers of both; every task's k best are merged by a grouped sort.
     """
-    queries = queries.dropDuplicates(["vec_id"])
+    queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
     n, m = candidates.count(), queries.count()
     groups, query_groups = max(1, -(-n // GROUP_ROWS)), max(1, -(-m // QUERY_ROWS))
-    # A document range each, so that blocks hold neighbours.
-    span = candidates.agg(F.min("vec_id").alias("low"), F.max("vec_id").alias("high"))
-    ranged = candidates.join(F.broadcast(span)).select(  # one row: the id range
-        "vec_id",
-        "v",
-        F.least(
-            F.lit(groups - 1),
-            F.floor((F.col("vec_id") - F.col("low")) / (F.col("high") - F.col("low") + 1) * groups),
-        ).alias("g"),
-    )
+    # A document range each; rows of one id may fill several.
+    ranged = candidates.repartitionByRange(groups, "vec_id", F.xxhash64("v"))
+    ranged = staged(ranged.select("vec_id", "v", F.spark_partition_id().alias("g")), "ranges")
+    groups = 1 + (ranged.agg(F.max("g")).first()[0] or 0)
     left = ranged.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_groups - 1))))
     # Fresh column names, as queries are often rows of the candidates.
     right = queries.select(
@@ -140,8 +145,7 @@ def search(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         F.pmod(F.xxhash64("vec_id"), F.lit(query_groups)).cast("int").alias("qq"),
     ).withColumn("qg", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     found = (
-        left.withColumn("g", F.col("g").cast("int"))
-        .groupBy("g", "q")
+        left.groupBy("g", "q")
         .cogroup(right.groupBy("qg", "qq"))
         .applyInArrow(_group_search(k), "query_id long, vec_id long, score long")
     )
@@ -168,11 +172,11 @@ WITH v AS (
   WHERE embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ),
+asked AS (SELECT vec_id, min(v) AS v FROM v WHERE vec_id % 50 = 0 GROUP BY vec_id),
 pairs AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
          CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
-  WHERE q.vec_id % 50 = 0
+  FROM asked q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
 ),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM pairs

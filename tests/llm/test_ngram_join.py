@@ -1,8 +1,11 @@
+import random
 import re
 
+import numpy as np
 import pytest
 
-from meshwright.llm.ngram_join import keep_one_of_each, similar_documents
+from meshwright.llm import ngram_join
+from meshwright.llm.ngram_join import keep_one_of_each, product_links, similar_documents
 
 from .corpus import SCHEMA, frame, rows
 
@@ -67,3 +70,28 @@ def test_decides_by_row_not_by_id(spark):
     want = [(5, text), (None, data[5][1]), (7, data[6][1]), (None, other), (None, None), (None, ""), (7, "")]
     assert all(left.count(w) == 1 for w in want)
     assert sum(i == 9 for i, _ in left) == 1
+
+
+def test_products_of_blocks_against_sets():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 40, 60)
+    rows = [np.unique(np.where(rng.random(60) < k / 40, rng.integers(0, 1 << 40, 60), base)).astype(np.uint64)[: rng.integers(20, 61)] for k in range(24)]
+    got = product_links(rows[:14], rows[10:], columns=16)
+    for i, a in enumerate(rows[:14]):
+        for j, b in enumerate(rows[10:]):
+            n = len(np.intersect1d(a, b))
+            assert got[i, j] == (n if 100 * n >= 80 * (len(a) + len(b) - n) else 0)
+
+
+def test_many_rows_of_one_column(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "PAIRED_ROWS", 3)
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 4)
+    rng = random.Random(9)
+    base, data = [f"b{k}" for k in range(80)], []
+    for i in range(70):
+        words = list(base)
+        for _ in range(rng.randrange(1, 7)):
+            words[rng.randrange(80)] = f"x{rng.randrange(10**6)}"
+        data.append((i, " ".join(words), None, None, 1, "", 1))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in similar_documents(frame(spark, data)).collect()}
+    assert got == brute(data)

@@ -1,15 +1,19 @@
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
-from meshwright.llm.html_extract import blocks_of, extract
+from meshwright.llm.html_extract import block_features, blocks_of, classifier, extract, label, made_up_page, main_text
 from meshwright.llm.mixing import mix, mixed
+from meshwright.llm.ngram_join import keep_one_of_each
 from meshwright.llm.packing import first_fit_decreasing, pack
 from meshwright.llm.quality import judge, keep_good
+from meshwright.llm.secret_scan import redact
 from meshwright.llm.tokens import END_ID
 
 from .corpus import SCHEMA, frame, rows
@@ -41,14 +45,53 @@ def test_quality_counts_against_brute_force(spark):
     assert not any(r.kept and r.base_failed for r in found)
 
 
+def test_bad_hosts_lose_documents_that_break_soft_rules(spark):
+    good, soft, hard = " ".join(f"word{k}" for k in range(60)), " ".join(f"w#$%{k}" for k in range(60)), "too short"
+    data = []
+    for k in range(400):
+        host = f"h{k % 10}"
+        data.append((k, good if k % 10 else [soft, soft, hard, good][k % 4 if k % 40 else 0], None, host, 1, "", 1))
+    data += [(1000 + k, soft, None, "h1", 1, "", 1) for k in range(2)] + [(2000, soft, None, None, 1, "", 1)]
+    found = {r.doc_id: r for r in judge(frame(spark, data)).collect()}
+    counts, rates = {}, {}
+    for i, t, _, h, *_ in data:
+        n, f = counts.get(h, (0, 0))
+        counts[h] = (n + 1, f + (t != good))
+    total = sum(n for n, _ in counts.values())
+    mean = sum(f for _, f in counts.values()) / total
+    per = [f / n for n, f in counts.values()]
+    spread = float(np.var(per, ddof=1)) - mean * (1 - mean) * float(np.mean([1 / n for n, _ in counts.values()]))
+    strength = min(10_000.0, max(2.0, mean * (1 - mean) / spread)) if spread > 0 else 10_000.0
+    strict = set()
+    for h, (n, f) in counts.items():
+        rates[h] = rate = (f + mean * strength) / (n + strength)
+        if rate - 2 * (rate * (1 - rate) / (n + strength + 1)) ** 0.5 > mean:
+            strict.add(h)
+    assert strict == {"h0"}
+    for i, t, _, h, *_ in data:
+        assert abs(found[i].rate - rates[h]) < 1e-9 and found[i].strict_host == (h in strict)
+        assert found[i].kept == (t == good or (t == soft and h not in strict))
+
+
 def test_quality_keeps_rows_whole(spark):
     data = rows()
     kept = {r.doc_id for r in judge(frame(spark, data)).filter("kept").collect()}
     assert {tuple(r) for r in keep_good(frame(spark, data)).collect()} == {r for r in data if r[0] in kept}
 
 
+def test_clashing_columns(spark):
+    names = ["_id", "_position", "_row", "_gone", "_text", "_digest", "_stay", "row", "whole", "place", "position", "head", "host", "_host", "rate", "label", "digest", "tie", "group"]
+    data = rows(20)
+    docs = frame(spark, data).drop("sign", "chunk_id").withColumns({n: F.lit(n) for n in names})
+    for f in (mixed, keep_good, keep_one_of_each, redact):
+        found = f(docs)
+        assert found.columns == docs.columns and found.count() > 0
+        assert all(r[n] == n for r in found.collect() for n in names)
+    pack(docs, public_tokenizers.path("word_bpe_49k.json")).count()
+
+
 def test_mixing_keeps_every_row(spark):
-    data = rows()
+    data = rows() + rows(6)
     assert Counter(tuple(r) for r in mixed(frame(spark, data)).collect()) == Counter(data)
 
 
@@ -163,6 +206,66 @@ def test_raw_elements(page, want):
     assert " ".join(b.text for b in blocks_of(page)) == want
 
 
+ARTICLE = "<article><h1>A title of it</h1>{}" + "".join(f"<p>Paragraph {k} says something that is long enough to be text, with plain words.</p>" for k in range(4)) + "</article>"
+PLAIN = ["A title of it", *[f"Paragraph {k} says something that is long enough to be text, with plain words." for k in range(4)]]
+
+
+@pytest.mark.parametrize(
+    ("before", "inside", "after"),
+    [
+        ("<!-- <script> <style> <noscript> -->", "", ""),
+        ('<svg-icon class="a"></svg-icon><object-card></object-card>', "", ""),
+        ('<svg class="x"/>', "", ""),
+        ("<canvas><object>", "", ""),
+        ("<p don't>", "", ""),
+        ('<div class="legal">', "", "</div>"),
+        ('<div class="page with-sidebar">', "", "</div><footer>&copy; 2020 <a href=/x/>Terms</a></footer>"),
+        ("<nav><ul><li><a href=/a/>One</a><li><a href=/b/>Two</a></ul></nav>", "<!-- ad -->", ""),
+    ],
+)
+def test_awkward_pages(before, inside, after):
+    assert main_text(before + ARTICLE.format(inside) + after).split("\n") == PLAIN
+
+
+def test_text_inside_an_article_stays():
+    found = main_text(ARTICLE.format("<figure><img src=x><figcaption>A caption of it.</figcaption></figure><p>Where <math><mi>x</mi></math> is small, this is true.</p>"))
+    assert found.split("\n")[1:3] == ["A caption of it.", "Where x is small, this is true."]
+    plain = "<div>" + "".join(f"<div>{t}</div>" for t in PLAIN[1:]) + "</div>"
+    assert main_text(plain).split("\n") == PLAIN[1:]
+
+
+def test_held_out_pages():
+    rng = np.random.default_rng(999)
+    right = kept = wanted = moved = 0
+    for _ in range(200):
+        page, content = made_up_page(rng)
+        found = blocks_of(page)
+        labels = label(found, classifier())
+        moved += labels != (block_features(found) @ classifier() > 0).tolist()
+        kept += sum(labels)
+        wanted += sum(b.text in content for b in found)
+        right += sum(k and b.text in content for b, k in zip(found, labels, strict=True))
+    assert right >= 0.95 * kept and right >= 0.95 * wanted
+    assert moved >= 10  # the cut decides against the classifier
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<a " * 60_000, "<p title='x " * 40_000, "<p>" + "<b>" * 40_000 + "</i>" * 40_000, "<" * 500_000 + ">", "<iframe>" * 40_000, "<p " + "=" * 500_000, "<!--" * 100_000 + ">", "<script>" * 50_000 + ">", "<div><p>x " * 10_000],
+)
+def test_broken_pages_take_linear_time(page):
+    start = time.process_time()
+    main_text(page)
+    assert time.process_time() - start < 10
+
+
+def test_pages_repeated_and_empty(spark):
+    schema = "page_id long, url string, html string, text string, n_chars string"
+    pages = spark.createDataFrame([(1, "u", ARTICLE.format(""), "x", "y")] * 2 + [(None, None, None, None, None)], schema)
+    assert sorted((str(r.page_id), r.url, r.text) for r in extract(pages).collect())[:2] == [("1", "u", "\n".join(PLAIN))] * 2
+    assert extract(spark.createDataFrame([], schema)).count() == 0
+
+
 @pytest.mark.parametrize("f", [judge, keep_good, mixed])
 def test_empty_tables(spark, f):
     assert f(spark.createDataFrame([], SCHEMA)).count() == 0
