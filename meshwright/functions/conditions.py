@@ -44,7 +44,7 @@ def condition(attribute: Column, op: str, value: object = None) -> Column:
     wanted = F.lit(None if value is None else str(value))
     left, right = as_number(text), as_number(wanted)
     compare = COMPARISONS[op]
-    found = F.when(left.isNotNull() & right.isNotNull(), compare(left, right)).otherwise(compare(F.lower(F.trim(text)), F.lower(F.trim(wanted))))
+    found = F.when(left.isNotNull() & right.isNotNull(), compare(left, right)).otherwise(compare(F.lower(text), F.lower(wanted)))
     return F.coalesce(found, F.lit(False))
 
 

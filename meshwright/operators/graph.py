@@ -59,9 +59,9 @@ def crossed_edges(edges: DataFrame, reached: DataFrame, blocked: DataFrame | Non
     if blocked is not None:
         open_nodes = open_nodes.join(blocked.select("node"), "node", "left_anti").union(starts.select("node").distinct())
     ends = open_nodes.distinct().withColumnRenamed("node", "end")
-    near_a = edges.join(ends, edges["a"] == ends["end"], "left_semi")
-    near_b = edges.join(ends, edges["b"] == ends["end"], "left_semi")
-    return near_a.unionByName(near_b).distinct()
+    marked = edges.join(ends.toDF("_a").withColumn("_at_a", F.lit(True)), F.col("a") == F.col("_a"), "left")
+    marked = marked.join(ends.toDF("_b").withColumn("_at_b", F.lit(True)), F.col("b") == F.col("_b"), "left")
+    return marked.filter(F.coalesce("_at_a", "_at_b")).select(*edges.columns)
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from meshwright.functions.conditions import is_missing
 from meshwright.plans.staging import staged
 
 #: Fixed steps of the age score: share of the life that is used up, from 1 to 5.
-AGE_STEPS = (0.2, 0.4, 0.6, 0.8)
+AGE_STEPS = (0.25, 0.5, 0.75, 1.0)
 #: Greatest score of each risk class.
 RISK_CLASSES = ((4, "Low"), (9, "Medium"), (15, "High"), (25, "Very high"))
 #: Rows of a dimension that may be broadcast.
@@ -51,22 +51,23 @@ def quantities(features: DataFrame, lifecycle: Sequence[int] | None = None) -> D
 
 
 def cost_estimate(counted: DataFrame, prices: DataFrame) -> DataFrame:
-    """The best price for every row of :func:`quantities`, and its cost.
+    """The best price for every row of :func:`quantities`, and its amount: length for lines, pieces for points.
 
     A price fits if class and group agree and its type and size agree or are null; the one with more
     that agree wins, then the lower ``price_row``. No price, or one of zero, counts as missing.
     """
-    q = counted.withColumn("row", F.xxhash64("role", "class", "ag", "at", F.coalesce(F.col("size").cast("string"), F.lit("-"))))
+    keys = ("role", "class", "ag", "at", "size", "pieces", "length")
     p = prices.select(*[F.col(c).alias(f"p_{c}") for c in ("class", "ag", "at", "size", "price", "unit", "price_row")])
-    fits = (q["class"] == p["p_class"]) & (q["ag"] == p["p_ag"]) & (p["p_at"].isNull() | (p["p_at"] == q["at"])) & (p["p_size"].isNull() | (p["p_size"] == q["size"]))
+    fits = (counted["class"] == p["p_class"]) & (counted["ag"] == p["p_ag"]) & (p["p_at"].isNull() | (p["p_at"] == counted["at"])) & (p["p_size"].isNull() | (p["p_size"] == counted["size"]))
     rank = p["p_at"].isNotNull().cast("int") + p["p_size"].isNotNull().cast("int")
-    matched = q.join(small(p), fits, "left").withColumn("rank", rank)
-    best = matched.groupBy("row").agg(F.min_by(F.struct("role", "class", "ag", "at", "size", "pieces", "length", "p_price", "p_unit"), F.struct(-F.coalesce("rank", F.lit(-1)), "p_price_row")).alias("b")).select("b.*")
-    amount = F.when(F.col("p_unit") == "m", F.col("length")).otherwise(F.col("pieces").cast("double"))
-    return best.select(
-        "role", "class", "ag", "at", "size", "pieces", "length", F.col("p_price").alias("price"), (amount * F.col("p_price")).alias("cost"),
-        F.coalesce(F.col("p_price") == 0, F.lit(True)).alias("missing"),
-    )
+    best = counted.join(small(p), fits, "left").groupBy(*keys).agg(F.min_by("p_price", F.struct(-F.coalesce(rank, F.lit(-1)), "p_price_row")).alias("price"))
+    amount = F.when(F.col("role") == "Line", F.coalesce("length", F.lit(0)).cast("double")).otherwise(F.col("pieces").cast("double"))
+    return best.select(*keys, "price", F.round(amount * F.col("price"), 2).alias("cost"), F.coalesce(F.col("price") == 0, F.lit(True)).alias("missing"))
+
+
+def cost_total(costs: DataFrame) -> DataFrame:
+    """``total, missing``: the sum of a :func:`cost_estimate` and how many of its rows have no price."""
+    return costs.agg(F.round(F.coalesce(F.sum("cost"), F.lit(0.0)), 2).alias("total"), F.sum(F.col("missing").cast("long")).alias("missing"))
 
 
 def unpriced(features: DataFrame, prices: DataFrame) -> DataFrame:
@@ -152,17 +153,32 @@ def ranked(scored: DataFrame, buckets: str = "score") -> DataFrame:
     return placed.join(F.broadcast(shifted), "part").withColumn("priority", F.col("before") + F.col("seq") - F.col("first") + 1).drop("part", "seq", "first", "before")
 
 
-def next_ids(existing: DataFrame, wanted: DataFrame, prefix: str = "prefix") -> DataFrame:
-    """New identifiers for ``wanted`` (prefix, key): numbers go on after the greatest suffix of the prefix.
+def next_ids(existing: DataFrame, wanted: DataFrame, digits: int = 6) -> DataFrame:
+    """``prefix, key, assetid``: new identifiers for ``wanted`` (prefix, key): the prefix and a number that isn't in use.
 
-    ``existing`` has ``assetid`` as prefix, hyphen, number. Keys must be unique in a prefix.
+    ``existing`` has ``assetid``; the digits that end it are its number. Numbers go on after the greatest of the prefix, and
+    skip those that someone's id already spells. Rows are ranked by range partitions, so no task holds a whole prefix.
     """
-    used = existing.select(F.regexp_extract("assetid", r"^(.*)-(\d+)$", 1).alias(prefix), F.regexp_extract("assetid", r"^(.*)-(\d+)$", 2).try_cast("long").alias("suffix"))
-    most = used.dropna().groupBy(prefix).agg(F.max("suffix").alias("most"))
-    order = Window.partitionBy(prefix).orderBy("key")
-    joined = wanted.join(most, prefix, "left")
-    number = F.coalesce("most", F.lit(0)) + F.row_number().over(order)
-    return joined.select(prefix, "key", F.concat_ws("-", F.col(prefix), F.when(F.length(number.cast("string")) >= 6, number.cast("string")).otherwise(F.lpad(number.cast("string"), 6, "0"))).alias("assetid"))
+    used = existing.select("assetid", F.regexp_extract("assetid", r"^(.*?)(\d+)$", 1).alias("prefix"), F.regexp_extract("assetid", r"^(.*?)(\d+)$", 2).try_cast("long").alias("n"))
+    most = used.filter("n is not null").groupBy("prefix").agg(F.max("n").alias("most"))
+    ordered = wanted.repartitionByRange("prefix", "key").sortWithinPartitions("prefix", "key")
+    placed = staged(ordered.withColumn("part", F.spark_partition_id()).withColumn("seq", F.monotonically_increasing_id()), "wanted")
+    runs = placed.groupBy("part", "prefix").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first"))
+    # One row for each partition and prefix in it.
+    runs = runs.select("part", "prefix", "first", (F.sum("n").over(Window.partitionBy("prefix").orderBy("part")) - F.col("n")).alias("before"))
+    ranked_rows = placed.join(runs, ["part", "prefix"]).select("prefix", "key", (F.col("before") + F.col("seq") - F.col("first") + 1).alias("rank"))
+    # A prefix that itself ends in a digit may spell an id that was read as another prefix and number.
+    whole = used.join(wanted.select("prefix").distinct().withColumnRenamed("prefix", "want"), F.col("assetid").startswith(F.col("want")) & (F.col("want") != F.col("prefix")))
+    rest = F.expr("substring(assetid, length(want) + 1)")
+    taken = whole.filter(rest.rlike(r"^\d+$") & (F.length(rest) >= digits)).select(F.col("want").alias("prefix"), rest.cast("long").alias("n")).distinct()
+    taken = taken.join(most, "prefix", "left").filter(F.col("n") > F.coalesce("most", F.lit(0)))
+    # Numbers in use beyond the greatest are few: each moves the ranks behind it by one.
+    free = taken.withColumn("shift", F.row_number().over(Window.partitionBy("prefix").orderBy("n"))).select("prefix", (F.col("n") - F.coalesce("most", F.lit(0)) - F.col("shift")).alias("gap"))
+    moved = free.groupBy("prefix").agg(F.array_sort(F.collect_list("gap")).alias("gaps"))
+    found = ranked_rows.join(most, "prefix", "left").join(moved, "prefix", "left")
+    skipped = F.coalesce(F.size(F.filter("gaps", lambda g: g < F.col("rank"))), F.lit(0))
+    number = (F.coalesce("most", F.lit(0)) + F.col("rank") + F.when(F.col("gaps").isNull(), 0).otherwise(skipped)).cast("string")
+    return found.select("prefix", "key", F.concat("prefix", F.when(F.length(number) >= digits, number).otherwise(F.lpad(number, digits, "0"))).alias("assetid"))
 
 
 def latest(history: DataFrame, n: int) -> DataFrame:

@@ -64,6 +64,8 @@ def restrict(
 ) -> tuple[Network, DataFrame]:
     """The network without blocked lines, and the nodes at which a trace stops."""
     gone = excluded_lifecycle(F.col("lifecycle"), lifecycle) | too_small(F.col("lifecycle"), F.col("size"), lifecycle, min_size)
+    if conditions and "attrs" in net.edges.columns:
+        gone = gone | any_condition(F.col("attrs"), conditions)
     wall: Column = excluded_lifecycle(F.col("lifecycle"), lifecycle) | any_condition(F.col("attrs"), conditions)
     if closed:
         wall = wall | F.col("closed")

@@ -22,9 +22,10 @@ def normal_id(text: Column) -> Column:
 
 def backfill(df: DataFrame, by: str, gid: str, fid: str) -> DataFrame:
     """Give rows without a global id, or with one that an earlier row of the class has, a new one made from class and fid."""
-    order = Window.partitionBy(by, gid).orderBy(fid)
-    again = F.col(gid).isNull() | (F.row_number().over(order) > 1)
-    return df.withColumn(gid, F.when(again, F.upper(F.sha1(F.concat_ws(":", by, fid)))).otherwise(F.col(gid)))
+    firsts = df.filter(F.col(gid).isNotNull()).groupBy(by, gid).agg(F.min(fid).alias("_first"))
+    marked = df.join(firsts, [by, gid], "left")
+    again = F.col("_first").isNull() | (F.col(fid) > F.col("_first"))
+    return marked.select(*[F.when(again, F.upper(F.sha1(F.concat_ws(":", by, fid)))).otherwise(F.col(gid)).alias(gid) if c == gid else F.col(c) for c in df.columns])
 
 
 def state_hash(fields: Sequence[str]) -> Column:
@@ -54,7 +55,7 @@ def diff(base: DataFrame, version: DataFrame, parent: DataFrame, keys: Sequence[
     """Keys that either side changed: ``version_kind, parent_kind, conflict, conflict_fields, merged_fields``.
 
     A conflict is a change on both sides with different outcomes; two updates conflict only in fields
-    that both set to different values, and the fields that one of them set are merged.
+    that both set to different values, and the fields that the parent alone set are merged.
     """
     rows = three_way(base, version, parent, keys, fields).withColumns({"version_kind": _kind("b", "v"), "parent_kind": _kind("b", "p")})
     rows = rows.filter("version_kind is not null or parent_kind is not null")
@@ -64,7 +65,7 @@ def diff(base: DataFrame, version: DataFrame, parent: DataFrame, keys: Sequence[
         return ~F.col(f"b.{f}").eqNullSafe(F.col(f"{side}.{f}"))
 
     clash = F.concat_ws(",", *[F.when(both & moved("v", f) & moved("p", f) & ~F.col(f"v.{f}").eqNullSafe(F.col(f"p.{f}")), F.lit(f)) for f in sorted(fields)])
-    merge = F.concat_ws(",", *[F.when(both & (moved("v", f) != moved("p", f)), F.lit(f)) for f in sorted(fields)])
+    merge = F.concat_ws(",", *[F.when(both & ~F.col("v").eqNullSafe(F.col("p")) & moved("p", f) & ~moved("v", f), F.lit(f)) for f in sorted(fields)])
     differ = F.col("version_kind").isNotNull() & F.col("parent_kind").isNotNull() & ~F.col("v").eqNullSafe(F.col("p"))
     rows = rows.withColumns({"conflict_fields": clash, "merged_fields": merge})
     return rows.withColumn("conflict", F.when(both, F.col("conflict_fields") != "").otherwise(differ)).select(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from meshwright.operators import blocks as blk
 from meshwright.operators import graph, traces
 from meshwright.operators.traces import Network
+from meshwright.plans.staging import staged
 from meshwright.sources import network_view as nv
 
 #: Edge numbers: place of the class times this, plus the line's number.
@@ -15,12 +16,13 @@ EDGE_STRIDE = 10**17
 #: Rounds to which the distance oracle is written out; more than shortest ways have edges.
 ORACLE_ROUNDS = 14
 #: Conditions of the barrier query.
-CONDITIONS = (("segment", "=", "building"), ("balance", "<", 0), ("brand", "=", "Brand#11"))
+CONDITIONS = (("segment", "=", "building"), ("balance", "<", 0), ("brand", "=", "Brand#11"), ("built", "<", 1985))
 
 
 def network(spark: SparkSession, sf_dir: str) -> Network:
     lines = nv.lines(spark, sf_dir).withColumn("eid", F.col("ag").cast("long") * EDGE_STRIDE + F.col("fid"))
-    return Network(nv.points(spark, sf_dir), lines)
+    # Lines are an aggregate of lineitem that every step of a trace reads again.
+    return Network(nv.points(spark, sf_dir), staged(lines, "lines"))
 
 
 def _at(spark: SparkSession, kind: str, key: int) -> DataFrame:
@@ -51,7 +53,7 @@ def trace_connected_barriers(spark, sf_dir):
 
 def trace_condition_barriers(spark, sf_dir):
     net, walls = traces.restrict(network(spark, sf_dir), conditions=CONDITIONS)
-    return traces.connected(net, _at(spark, "Source", 1), walls)
+    return traces.connected(net, _at(spark, "Valve", 1), walls)
 
 
 def trace_lifecycle_size(spark, sf_dir):
@@ -130,25 +132,57 @@ def is_connected(spark, sf_dir):
     return net.points.select("node", "class").join(got, "node", "left").groupBy("class").agg(F.count(F.lit(1)).alias("total"), F.count("hit").alias("connected"))
 
 
+def without_trunks(net: Network) -> Network:
+    """A network in which every other trunk is missing, so that some nations are fed by nothing."""
+    return Network(net.points, net.edges.filter("not (class = 'Trunk' and fid % 2 = 1) and class <> 'Mesh'"))
+
+
 def islands(spark, sf_dir):
-    net = network(spark, sf_dir)
-    got = graph.reach(graph.both_ways(net.edges), net.having(traces.SOURCE)).select("node")
-    return net.points.join(got, "node", "left_anti").select("class", "fid")
+    """Lines of components without a source, whatever is closed."""
+    net = without_trunks(network(spark, sf_dir))
+    got = graph.reach(graph.both_ways(net.edges), net.having(traces.SOURCE)).select(F.col("node").alias("a"))
+    return net.edges.join(got, "a", "left_anti").select("class", "fid")
+
+
+def fed_features(net: Network, controllers: DataFrame) -> DataFrame:
+    """``kind, class, fid, name``: points and lines of each subnetwork; a line belongs to what its fed ends feed."""
+    members = traces.subnetworks(net, controllers).join(controllers.select(F.col("node").alias("controller"), "name"), "controller").select("controller", "node", "name")
+    walls = net.closed().union(controllers.select("node")).distinct().withColumn("wall", F.lit(True))
+    spread = members.join(walls, "node", "left").filter(F.col("wall").isNull() | (F.col("node") == F.col("controller")))
+    tiers = controllers.select(F.col("node").alias("controller"), F.col("tier").alias("own_tier"))
+    spread = spread.join(tiers, "controller").select("node", "name", "own_tier")
+    lines = net.edges.select("class", "fid", "tier", F.explode(F.array("a", "b")).alias("node")).join(spread, "node")
+    lines = lines.filter("own_tier is null or tier is null or own_tier = tier").select(F.lit("line").alias("kind"), "class", "fid", "name").distinct()
+    points = net.points.join(members, "node").select(F.lit("point").alias("kind"), "class", "fid", "name").distinct()
+    return points.unionByName(lines)
+
+
+#: Settings of the tiers: whether a feature may be in several subnetworks, and whether its lines need a controller.
+TIERS = {"Transmission": {"multi": False, "require": False}, "Distribution": {"multi": True, "require": True}}
+
+
+def tiered(net: Network) -> DataFrame:
+    """Controllers with a tier: even regions are of tier Transmission, the others have none."""
+    return net.controllers().withColumn("tier", F.when(F.col("node") % 2 == 0, "Transmission"))
 
 
 def multi_fed(spark, sf_dir):
+    """Features of several subnetworks, one of them of a tier that allows one only."""
     net = network(spark, sf_dir)
-    fed = traces.subnetworks(net, net.controllers()).groupBy("node").agg(F.countDistinct("controller").alias("feeds"))
-    return net.points.join(fed.filter("feeds > 1"), "node").select("class", "fid", "feeds")
+    controllers = tiered(net)
+    single = [t for t, s in TIERS.items() if not s["multi"]]
+    named = controllers.groupBy("name").agg(F.min_by("tier", "node").alias("tier"))
+    fed = fed_features(net, controllers).join(F.broadcast(named), "name").groupBy("kind", "class", "fid")  # few controllers
+    found = fed.agg(F.count(F.lit(1)).alias("feeds"), F.max(F.coalesce(F.col("tier").isin(*single), F.lit(False))).alias("single"))
+    return found.filter("feeds > 1 and single").select("kind", "class", "fid", "feeds")
 
 
 def no_controller(spark, sf_dir):
-    """Lines of a tier that needs a controller and that no controller feeds."""
-    net = network(spark, sf_dir)
-    fed = traces.subnetworks(net, net.controllers()).select("node").distinct()
-    tiered = net.edges.filter("tier is not null")
-    a = tiered.join(fed.withColumnRenamed("node", "a"), "a", "left_anti").select("class", "fid", "a", "b")
-    return a.join(fed.withColumnRenamed("node", "b"), "b", "left_anti").select("class", "fid")
+    """Lines of a tier that requires a controller and that none feeds."""
+    net = without_trunks(network(spark, sf_dir))
+    required = [t for t, s in TIERS.items() if s["require"]]
+    fed = fed_features(net, net.controllers()).filter("kind = 'line'").select("class", "fid").distinct()
+    return net.edges.filter(F.col("tier").isin(*required)).select("class", "fid").join(fed, ["class", "fid"], "left_anti")
 
 
 def star_components(spark, sf_dir):
@@ -209,6 +243,8 @@ _FEATURES = """SELECT 'point' AS kind, p.class, p.fid FROM points p JOIN reach U
 UNION ALL SELECT 'line', class, fid FROM lines WHERE a IN (SELECT node FROM spread) OR b IN (SELECT node FROM spread)"""
 _CONDITION_WALLS = f"""{_CLOSED} UNION SELECT node FROM points WHERE lower(segment) = 'building' OR balance < 0 OR lower(brand) = 'brand#11'"""
 _SMALL = "both_ways AS (SELECT a AS src, b AS dst FROM kept UNION ALL SELECT b, a FROM kept)"
+_HALF = "kept AS (SELECT * FROM lines WHERE NOT (class = 'Trunk' AND fid % 2 = 1) AND class <> 'Mesh'),"
+_NOT_OLD = "kept AS (SELECT * FROM lines WHERE NOT coalesce(built < 1985, FALSE)),"
 _KEPT = "kept AS (SELECT * FROM lines WHERE lifecycle NOT IN (2, 4) AND NOT coalesce(size < 30, FALSE)),"
 _FLOW = "both_ways AS (SELECT CASE WHEN reverse THEN b ELSE a END AS src, CASE WHEN reverse THEN a ELSE b END AS dst FROM lines)"
 _AGAINST = "both_ways AS (SELECT CASE WHEN reverse THEN a ELSE b END AS src, CASE WHEN reverse THEN b ELSE a END AS dst FROM lines)"
@@ -267,7 +303,7 @@ QUERIES = {
     "adjacency": (adjacency, f"WITH {nv.VIEW_SQL}, {_BOTH} SELECT src AS node, count(*) AS degree, count(DISTINCT dst) AS neighbours FROM both_ways GROUP BY src"),
     "trace_connected": (trace_connected, reach_sql(node_sql("Source", 0), None, _FEATURES)),
     "trace_connected_barriers": (trace_connected_barriers, reach_sql(node_sql("Source", 0), _CLOSED, _FEATURES)),
-    "trace_condition_barriers": (trace_condition_barriers, reach_sql(node_sql("Source", 1), _CONDITION_WALLS, _FEATURES)),
+    "trace_condition_barriers": (trace_condition_barriers, reach_sql(node_sql("Valve", 1), _CONDITION_WALLS, _FEATURES.replace("FROM lines", "FROM kept"), _SMALL, _NOT_OLD)),
     "trace_lifecycle_size": (
         trace_lifecycle_size,
         reach_sql(node_sql("Source", 0), "SELECT node FROM points WHERE lifecycle IN (2, 4)", _FEATURES.replace("FROM lines", "FROM kept"), _SMALL, _KEPT),
@@ -304,9 +340,24 @@ QUERIES = {
     ),
     "subnetworks_of_start": (subnetworks_of_start, _SUBNETS + f"SELECT DISTINCT node FROM fed WHERE controller IN (SELECT controller FROM fed WHERE node = ({node_sql('Meter', 1)}))"),
     "is_connected": (is_connected, reach_sql(_SOURCES, None, "SELECT class, count(*) AS total, count(r.node) AS connected FROM points p LEFT JOIN reach r ON r.node = p.node GROUP BY class")),
-    "islands": (islands, reach_sql(_SOURCES, None, "SELECT class, fid FROM points WHERE node NOT IN (SELECT node FROM reach)")),
-    "multi_fed": (multi_fed, _SUBNETS + "SELECT class, fid, feeds FROM points JOIN (SELECT node, count(DISTINCT controller) AS feeds FROM fed GROUP BY node) USING (node) WHERE feeds > 1"),
-    "no_controller": (no_controller, _SUBNETS + "SELECT class, fid FROM lines WHERE tier IS NOT NULL AND a NOT IN (SELECT node FROM fed) AND b NOT IN (SELECT node FROM fed)"),
+    "islands": (islands, reach_sql(_SOURCES, None, "SELECT class, fid FROM kept WHERE a NOT IN (SELECT node FROM reach)", _SMALL, _HALF)),
+    "multi_fed": (
+        multi_fed,
+        f"""WITH RECURSIVE {nv.VIEW_SQL}, tiers AS (SELECT node AS controller, assetid AS name, CASE WHEN node % 2 = 0 THEN 'Transmission' END AS own FROM points WHERE class = 'Source'),
+        ways AS (SELECT a AS src, b AS dst, tier FROM lines UNION ALL SELECT b, a, tier FROM lines), walls AS ({_CLOSED} UNION {_SOURCES}),
+        fed AS (SELECT controller, controller AS node, own FROM tiers UNION SELECT controller, dst, own FROM fed f JOIN ways ON src = f.node
+          WHERE (f.node = controller OR f.node NOT IN (SELECT node FROM walls)) AND (own IS NULL OR tier IS NULL OR own = tier)),
+        spread AS (SELECT * FROM fed WHERE node = controller OR node NOT IN (SELECT node FROM walls)),
+        members AS (SELECT 'point' AS kind, class, fid, controller, own FROM points JOIN fed USING (node)
+          UNION SELECT 'line', class, fid, controller, own FROM lines JOIN spread ON spread.node IN (a, b) WHERE own IS NULL OR tier IS NULL OR own = tier)
+        SELECT kind, class, fid, count(DISTINCT controller) AS feeds FROM members GROUP BY ALL HAVING count(DISTINCT controller) > 1 AND bool_or(coalesce(own = 'Transmission', FALSE))""",
+    ),
+    "no_controller": (
+        no_controller,
+        f"""WITH RECURSIVE {nv.VIEW_SQL}, {_HALF} {_SMALL}, walls AS ({_CLOSED} UNION {_SOURCES}), fed AS (SELECT node AS controller, node FROM points WHERE class = 'Source' UNION SELECT controller, dst FROM fed f
+        JOIN both_ways ON src = f.node WHERE f.node = controller OR f.node NOT IN (SELECT node FROM walls)), spread AS (SELECT node FROM fed WHERE node = controller OR node NOT IN (SELECT node FROM walls))
+        SELECT class, fid FROM kept WHERE tier = 'Distribution' AND a NOT IN (SELECT node FROM spread) AND b NOT IN (SELECT node FROM spread)""",
+    ),
     "star_components": (
         star_components,
         f"""WITH RECURSIVE {nv.VIEW_SQL}, few AS (SELECT a, b FROM lines WHERE class IN ('Feeder', 'Service')), both_ways AS (SELECT a AS src, b AS dst FROM few UNION ALL SELECT b, a FROM few),

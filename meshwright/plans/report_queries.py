@@ -21,8 +21,8 @@ PRICES = (
     ("Meter", 4, 1, None, 90.0, "pc"),
     ("Joint", 5, 2, None, 12.0, "pc"),
 )
-#: Allowed connections: line class and group with point class and type of node.
-RULES = (("Trunk", 1, "Source", 1), ("Trunk", 1, "Valve", 2), ("Feeder", 2, "Valve", 2), ("Feeder", 2, "Station", 3), ("Service", 3, "Meter", 4), ("Mesh", 4, "Joint", 5))
+#: Allowed connections: two kinds of class and group in text order.
+RULES = (("Source", 1, "Trunk", 1), ("Trunk", 1, "Valve", 2), ("Feeder", 2, "Valve", 2), ("Feeder", 2, "Station", 3), ("Meter", 4, "Service", 3), ("Joint", 5, "Mesh", 4))
 AS_OF_YEAR, LIFE, TODAY = 2026, 50, "1998-01-01"
 
 
@@ -90,19 +90,27 @@ def work_order_stats(spark, sf_dir):
 
 
 def missing_rules(spark, sf_dir):
-    allowed = spark.createDataFrame(list(RULES), "line_class string, line_ag int, point_class string, point_ag int")
-    return rules.missing(nv.points(spark, sf_dir), nv.lines(spark, sf_dir), allowed)
+    allowed = spark.createDataFrame(list(RULES), "one_class string, one_ag int, other_class string, other_ag int")
+    return rules.missing(fittings(spark, sf_dir), nv.lines(spark, sf_dir), allowed)
 
 
 def learned_rules(spark, sf_dir):
-    allowed = spark.createDataFrame(list(RULES), "line_class string, line_ag int, point_class string, point_ag int")
-    return rules.learned(nv.points(spark, sf_dir), nv.lines(spark, sf_dir), allowed)
+    allowed = spark.createDataFrame(list(RULES), "one_class string, one_ag int, other_class string, other_ag int")
+    return rules.learned(fittings(spark, sf_dir), nv.lines(spark, sf_dir), allowed)
+
+
+def fittings(spark, sf_dir) -> DataFrame:
+    """Points of the view without every third joint: there lines meet at a bare node."""
+    return nv.points(spark, sf_dir).filter("not (class = 'Joint' and fid % 3 = 0)")
 
 
 def size_changes(spark, sf_dir):
-    """Sizes that differ at joints, which hold no device."""
-    joints = nv.points(spark, sf_dir).filter("class = 'Joint'").select("node")
-    return rules.size_changes(nv.lines(spark, sf_dir), joints)
+    """Sizes that differ where lines meet at a bare node; services don't count."""
+    return rules.size_changes(fittings(spark, sf_dir), nv.lines(spark, sf_dir), ["Service"])
+
+
+def cost_total(spark, sf_dir):
+    return reports.cost_total(cost_estimate(spark, sf_dir))
 
 
 def fed_lines(spark, sf_dir) -> DataFrame:
@@ -139,9 +147,11 @@ def risk_ranking_all(spark, sf_dir):
 
 
 def next_ids(spark, sf_dir):
-    """Identifiers for parts, going on after those that suppliers hold by region."""
-    existing = nv.table(spark, sf_dir, "supplier").select(F.concat_ws("-", F.concat(F.lit("N"), F.col("s_nationkey")), F.lpad(F.col("s_suppkey").cast("string"), 6, "0")).alias("assetid"))
-    wanted = nv.table(spark, sf_dir, "customer").select(F.concat(F.lit("N"), F.col("c_nationkey")).alias("prefix"), F.col("c_custkey").alias("key"))
+    """Identifiers for customers by nation, going on after those that suppliers hold; some ids end in more digits than their number has."""
+    key = F.col("s_suppkey")
+    number = F.when(key % 10 == 0, F.concat(F.lit("7"), F.lpad((key % 1000).cast("string"), 6, "0"))).otherwise(F.lpad(key.cast("string"), 6, "0"))
+    existing = nv.table(spark, sf_dir, "supplier").select(F.concat(F.lit("N"), F.char(65 + F.col("s_nationkey")), F.lit("-"), number).alias("assetid"))
+    wanted = nv.table(spark, sf_dir, "customer").select(F.concat(F.lit("N"), F.char(65 + F.col("c_nationkey")), F.when(F.col("c_custkey") % 4 == 0, "-7").otherwise("-")).alias("prefix"), F.col("c_custkey").alias("key"))
     return reports.next_ids(existing, wanted)
 
 
@@ -150,15 +160,18 @@ UNION ALL SELECT class, 'Line', fid, ag, 1, size, CAST(round(length) AS BIGINT),
 _VALUES = ", ".join("(" + ", ".join("NULL" if v is None else repr(v) for v in (*row, k)) + ")" for k, row in enumerate(PRICES))
 _PRICES = f'prices(class, ag, "at", size, price, unit, price_row) AS (VALUES {_VALUES})'
 _QUANTITIES = 'quantities AS (SELECT role, class, ag, "at", size, count(*) AS pieces, CAST(sum(length) AS BIGINT) AS length FROM features GROUP BY ALL)'
-_ALLOWED = "allowed(line_class, line_ag, point_class, point_ag) AS (VALUES " + ", ".join(map(repr, RULES)) + ")"
-_PAIRS = """ends AS (SELECT class AS line_class, ag AS line_ag, fid AS line_fid, a AS node FROM lines UNION ALL SELECT class, ag, fid, b FROM lines),
-pairs AS (SELECT e.node, line_class, line_ag, p.class AS point_class, p.ag AS point_ag, min(line_fid) AS fid FROM ends e JOIN points p USING (node) GROUP BY ALL),
-bad AS (SELECT * FROM pairs ANTI JOIN allowed USING (line_class, line_ag, point_class, point_ag))"""
+_ALLOWED = "allowed(one_class, one_ag, other_class, other_ag) AS (VALUES " + ", ".join(map(repr, RULES)) + ")"
+_PAIRS = """fit AS (SELECT * FROM points WHERE NOT (class = 'Joint' AND fid % 3 = 0)), ends AS (SELECT class, ag, fid, a AS node FROM lines UNION ALL SELECT class, ag, fid, b FROM lines),
+met AS (SELECT e.node, e.class, e.ag, e.fid, p.class AS c2, p.ag AS g2 FROM ends e JOIN fit p USING (node)
+  UNION ALL SELECT e.node, e.class, e.ag, least(e.fid, o.fid), o.class, o.ag FROM ends e JOIN ends o ON e.node = o.node AND (e.class, e.fid) < (o.class, o.fid) WHERE e.node NOT IN (SELECT node FROM fit)),
+pairs AS (SELECT node, least((class, ag), (c2, g2)) AS p, greatest((class, ag), (c2, g2)) AS q, min(fid) AS fid FROM met GROUP BY ALL),
+named AS (SELECT node, p[1] AS one_class, p[2] AS one_ag, q[1] AS other_class, q[2] AS other_ag, fid FROM pairs),
+bad AS (SELECT * FROM named ANTI JOIN allowed USING (one_class, one_ag, other_class, other_ag))"""
 _FED = f"""served AS (SELECT c_nationkey AS nation, count(*) AS customers FROM customer GROUP BY 1),
 fed AS (SELECT class, fid, built, CASE WHEN lifecycle = 4 THEN 5 ELSE 1 END AS condition, coalesce(customers, 0) AS customers FROM lines
   LEFT JOIN served ON nation = CASE WHEN class = 'Trunk' THEN b ELSE a END - {2 * nv.STRIDE} WHERE class IN ('Trunk', 'Feeder', 'Service')),
 aged AS (SELECT *, ({AS_OF_YEAR} - built) / {LIFE}.0 AS used FROM fed),
-scored AS (SELECT class, fid, customers, greatest(CASE WHEN built IS NULL THEN 3 WHEN used >= 0.8 THEN 5 WHEN used >= 0.6 THEN 4 WHEN used >= 0.4 THEN 3 WHEN used >= 0.2 THEN 2 ELSE 1 END, condition) AS likelihood,
+scored AS (SELECT class, fid, customers, greatest(CASE WHEN built IS NULL THEN 3 WHEN used >= 1 THEN 5 WHEN used >= 0.75 THEN 4 WHEN used >= 0.5 THEN 3 WHEN used >= 0.25 THEN 2 ELSE 1 END, condition) AS likelihood,
   CAST(least(5, 1 + floor(4 * customers / (SELECT max(customers) FROM fed)::DOUBLE + 0.999)) AS INTEGER) AS consequence FROM aged),
 risks AS (SELECT *, likelihood * consequence AS score, CASE WHEN likelihood * consequence <= 4 THEN 'Low' WHEN likelihood * consequence <= 9 THEN 'Medium' WHEN likelihood * consequence <= 15 THEN 'High' ELSE 'Very high' END AS risk FROM scored)"""
 _V = f"WITH {nv.VIEW_SQL}, {_FEATURES}"
@@ -177,7 +190,14 @@ QUERIES = {
         f"""{_V}, {_QUANTITIES}, {_PRICES}, matched AS (SELECT q.*, p.price, p.unit, row_number() OVER (PARTITION BY q.role, q.class, q.ag, q."at", q.size
           ORDER BY (p."at" IS NOT NULL)::INT + (p.size IS NOT NULL)::INT DESC, p.price_row) AS k
           FROM quantities q LEFT JOIN prices p ON q.class = p.class AND q.ag = p.ag AND (p."at" IS NULL OR p."at" = q."at") AND (p.size IS NULL OR p.size = q.size))
-        SELECT role, class, ag, "at", size, pieces, length, price::DOUBLE AS price, CASE WHEN unit = 'm' THEN length ELSE pieces END::DOUBLE * price::DOUBLE AS cost, coalesce(price = 0, TRUE) AS missing FROM matched WHERE k = 1""",
+        SELECT role, class, ag, "at", size, pieces, length, price::DOUBLE AS price, round(CASE WHEN role = 'Line' THEN coalesce(length, 0) ELSE pieces END::DOUBLE * price::DOUBLE, 2) AS cost, coalesce(price = 0, TRUE) AS missing FROM matched WHERE k = 1""",
+    ),
+    "cost_total": (
+        cost_total,
+        f"""{_V}, {_QUANTITIES}, {_PRICES}, matched AS (SELECT q.*, p.price, row_number() OVER (PARTITION BY q.role, q.class, q.ag, q."at", q.size
+          ORDER BY (p."at" IS NOT NULL)::INT + (p.size IS NOT NULL)::INT DESC, p.price_row) AS k
+          FROM quantities q LEFT JOIN prices p ON q.class = p.class AND q.ag = p.ag AND (p."at" IS NULL OR p."at" = q."at") AND (p.size IS NULL OR p.size = q.size))
+        SELECT round(sum(CASE WHEN role = 'Line' THEN coalesce(length, 0) ELSE pieces END::DOUBLE * price::DOUBLE), 2) AS total, count(*) FILTER (coalesce(price = 0, TRUE)) AS missing FROM matched WHERE k = 1""",
     ),
     "unpriced_combos": (
         unpriced_combos,
@@ -200,12 +220,12 @@ QUERIES = {
         f"""WITH wo AS (SELECT CASE o_orderstatus WHEN 'F' THEN 'Completed' WHEN 'O' THEN 'Open' ELSE 'In progress' END AS status, CAST(o_orderdate AS DATE) + 30 AS due FROM orders)
         SELECT status, count(*) AS n, count(*) FILTER (due < DATE '{TODAY}' AND status NOT IN ('Completed', 'Cancelled')) AS overdue FROM wo GROUP BY status""",
     ),
-    "missing_rules": (missing_rules, f"WITH {nv.VIEW_SQL}, {_ALLOWED}, {_PAIRS} SELECT node, line_class, line_ag, point_class, point_ag, fid FROM bad"),
-    "learned_rules": (learned_rules, f"WITH {nv.VIEW_SQL}, {_ALLOWED}, {_PAIRS} SELECT DISTINCT line_class, line_ag, point_class, point_ag FROM bad"),
+    "missing_rules": (missing_rules, f"WITH {nv.VIEW_SQL}, {_ALLOWED}, {_PAIRS} SELECT node, one_class, one_ag, other_class, other_ag, fid FROM bad"),
+    "learned_rules": (learned_rules, f"WITH {nv.VIEW_SQL}, {_ALLOWED}, {_PAIRS} SELECT DISTINCT one_class, one_ag, other_class, other_ag FROM bad"),
     "size_changes": (
         size_changes,
-        f"""WITH {nv.VIEW_SQL}, ends AS (SELECT a AS node, size, fid FROM lines UNION ALL SELECT b, size, fid FROM lines)
-        SELECT node, count(DISTINCT size) AS sizes, min(fid) AS fid FROM ends WHERE node IN (SELECT node FROM points WHERE class = 'Joint') GROUP BY node HAVING count(DISTINCT size) > 1""",
+        f"""WITH {nv.VIEW_SQL}, ends AS (SELECT a AS node, size, fid, class FROM lines UNION ALL SELECT b, size, fid, class FROM lines)
+        SELECT node, count(DISTINCT size) AS sizes, min(fid) AS fid FROM ends WHERE class <> 'Service' AND size IS NOT NULL AND node NOT IN (SELECT node FROM points WHERE NOT (class = 'Joint' AND fid % 3 = 0)) GROUP BY node HAVING count(DISTINCT size) > 1""",
     ),
     "risk_scores": (risk_scores, f"WITH {nv.VIEW_SQL}, {_FED} SELECT class, fid, customers, likelihood, consequence, score, risk FROM risks"),
     "risk_ranking": (risk_ranking, f"WITH {nv.VIEW_SQL}, {_FED} SELECT row_number() OVER (ORDER BY score DESC, customers DESC, class, fid) AS priority, class, fid, score, risk FROM risks"),
@@ -213,8 +233,13 @@ QUERIES = {
     "risk_ranking_all": (risk_ranking_all, None),
     "next_ids": (
         next_ids,
-        """WITH most AS (SELECT concat('N', s_nationkey) AS prefix, max(s_suppkey) AS most FROM supplier GROUP BY 1)
-        SELECT w.prefix, key, concat(w.prefix, '-', CASE WHEN n >= 100000 THEN n::VARCHAR ELSE lpad(n::VARCHAR, 6, '0') END) AS assetid FROM (SELECT concat('N', c_nationkey) AS prefix, c_custkey AS key,
-        coalesce(most, 0) + row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS n FROM customer LEFT JOIN most ON most.prefix = concat('N', c_nationkey)) w""",
+        """WITH RECURSIVE used AS (SELECT concat('N', chr(CAST(65 + s_nationkey AS INTEGER)), '-', CASE WHEN s_suppkey % 10 = 0 THEN concat('7', lpad((s_suppkey % 1000)::VARCHAR, 6, '0')) ELSE lpad(s_suppkey::VARCHAR, 6, '0') END) AS id FROM supplier),
+        most AS (SELECT regexp_extract(id, '^(.*?)(\\d+)$', 1) AS prefix, max(CAST(regexp_extract(id, '^(.*?)(\\d+)$', 2) AS BIGINT)) AS most FROM used GROUP BY 1),
+        want AS (SELECT concat('N', chr(CAST(65 + c_nationkey AS INTEGER)), CASE WHEN c_custkey % 4 = 0 THEN '-7' ELSE '-' END) AS prefix, c_custkey AS key FROM customer),
+        ranked AS (SELECT prefix, key, row_number() OVER (PARTITION BY prefix ORDER BY key) AS r FROM want),
+        numbers AS (SELECT prefix, coalesce(most, 0) + unnest(range(1, (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) + 1)) AS n FROM (SELECT DISTINCT prefix FROM want) LEFT JOIN most USING (prefix)),
+        ids AS (SELECT prefix, n, concat(prefix, CASE WHEN n >= 100000 THEN n::VARCHAR ELSE lpad(n::VARCHAR, 6, '0') END) AS id FROM numbers),
+        free AS (SELECT prefix, id, row_number() OVER (PARTITION BY prefix ORDER BY n) AS r FROM ids ANTI JOIN used USING (id))
+        SELECT prefix, key, id AS assetid FROM ranked JOIN free USING (prefix, r)""",
     ),
 }

@@ -103,7 +103,7 @@ fields AS (SELECT *, version_kind = 'update' AND parent_kind = 'update' AS two,
   bs IS DISTINCT FROM ps AS qs, bn IS DISTINCT FROM pn AS qn, bc IS DISTINCT FROM pc AS qc FROM kinds WHERE version_kind IS NOT NULL OR parent_kind IS NOT NULL),
 named AS (SELECT *, concat_ws(',', CASE WHEN two AND mc AND qc AND vc IS DISTINCT FROM pc THEN 'cents' END, CASE WHEN two AND mn AND qn AND vn IS DISTINCT FROM pn THEN 'nation' END,
   CASE WHEN two AND ms AND qs AND vs IS DISTINCT FROM ps THEN 'segment' END) AS conflict_fields,
-  concat_ws(',', CASE WHEN two AND mc <> qc THEN 'cents' END, CASE WHEN two AND mn <> qn THEN 'nation' END, CASE WHEN two AND ms <> qs THEN 'segment' END) AS merged_fields FROM fields),
+  concat_ws(',', CASE WHEN two AND qc AND NOT mc THEN 'cents' END, CASE WHEN two AND qn AND NOT mn THEN 'nation' END, CASE WHEN two AND qs AND NOT ms THEN 'segment' END) AS merged_fields FROM fields),
 differences AS (SELECT gid, version_kind, parent_kind, CASE WHEN coalesce(two, FALSE) THEN conflict_fields <> '' ELSE version_kind IS NOT NULL AND parent_kind IS NOT NULL
   AND (hv <> hp OR (hv AND hp AND (vs, vn, vc) IS DISTINCT FROM (ps, pn, pc))) END AS conflict, conflict_fields, merged_fields FROM named)"""
 

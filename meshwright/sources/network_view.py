@@ -100,6 +100,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             (fid % 11 == 0).alias("reverse"), built.cast("int").alias("built"),
             F.sqrt(F.pow(xa - xb, 2) + F.pow(ya - yb, 2)).alias("length"),
             xa.alias("xa"), ya.alias("ya"), xb.alias("xb"), yb.alias("yb"),
+            F.create_map(F.lit("built"), built.cast("string"), F.lit("bore"), size.cast("string")).alias("attrs"),
         )
 
     c = F.col
