@@ -49,8 +49,8 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: Tokenisation and the tagging of secrets have no SQL form; tests compare some stages (rules,
-#: near copies, packing, not secrets or the whole pipeline) with brute force.
+#: Tokenisation and the tagging of secrets have no SQL form; tests compare every stage
+#: with brute force or with what it may keep (tests/llm/test_pipeline.py).
 ORACLE_SQL = None
 
 
