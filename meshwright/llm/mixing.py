@@ -1,23 +1,25 @@
-"""Mixing sources to target weights by Pfair windows, in DataFrame functions only.
-
-Every source is cut into blocks of documents in a random but repeatable order.  Block ``i`` of
-a source with weight ``w`` is released at time ``i/w`` and due by ``(i+1)/w``.  Each block
-takes a moment of its own window, the same share of it (the phase) for all blocks of a source,
-and all blocks are ordered by their moments with a range-partitioned sort and prefix sums.
-At any moment no source is a whole block away from its weight, whatever the weights; there is
-no period, and no table of all sources is gathered.
-
-Moments and slots (places in the order) differ by what all sources together are ahead or behind: under
-one block for each source, and far less as phases are spread evenly.  So in slots the distance of a
-source from its share is under ``1 + w * sources`` blocks; it doesn't grow with time.  (Earliest deadline
-first with releases keeps it under one, but goes slot by slot; ordering by deadlines without
-releases would put all blocks of small sources behind those of large ones.)  Nothing is dropped:
-a source that runs out has no more moments and the others go on at their relative weights.
+"""Mixing sources to target weights by Pfair scheduling, in DataFrame functions only.
+
+Every source is cut into blocks of documents in a random but repeatable order.  Slots hold one block each.
+By a fluid schedule every source gets its weight's share of each slot (of the weights of all sources
+that haven't run out); block ``i`` is released in the slot in which its source's share reaches ``i`` and due
+by the end of the slot in which it reaches ``i + 1``.  Earliest deadline first gives each slot the released
+block that is due first.  A block in its window keeps its source less than one block from its share.
+
+The schedule isn't run slot by slot over the corpus.  Blocks are first ordered by a moment inside their own
+windows, the same share of it (the phase) for all blocks of a source, with a range-partitioned sort and prefix sums.
+Where as many moments lie before a slot as there are slots before it, every source is inside its windows, so
+the schedule can be cut there: in every ``STRETCH`` places the first such slot begins a stretch, and earliest deadline
+first runs in each stretch by itself.  There is no period, and no table of all sources is gathered.
+
+Where ``STRETCH`` places hold no such slot, or a cut leaves more blocks due than slots before the deadline, a block
+may come late by what all sources together are ahead at the cut; neither was met in any test.
+Nothing is dropped: when a source runs out the others go on at their relative weights.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -29,22 +31,33 @@ BLOCK = 64
 TEMPER = 0.5
 #: Buckets by which the order inside one source is dealt out.
 RANK_BUCKETS = 4096
+#: Places in the order of moments of which one begins a stretch of the schedule; a stretch has under twice as many slots.
+STRETCH = 256
+#: Shares this near to a whole number count as whole, as sums of weights are rounded.
+NEAR = 1e-6
 #: Steps by the golden section spread phases evenly.
 GOLDEN = 0.6180339887498949
 
 
-def _ordered(rows: DataFrame, by: tuple[str, ...], size: str | None = None) -> DataFrame:
-    """``rows`` with ``no``, their place by the columns ``by``, and ``ahead``, the sum of ``size`` before them; staged."""
-    amount = F.col(size) if size else F.lit(0)
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _ordered(rows: DataFrame, by: tuple[str, ...], *sizes: str) -> DataFrame:
+    """``rows`` with ``no``, their place by the columns ``by``, and for each of ``sizes`` its sum before them (``before_...``); staged."""
     laid = rows.repartitionByRange(*by).sortWithinPartitions(*by)
     laid = staged(laid.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "ordered")
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = laid.groupBy("_part").agg(F.count(F.lit(1)).alias("_count"), F.sum(amount).alias("_sum"))
-    totals = totals.select(F.col("_part").alias("_held"), *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("_count", "_sum")])
     inside = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    sums = lambda names, window: [F.coalesce(F.sum(n).over(window), F.lit(0)).alias(n) for n in names]
+    totals = laid.groupBy("_part").agg(F.count(F.lit(1)).alias("_count"), *[F.sum(c).alias(f"_all_{c}") for c in sizes])
+    totals = totals.select(F.col("_part").alias("_held"), *sums(["_count", *[f"_all_{c}" for c in sizes]], before))
     # One row for each partition of the sort.
-    found = laid.withColumn("_in", F.coalesce(F.sum(amount).over(inside), F.lit(0))).join(F.broadcast(totals), F.col("_part") == F.col("_held"))
-    return found.select(*rows.columns, (F.col("_count") + F.col("_at")).alias("no"), (F.col("_sum") + F.col("_in")).alias("ahead"))
+    found = laid.select("*", *[x.alias(f"_in_{c}") for c, x in zip(sizes, sums(sizes, inside), strict=True)]).join(F.broadcast(totals), F.col("_part") == F.col("_held"))
+    return found.select(
+        *rows.columns, (F.col("_count") + F.col("_at")).alias("no"), *[(F.col(f"_all_{c}") + F.col(f"_in_{c}")).alias(f"before_{c}") for c in sizes]
+    )
 
 
 def target_weights(counts: DataFrame, temper: float = TEMPER, weights: dict | None = None) -> DataFrame:
@@ -85,11 +98,73 @@ def _ranked(docs: DataFrame, sources: DataFrame, key: tuple[str, ...]) -> DataFr
     )
 
 
+def _windows(blocks: DataFrame, sources: DataFrame, block: int) -> DataFrame:
+    """``no, release, due, share`` of ``blocks``: first slot, last slot and one, and the slots before their moment, by the fluid schedule.
+
+    Slots before a time are what all sources have been given by then: its length times the weights that still
+    run, and all blocks of the sources that have run out, summed over their ends before it in one sorted pass.
+    """
+    at = lambda kind, turn: F.struct(F.lit(kind).alias("kind"), (turn / F.col("weight")).alias("at"))
+    times = blocks.filter("weight > 0").select(F.col("no").alias("_of"), F.inline(F.array(at("release", F.col("_b")), at("share", F.col("turn")), at("due", F.col("_b") + 1))))
+    n_blocks = F.ceil(F.col("n_docs") / block)
+    ends = sources.filter("weight > 0").select(
+        F.lit(None).cast("long").alias("_of"), F.lit("end").alias("kind"), (n_blocks / F.col("weight")).alias("at"), F.col("weight").alias("out"), n_blocks.cast("double").alias("given")
+    )
+    passed = _ordered(times.withColumns({"out": F.lit(0.0), "given": F.lit(0.0)}).unionByName(ends), ("at", "_of", "kind"), "out", "given")
+    slots = F.col("at") * (1 - F.col("before_out")) + F.col("before_given")
+    found = passed.filter("kind != 'end'").groupBy("_of").agg(*[F.max(F.when(F.col("kind") == k, slots)).alias(k) for k in ("release", "share", "due")])
+    return found.select(F.col("_of").alias("no"), F.floor(F.col("release") + NEAR).alias("release"), F.ceil(F.col("due") - NEAR).alias("due"), "share")
+
+
+def _earliest_deadline_first(jobs: Column) -> Column:
+    """Numbers ``no`` of ``jobs`` in the order of their slots, which are the places that the jobs hold now.
+
+    Each slot takes the released job that is due first (the smaller ``no`` of two), or else the next to be released.
+    """
+
+    def take(state: Column, slot: Column) -> Column:
+        wait = lambda j: F.greatest(j["release"] - slot, F.lit(0).cast("long"))
+        first = F.array_min(F.transform(state["left"], lambda j: F.struct(wait(j).alias("wait"), j["due"].alias("due"), j["no"].alias("no"))))
+        return _let(
+            first["no"],
+            lambda no: F.struct(F.filter(state["left"], lambda j: j["no"] != no).alias("left"), F.concat(state["done"], F.array(no)).alias("done")),
+        )
+
+    start = F.array_min(F.transform(jobs, lambda j: j["no"]))
+    empty = F.struct(jobs.alias("left"), F.array().cast("array<bigint>").alias("done"))
+    return F.aggregate(F.sequence(start, start + F.size(jobs) - 1), empty, take, lambda state: state["done"])
+
+
+def _scheduled(blocks: DataFrame, sources: DataFrame, block: int) -> DataFrame:
+    """``_s, _b, slot, ahead`` of all blocks: their slot, and the rows in slots before it.
+
+    Sources of weight 0 have no windows; their blocks take the slots after all others, in the order they have.
+    """
+    laid = staged(_ordered(blocks, ("moment", "turn", "_s", "_b"), "rows"), "moments")
+    jobs = laid.join(_windows(laid, sources, block), "no", "left").withColumns(
+        {
+            "release": F.coalesce("release", "no"), "due": F.coalesce("due", F.col("no") + 1), "share": F.coalesce("share", F.col("no").cast("double")),
+            "stretch": F.floor(F.col("no") / STRETCH),
+        }
+    )
+    bucket = Window.partitionBy("stretch")
+    level = (F.col("share") >= F.col("no")) & (F.lag("share").over(bucket.orderBy("no")) < F.col("no"))
+    cut = F.coalesce(F.min(F.when(F.col("level"), F.col("no"))).over(bucket), F.col("stretch") * STRETCH)
+    jobs = jobs.withColumn("level", level).withColumn("cut", cut)
+    jobs = staged(jobs.withColumn("stretch", F.greatest(F.lit(0), F.col("stretch") - (F.col("no") < F.col("cut")).cast("long"))), "stretches")
+    # At most twice STRETCH rows in a group.
+    dealt = jobs.groupBy("stretch").agg(F.min("no").alias("start"), F.min("before_rows").alias("base"), F.collect_list(F.struct("release", "due", "no")).alias("jobs"))
+    slots = dealt.select("base", "start", F.posexplode(_earliest_deadline_first(F.col("jobs"))).alias("pos", "no"))
+    before = Window.partitionBy("stretch").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    placed = jobs.select("_s", "_b", "rows", "no", "stretch").join(slots.withColumn("slot", F.col("start") + F.col("pos")), "no")
+    return placed.select("_s", "_b", "slot", (F.col("base") + F.coalesce(F.sum("rows").over(before), F.lit(0))).alias("ahead"))
+
+
 def mix(docs: DataFrame, block: int = BLOCK, weights: dict | None = None, key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``doc_id, source, weight, block_no, slot, position`` for every row of ``docs``.
 
     ``slot`` is the place of the row's block and ``position`` that of the row itself (both from 0, without
-    gaps) in the mixed order. A null source is a source of its own; repeated rows are placed each; an empty
+    gaps) in the mixed order; by slots every source stays less than one block from its share. A null source is a source of its own; repeated rows are placed each; an empty
     table gives an empty result. ``key`` names doc_id and further columns that tell rows with one doc_id apart.
     """
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), *key[1:])
@@ -99,11 +174,11 @@ def mix(docs: DataFrame, block: int = BLOCK, weights: dict | None = None, key: t
     turn = F.col("block_no") + F.col("phase")
     moment = F.when(F.col("weight") > 0, F.try_divide(turn, F.col("weight"))).otherwise(F.lit(float("inf")))
     blocks = ranked.filter(F.col("rank") % block == 0).select(
-        moment.alias("moment"), turn.alias("turn"), F.col("source").alias("_s"), F.col("block_no").alias("_b"), F.least(F.lit(block), F.col("n_docs") - F.col("rank")).alias("rows")
+        "weight", moment.alias("moment"), turn.alias("turn"), F.col("source").alias("_s"), F.col("block_no").alias("_b"), F.least(F.lit(block), F.col("n_docs") - F.col("rank")).alias("rows")
     )
-    starts = _ordered(blocks, ("moment", "turn", "_s", "_b"), "rows").select("_s", "_b", "no", "ahead")
+    starts = _scheduled(blocks, sources, block)
     return ranked.join(starts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block_no") == F.col("_b"))).select(
-        *key, "source", "weight", F.col("block_no").cast("long").alias("block_no"), F.col("no").cast("long").alias("slot"),
+        *key, "source", "weight", F.col("block_no").cast("long").alias("block_no"), F.col("slot").cast("long").alias("slot"),
         (F.col("ahead") + F.col("rank") % block).cast("long").alias("position"),
     )
 
