@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import block_dedup, html_extract, mixing, ngram_join, packing, quality, secret_scan, suffix_dedup, tokenfile, topk
+from . import block_dedup, html_extract, mixing, ngram_join, packing, quality, secret_scan, suffix_dedup, token_counts, tokenfile, topk
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_quality_rules": quality.op8_quality_rules,
         "op9_exact_topk": topk.op9_exact_topk,
         "op10_mixing": mixing.op10_mixing,
+        "op11_token_counts": token_counts.op11_token_counts,
     }
 
 
