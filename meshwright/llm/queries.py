@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import block_dedup, html_extract, mixing, ngram_join, packing, quality, secret_scan, suffix_dedup, token_counts, tokenfile, topk
+from . import block_dedup, html_extract, mixing, ngram_join, packing, prefix_trie, quality, secret_scan, suffix_dedup, token_counts, tokenfile, topk
 
 
 def queries() -> dict:
@@ -18,8 +18,14 @@ def queries() -> dict:
         "op9_exact_topk": topk.op9_exact_topk,
         "op10_mixing": mixing.op10_mixing,
         "op11_token_counts": token_counts.op11_token_counts,
+        "op12_prefix_trie": prefix_trie.op12_prefix_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_block_dedup": block_dedup.OP6_SQL, "op8_quality_rules": quality.OP8_SQL, "op9_exact_topk": topk.OP9_SQL}
+    return {
+        "op6_block_dedup": block_dedup.OP6_SQL,
+        "op8_quality_rules": quality.OP8_SQL,
+        "op9_exact_topk": topk.OP9_SQL,
+        "op12_prefix_trie": prefix_trie.OP12_SQL,
+    }
