@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import block_dedup, html_extract, mixing, ngram_join, packing, prefix_trie, quality, secret_scan, suffix_dedup, token_counts, tokenfile, topk
+from . import alignment, block_dedup, html_extract, mixing, ngram_join, packing, prefix_trie, quality, secret_scan, suffix_dedup, token_counts, tokenfile, topk
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_mixing": mixing.op10_mixing,
         "op11_token_counts": token_counts.op11_token_counts,
         "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+        "op13_alignment": alignment.op13_alignment,
     }
 
 
