@@ -123,7 +123,7 @@ verts AS MATERIALIZED (SELECT k AS line, 0 AS v, x, y, CASE WHEN k % 97 = 0 THEN
   UNION ALL SELECT k, 1, (x + tx) / 2, (y + ty) / 2, 2, 0, k % 23 = 0 FROM ends WHERE k % 97 <> 0
   UNION ALL SELECT k, 2, tx + miss, ty, 2, CASE WHEN k % 13 = 0 THEN 1 ELSE 0 END, k % 23 = 0 FROM ends WHERE k % 97 <> 0),
 pts AS MATERIALIZED (SELECT CAST(s_suppkey AS BIGINT) AS point, CAST(k % 37 * 10 AS DOUBLE) + CASE WHEN k % 3 = 0 THEN 0.2::DOUBLE WHEN k % 4 = 0 THEN 5::DOUBLE ELSE 0::DOUBLE END AS x,
-  CAST(k // 2 % 40 * 10 AS DOUBLE) + CASE WHEN k % 10 = 0 THEN 3::DOUBLE ELSE 0::DOUBLE END AS y, s_suppkey % 8 = 0 AS structure, CASE WHEN s_suppkey % 31 <> 0 THEN s_nationkey END AS ag
+  CAST(CAST(floor(k / 2) AS BIGINT) % 40 * 10 AS DOUBLE) + CASE WHEN k % 10 = 0 THEN 3::DOUBLE ELSE 0::DOUBLE END AS y, s_suppkey % 8 = 0 AS structure, CASE WHEN s_suppkey % 31 <> 0 THEN s_nationkey END AS ag
   FROM (SELECT *, s_suppkey - CASE WHEN s_suppkey % 9 = 0 THEN 1 ELSE 0 END AS k FROM supplier)),
 cand AS MATERIALIZED (SELECT concat('V:', line, ':0:', v) AS token, line, x, y, level FROM verts WHERE last > 0 AND v IN (0, last) UNION ALL SELECT concat('P:', point), NULL, x, y, NULL FROM pts),
 seg AS MATERIALIZED (SELECT a.line, a.v AS seg, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM verts a JOIN verts b ON a.line = b.line AND b.v = a.v + 1),
