@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import NULL_ID, TABLE_BUCKET_BYTES, shared_dir, staged, text_rows
 
 #: Characters of text in a block, and documents, at most; a longer text is cut into several blocks.
-BLOCK_CHARS = 1 << 23
+BLOCK_CHARS = 1 << 22
 BLOCK_DOCS = 1 << 13
 #: Stretches that go to a library in one call.
 CALL = 4096
