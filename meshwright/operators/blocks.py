@@ -1,98 +1,46 @@
-"""Bridges, biconnected blocks and cut nodes of very large graphs, level by level.
+"""Bridges, biconnected blocks and cut nodes of very large graphs.
 
-A breadth-first forest gives every node a depth and a parent. Sizes of subtrees are summed from the
-deepest level up; numbers in preorder are dealt from the roots down; the least and greatest number
-that a subtree can reach over other edges come from the deepest level up again. From these:
+A spanning forest is walked as one list of arcs for each tree, which gives every node its parent, its number in preorder and the size of its
+subtree. The least and greatest number that a subtree can reach over other edges is a minimum and maximum over its stretch of
+numbers. From these:
 
 * a tree edge is a bridge if its subtree reaches nothing outside itself,
 * tree edges belong to one block if they are joined by the usual two rules, closed by components.
 
-Every step is a join or an aggregation of one level, so no part of the graph meets in one task.
-Parallel edges count as a loop; edges from a node to itself are ignored.
+Every step takes rounds by the logarithm of the graph's size, however long its paths are, and is made of joins and
+aggregations, so no part of the graph meets in one task. Parallel edges count as a loop; edges from a node to itself are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meshwright.operators import lists
 from meshwright.operators.graph import both_ways, components
 from meshwright.plans.staging import any_rows, staged
 
 
-def forest(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
-    """``node, root, depth, parent, via``: breadth-first trees over ``eid, a, b``.
+def numbered(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """``node, root, parent, via, depth, pre, size, low, high`` over ``eid, a, b``; empty for a graph without edges.
 
-    One tree for each component, from its least node, or from ``roots`` (then only what they reach).
-    Of several parents the least is taken, of several edges to it the least ``eid``.
+    One tree for each component, from its least node, or from the least of ``roots`` in it (then only components that hold one).
     """
-    edges = edges.filter("a <> b")
-    around = staged(both_ways(edges, "eid"), "around")
+    edges = staged(edges.filter("a <> b").select("eid", "a", "b"), "plain")
+    parts = staged(components(edges.select(F.col("a").alias("node")).union(edges.select("b")), edges), "parts")
     if roots is None:
-        nodes = around.select(F.col("src").alias("node")).distinct()
-        roots = components(nodes, edges).select(F.col("component").alias("node")).distinct()
-    none = F.lit(None).cast("long")
-    seen = front = staged(roots.select("node", F.col("node").alias("root"), F.lit(0).alias("depth"), none.alias("parent"), none.alias("via")), "forest")
-    depth = 0
-    while any_rows(front):
-        depth += 1
-        offers = front.join(around, front["node"] == around["src"]).groupBy(F.col("dst").alias("to")).agg(F.min(F.struct(F.col("src").alias("parent"), F.col("eid").alias("via"), "root")).alias("by"))
-        front = staged(
-            offers.join(seen, offers["to"] == seen["node"], "left_anti").select(F.col("to").alias("node"), "by.root", F.lit(depth).alias("depth"), "by.parent", "by.via"), "forest"
-        )
-        seen = seen.unionByName(front)
-        if depth % 8 == 0:
-            seen = staged(seen, "forest")
-    return staged(seen, "forest")
-
-
-def _up(tree: DataFrame, depths: list[int], columns: dict) -> DataFrame:
-    """Fold columns of each node with those of its children, from the deepest level up."""
-    done = None
-    level = None
-    for depth in sorted(depths, reverse=True):
-        here = tree.filter(F.col("depth") == depth)
-        if level is not None:
-            below = level.groupBy(F.col("parent").alias("above")).agg(*[fold(c).alias(f"_{c}") for c, (fold, _) in columns.items()])
-            here = here.join(below, here["node"] == below["above"], "left")
-            for c, (_, join) in columns.items():
-                here = here.withColumn(c, F.when(F.col(f"_{c}").isNull(), F.col(c)).otherwise(join(F.col(c), F.col(f"_{c}"))))
-        level = staged(here.select(*tree.columns), "up")
-        done = level if done is None else done.unionByName(level)
-    return staged(done, "up")
-
-
-def _levels(tree: DataFrame) -> list[int]:
-    """Depths of the forest; their number is bounded by the diameter, not by the rows."""
-    deepest = tree.agg(F.max("depth")).first()[0]
-    return list(range((-1 if deepest is None else deepest) + 1))
-
-
-def numbered(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
-    """The forest with ``size, pre, low, high``; empty for a graph without edges."""
-    tree = forest(edges, roots)
-    depths = _levels(tree)
-    if not depths:
-        return tree.select("*", *[F.lit(0).cast("long").alias(c) for c in ("size", "pre", "low", "high")])
-    sized = _up(tree.withColumn("size", F.lit(1).cast("long")), depths, {"size": (F.sum, lambda a, b: a + b)})
-    # Numbers from the roots down: a child's is its parent's, plus one, plus the sizes of the siblings before it.
-    before = Window.partitionBy("parent").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
-    level = staged(sized.filter("depth = 0").withColumn("pre", F.lit(0).cast("long")), "down")
-    done = level
-    for depth in depths[1:]:
-        here = sized.filter(F.col("depth") == depth).withColumn("offset", F.coalesce(F.sum("size").over(before), F.lit(0)))
-        above = level.select(F.col("node").alias("above"), F.col("pre").alias("pre_above"))
-        level = staged(here.join(above, here["parent"] == above["above"]).select(*sized.columns, (F.col("pre_above") + 1 + F.col("offset")).alias("pre")), "down")
-        done = done.unionByName(level)
-    done = staged(done, "down")
-    tree_edges = done.select(F.col("via").alias("eid")).dropna()
-    others = both_ways(edges.filter("a <> b").join(tree_edges, "eid", "left_anti"))
-    number = done.select(F.col("node").alias("dst"), F.col("pre").alias("seen"))
+        tops = parts.select(F.col("component").alias("node")).distinct()
+    else:
+        tops = parts.join(roots.select("node").distinct(), "node", "left_semi").groupBy("component").agg(F.min("node").alias("node")).select("node")
+        held = parts.join(parts.join(tops, "node", "left_semi").select("component"), "component", "left_semi").select(F.col("node").alias("a"))
+        edges = staged(edges.join(held, "a", "left_semi"), "held")
+    taken = lists.spanning(edges)
+    tree = lists.toured(edges.join(taken, "eid", "left_semi"), tops)
+    others = both_ways(edges.join(taken, "eid", "left_anti"))
+    number = tree.select(F.col("node").alias("dst"), F.col("pre").alias("seen"))
     touched = others.join(number, "dst").groupBy("src").agg(F.min("seen").alias("least"), F.max("seen").alias("most"))
-    start = done.join(touched, done["node"] == touched["src"], "left").select(
-        *done.columns, F.least("pre", F.coalesce("least", "pre")).alias("low"), F.greatest("pre", F.coalesce("most", "pre")).alias("high")
-    )
-    return _up(staged(start, "low"), depths, {"low": (F.min, F.least), "high": (F.max, F.greatest)})
+    own = tree.join(touched, tree["node"] == touched["src"], "left").select("node", F.least("pre", F.coalesce("least", "pre")).alias("low"), F.greatest("pre", F.coalesce("most", "pre")).alias("high"))
+    return staged(tree.join(lists.extremes(tree, own), "node").select("node", "root", "parent", "via", "depth", "pre", "size", "low", "high"), "numbered")
 
 
 def bridges(edges: DataFrame, tree: DataFrame | None = None) -> DataFrame:
@@ -139,10 +87,12 @@ def lost_below(edges: DataFrame, roots: DataFrame, weights: DataFrame) -> DataFr
     whole = staged(edges.select("eid", "a", "b").unionByName(virtual), "rooted")
     root = edges.sparkSession.createDataFrame([(-1,)], "node long")
     tree = numbered(whole, root)
-    depths = _levels(tree)
     named = blocks(whole, tree).withColumnRenamed("eid", "edge")
     weighted = tree.join(weights.groupBy("node").agg(F.sum("weight").alias("own")), "node", "left").withColumn("own", F.coalesce("own", F.lit(0)).cast("long"))
-    summed = _up(staged(weighted.select("node", "parent", "depth", "via", "own", F.col("own").alias("total")), "weights"), depths, {"total": (F.sum, lambda a, b: a + b)})
+    # A subtree's weight is the difference of two totals along the preorder.
+    along = staged(lists.running(weighted.select("node", "parent", "via", "own", "pre", "size"), ["pre"], ("own",)), "weights")
+    end = along.select((F.col("pre") + 1).alias("after"), F.col("run_own").alias("upto"))
+    summed = along.withColumn("after", F.col("pre") + F.col("size")).join(end, "after").select("node", "parent", "via", "own", (F.col("upto") - F.col("run_own") + F.col("own")).alias("total"))
     blocked = staged(summed.join(named, summed["via"] == named["edge"], "left").select("node", "parent", "own", "total", "block"), "blocked")
     child = blocked.select(F.col("parent").alias("above"), F.col("block").alias("child_block"), F.col("total").alias("child_total"))
     pairs = child.join(blocked.select("node", "block"), child["above"] == F.col("node")).filter(~F.col("child_block").eqNullSafe(F.col("block")))
