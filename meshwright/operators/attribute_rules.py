@@ -30,6 +30,7 @@ class Rule:
     enabled: bool = True
     order: int = 0
     message: str = ""
+    severity: str | None = None
 
 
 def in_order(rules: Iterable[Rule]) -> list[Rule]:
@@ -64,16 +65,26 @@ def updates(features: DataFrame, rules: Iterable[Rule]) -> DataFrame:
 
 
 def issues(features: DataFrame, rules: Iterable[Rule]) -> DataFrame:
-    """``class, fid, code, rule, severity``: features that break a constraint (error) or a validation (warning)."""
+    """``class, fid, code, rule, severity, message, x, y``: features that break a constraint or a validation.
+
+    The severity is the rule's own, else error; the message its name and its own text, else that it is broken. Features with ``x, y``
+    count only where they have a place; without these columns all count, and their place is null.
+    """
     tests = [r for r in in_order(rules) if r.kind != CALCULATION]
+    placed = "x" in features.columns
+    at = [F.col("x"), F.col("y")] if placed else [F.lit(None).cast("double").alias(k) for k in "xy"]
     broken = [
         F.when(
             (F.col("class") == r.class_name) & ~holds(expression(r)),
-            F.struct(F.lit("AR").alias("code"), F.lit(r.name).alias("rule"), F.lit("error" if r.kind == CONSTRAINT else "warning").alias("severity")),
+            F.struct(
+                F.lit("AR").alias("code"), F.lit(r.name).alias("rule"), F.lit(r.severity or "error").alias("severity"),
+                F.lit(f"{r.name}: {r.message or 'rule broken'}").alias("message"),
+            ),
         )
         for r in tests
-    ]
-    return features.select("class", "fid", F.explode(F.array_compact(F.array(*broken))).alias("i")).select("class", "fid", "i.*")
+    ]
+    rows = features.filter("x is not null and y is not null") if placed else features
+    return rows.select("class", "fid", *at, F.explode(F.array_compact(F.array(*broken))).alias("i")).select("class", "fid", "i.*", "x", "y")
 
 
 def changed_only(features: DataFrame, changed: DataFrame) -> DataFrame:

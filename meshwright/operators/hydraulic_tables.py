@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meshwright.operators import lists
+
 
 def classed(value: Column, limits: Sequence[float]) -> Column:
     """Number of the class of a value: how many limits it reaches."""
@@ -73,7 +75,6 @@ def results_back(results: DataFrame, nodes: DataFrame, pipes: DataFrame) -> Data
 
 
 def chainage(path: DataFrame) -> DataFrame:
-    """``seq, chainage, level``: distance from the start along an ordered path (``seq, length, level``), for one path drawn as a profile."""
-    from pyspark.sql import Window
-
-    return path.select("seq", F.sum("length").over(Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("chainage"), "level")
+    """``seq, chainage, level``: distance from the start along an ordered path (``seq, length, level``); a null length counts as none."""
+    known = path.select("seq", F.coalesce("length", F.lit(0.0)).alias("length"), "level")
+    return lists.running(known, ["seq"], ("length",)).select("seq", F.col("run_length").alias("chainage"), "level")

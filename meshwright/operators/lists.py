@@ -61,21 +61,21 @@ def _running(frames: Iterator[pd.DataFrame], sums: list[str]) -> Iterator[pd.Dat
 def running(rows: DataFrame, keys: list[str], sums: tuple[str, ...] = ()) -> DataFrame:
     """``rows`` with ``place`` (from 1) in the order of ``keys`` over the whole table, and ``run_<column>``: totals up to there, itself included.
 
-    ``keys`` are unique; the columns of ``sums`` are whole numbers. Every partition counts for itself; what partitions add to each other
+    ``keys`` are unique; the columns of ``sums`` are numbers without nulls. Every partition counts for itself; what partitions add to each other
     is one row each.
     """
     kinds = dict(rows.dtypes)
-    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in rows.columns), "part int", "place long", *(f"run_{k} long" for k in sums)])
+    of = {k: "double" if kinds[k] == "double" else "long" for k in sums}
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in rows.columns), "part int", "place long", *(f"run_{k} {of[k]}" for k in sums)])
     ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
     done = staged(ordered.mapInPandas(lambda frames: _running(frames, list(sums)), schema), "running")
     ends = done.groupBy("part").agg(F.max("place").alias("n"), *[F.max_by(f"run_{k}", "place").alias(k) for k in sums])
     held = sorted(ends.collect(), key=lambda r: r.part)  # one row a partition
-    offsets, before = [], [0] * (1 + len(sums))
+    offsets, before = [], [0, *(0.0 if of[k] == "double" else 0 for k in sums)]
     for r in held:
         offsets.append((r.part, *before))
         before = [b + r[k] for b, k in zip(before, ("n", *sums), strict=True)]
-    names = ["_place", *(f"_{k}" for k in sums)]
-    carried = rows.sparkSession.createDataFrame(offsets, "part int, " + ", ".join(f"{k} long" for k in names))
+    carried = rows.sparkSession.createDataFrame(offsets, "part int, _place long" + "".join(f", _{k} {of[k]}" for k in sums))
     whole = done.join(F.broadcast(carried), "part")
     return whole.select(*rows.columns, (c("place") + c("_place")).alias("place"), *[(c(f"run_{k}") + c(f"_{k}")).alias(f"run_{k}") for k in sums])
 

@@ -8,17 +8,18 @@ from pyspark.sql import functions as F
 from meshwright.functions import identifiers as ids
 from meshwright.operators import attribute_rules as ar
 from meshwright.operators import hydraulic_tables as hyd
-from meshwright.operators import traces, versions
+from meshwright.operators import lists, profiles, traces, versions
 from meshwright.plans.graph_queries import TIERS, network, tiered
 from meshwright.plans.topology_queries import MAP_SQL, lines
 from meshwright.sources import tables as tab
+from meshwright.sources import network_view as nv
 from meshwright.sources.network_view import table
 
 c = F.col
 RULES = (
     ar.Rule("price of length", "Part", ar.CALCULATION, "CASE WHEN size % 4 = 0 THEN round($length * 10, 2) ELSE price END", "price", order=1),
     ar.Rule("default brand", "Part", ar.CALCULATION, "coalesce(brand, 'Brand#0')", "brand", order=2),
-    ar.Rule("not too large", "Part", ar.CONSTRAINT, "size < 40"),
+    ar.Rule("not too large", "Part", ar.CONSTRAINT, "size < 40", message="sizes end at 39", severity="warning"),
     ar.Rule("brand of the first ten", "Part", ar.VALIDATION, "brand ILIKE 'brand#1%'"),
     ar.Rule("switched off", "Part", ar.VALIDATION, "false", enabled=False),
 )
@@ -66,13 +67,20 @@ def rule_updates(spark, sf_dir):
     return ar.updates(features(spark, sf_dir), RULES)
 
 
+def placed_features(spark, sf_dir: str) -> DataFrame:
+    """The features with a place, which every 17th lacks."""
+    k = c("fid")
+    x, y = (k % 100 * 10).cast("double"), F.floor(k / 100).cast("double")
+    return features(spark, sf_dir).withColumns({"x": F.when(k % 17 != 0, x), "y": F.when(k % 17 != 0, y)})
+
+
 def rule_issues(spark, sf_dir):
-    return ar.issues(features(spark, sf_dir), RULES)
+    return ar.issues(placed_features(spark, sf_dir), RULES)
 
 
 def rule_issues_of_edits(spark, sf_dir):
     edits = table(spark, sf_dir, "lineitem").filter(c("l_quantity") >= 49).select(F.lit("Part").alias("class"), c("l_partkey").cast("long").alias("fid"))
-    return ar.issues(ar.changed_only(features(spark, sf_dir), edits), RULES)
+    return ar.issues(ar.changed_only(placed_features(spark, sf_dir), edits), RULES)
 
 
 def filled_fields(spark, sf_dir):
@@ -183,10 +191,21 @@ def joined_results(spark, sf_dir):
 
 
 def profile_chainage(spark, sf_dir):
-    path = features(spark, sf_dir).filter("fid < 200").select(c("fid").alias("seq"), "length", c("price").alias("level"))
+    path = features(spark, sf_dir).select(c("fid").alias("seq"), "length", c("price").alias("level"))
     return hyd.chainage(path)
 
 
+def profile_rows(spark, sf_dir):
+    """One long sewer: each supplier is a pipe to the next one, drawn either way, with inverts and a ground level at every fourth node."""
+    k = c("s_suppkey").cast("long")
+    pipes = table(spark, sf_dir, "supplier")
+    drawn_back = k % 3 == 0
+    path = pipes.select(k.alias("eid"), F.when(drawn_back, k + 1).otherwise(k).alias("a"), F.when(drawn_back, k).otherwise(k + 1).alias("b"), (k % 7 + 0.5).cast("double").alias("length"), drawn_back.alias("reverse"))
+    attributes = pipes.select(k.alias("eid"), (10000 - k * 0.5).cast("double").alias("us_invert"), (9999.75 - k * 0.5).cast("double").alias("ds_invert"), (k % 5 * 100.0).cast("double").alias("diameter"), c("s_name").alias("pipe"))
+    ground = pipes.filter(k % 4 == 0).select(k.alias("node"), c("s_acctbal").alias("elevation"))
+    return profiles.profile(path, attributes, ground)
+
+
 def global_ids(spark, sf_dir):
     """Customers that share one id by name, and some without, after the missing and repeated ids were made anew."""
     rows = table(spark, sf_dir, "customer").select(F.lit("Meter").alias("class"), c("c_custkey").alias("fid"), F.when(c("c_custkey") % 5 != 0, F.concat(F.lit("G"), (c("c_custkey") % 400).cast("string"))).alias("gid"))
@@ -235,7 +254,10 @@ def controllers_of_start(spark, sf_dir):
 
 
 def tier_settings(spark, sf_dir):
-    return spark.createDataFrame([(k + 1, t, s["multi"], s["require"]) for k, (t, s) in enumerate(TIERS.items())], "rank int, tier string, multi boolean, require boolean")
+    """The tiers with their settings and how many lines of each the network has."""
+    settings = spark.createDataFrame([(k + 1, t, s["multi"], s["require"]) for k, (t, s) in enumerate(TIERS.items())], "rank int, tier string, multi boolean, require boolean")
+    used = nv.lines(spark, sf_dir).groupBy("tier").agg(F.count(F.lit(1)).alias("n_lines"))
+    return settings.join(used, "tier", "left").select("rank", "tier", "multi", "require", F.coalesce("n_lines", F.lit(0)).alias("n_lines"))
 
 
 def ordered_rules(spark, sf_dir):
@@ -245,9 +267,8 @@ def ordered_rules(spark, sf_dir):
 
 def recent_versions(spark, sf_dir):
     """Versions, the newest first, as the list of them shows."""
-    rows = table(spark, sf_dir, "orders").filter("o_orderkey < 500").select(F.concat(F.lit("v"), c("o_orderkey").cast("string")).alias("name"), c("o_orderdate").alias("created"))
-    place = F.row_number().over(Window.orderBy(F.desc("created"), "name"))
-    return rows.select("name", place.alias("place"))
+    rows = table(spark, sf_dir, "orders").select(F.concat(F.lit("v"), c("o_orderkey").cast("string")).alias("name"), (-F.unix_micros(c("o_orderdate").cast("timestamp"))).alias("age"))
+    return lists.running(rows, ["age", "name"]).select("name", "place")
 
 
 _F = "WITH f AS (SELECT p_partkey AS fid, CAST(p_size AS INTEGER) AS size, CAST(p_retailprice AS DOUBLE) AS price, CASE WHEN p_partkey % 9 <> 0 THEN p_brand END AS brand, p_size * 1.5::DOUBLE AS length, p_name AS name, p_type AS kind FROM part)"
@@ -258,8 +279,9 @@ def _abbr(text: str) -> str:
     return f"CASE WHEN len({words}) = 0 THEN 'XXX' WHEN len({words}) = 1 THEN upper(left({words}[1], 3)) ELSE rpad(upper(left(array_to_string(list_transform({words}, lambda w: left(w, 1)), ''), 3)), 3, 'X') END"
 
 
-_ISSUES = """SELECT 'Part' AS class, fid, 'AR' AS code, 'not too large' AS rule, 'error' AS severity FROM f WHERE NOT size < 40
-UNION ALL SELECT 'Part', fid, 'AR', 'brand of the first ten', 'warning' FROM f WHERE NOT coalesce(brand ILIKE 'brand#1%', FALSE)"""
+_PLACE = "CAST(fid % 100 * 10 AS DOUBLE) AS x, CAST(fid // 100 AS DOUBLE) AS y"
+_ISSUES = f"""SELECT 'Part' AS class, fid, 'AR' AS code, 'not too large' AS rule, 'warning' AS severity, 'not too large: sizes end at 39' AS message, {_PLACE} FROM f WHERE NOT size < 40 AND fid % 17 <> 0
+UNION ALL SELECT 'Part', fid, 'AR', 'brand of the first ten', 'error', 'brand of the first ten: rule broken', {_PLACE} FROM f WHERE NOT coalesce(brand ILIKE 'brand#1%', FALSE) AND fid % 17 <> 0"""
 _EVENTS = "WITH e AS (SELECT CAST(user_id AS BIGINT) AS node, date_trunc('day', ts) AS step, value AS pressure, event_id % 4 AS customers FROM events)"
 
 QUERIES = {
@@ -337,7 +359,13 @@ QUERIES = {
         """SELECT 'N' AS kind, s_suppkey AS key, s_suppkey::DOUBLE AS value FROM supplier WHERE s_suppkey % 3 = 0 AND s_suppkey IN (SELECT p_partkey FROM part WHERE p_partkey % 2 = 0)
         UNION ALL SELECT 'P', s_suppkey, s_suppkey FROM supplier WHERE s_suppkey % 3 = 1 AND s_suppkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 4 <> 0)""",
     ),
-    "profile_chainage": (profile_chainage, f"{_F} SELECT fid AS seq, sum(length) OVER (ORDER BY fid) AS chainage, price AS level FROM f WHERE fid < 200"),
+    "profile_chainage": (profile_chainage, f"{_F} SELECT fid AS seq, sum(length) OVER (ORDER BY fid) AS chainage, price AS level FROM f"),
+    "profile_rows": (
+        profile_rows,
+        """WITH p AS (SELECT s_suppkey AS k, s_suppkey % 7 + 0.5::DOUBLE AS length, 10000 - s_suppkey * 0.5::DOUBLE AS us, 9999.75::DOUBLE - s_suppkey * 0.5::DOUBLE AS ds, s_suppkey % 5 * 100.0::DOUBLE AS diameter, s_name AS pipe FROM supplier),
+        ends AS (SELECT k, k + 1 AS node, round(sum(length) OVER (ORDER BY k), 2) AS chainage, ds FROM p), nodes AS (SELECT node, chainage, ds AS invert_in FROM ends UNION ALL SELECT min(k), 0, NULL FROM p)
+        SELECT row_number() OVER (ORDER BY node) - 1 AS seq, node, chainage, s_acctbal AS ground, invert_in, us AS invert_out, pipe, diameter FROM nodes LEFT JOIN p ON k = node LEFT JOIN supplier ON s_suppkey = node AND node % 4 = 0""",
+    ),
     "global_ids": (
         global_ids,
         """WITH r AS (SELECT c_custkey AS fid, CASE WHEN c_custkey % 5 <> 0 THEN concat('G', c_custkey % 400) END AS gid FROM customer)
@@ -363,7 +391,7 @@ QUERIES = {
         controllers_of_start,
         None,
     ),
-    "tier_settings": (tier_settings, "SELECT * FROM (VALUES (1, 'Transmission', FALSE, FALSE), (2, 'Distribution', TRUE, TRUE)) t(rank, tier, multi, require)"),
+    "tier_settings": (tier_settings, f"WITH {nv.VIEW_SQL} SELECT rank, t.tier, multi, require, count(l.tier) AS n_lines FROM (VALUES (1, 'Transmission', FALSE, FALSE), (2, 'Distribution', TRUE, TRUE)) t(rank, tier, multi, require) LEFT JOIN lines l ON l.tier = t.tier GROUP BY ALL"),
     "ordered_rules": (ordered_rules, "SELECT CAST(row_number() OVER (ORDER BY n_regionkey, n_name) AS INTEGER) AS rule_order, n_name AS name FROM nation"),
-    "recent_versions": (recent_versions, "SELECT concat('v', o_orderkey) AS name, CAST(row_number() OVER (ORDER BY o_orderdate DESC, concat('v', o_orderkey)) AS INTEGER) AS place FROM orders WHERE o_orderkey < 500"),
+    "recent_versions": (recent_versions, "SELECT concat('v', o_orderkey) AS name, row_number() OVER (ORDER BY o_orderdate DESC, concat('v', o_orderkey)) AS place FROM orders"),
 }

@@ -65,10 +65,17 @@ def suggested_mapping(values: DataFrame, types: DataFrame, least: float = 0.35)
 
 
 def dictionary(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """``table, position, field, type, nullable`` of every table."""
-    spark = next(iter(tables.values())).sparkSession
-    rows = [(t, k, f.name, f.dataType.simpleString(), f.nullable) for t, df in tables.items() for k, f in enumerate(df.schema)]
-    return spark.createDataFrame(rows, "table string, position int, field string, type string, nullable boolean")
+    """``table, position, field, type, nullable, n_rows, n_filled`` of every table; a table is read once, and filled is what isn't null."""
+    out = None
+    for t, df in tables.items():
+        counts = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(f.name).alias(f"f{k}") for k, f in enumerate(df.schema)])
+        fields = [
+            F.struct(F.lit(k).alias("position"), F.lit(f.name).alias("field"), F.lit(f.dataType.simpleString()).alias("type"), F.lit(f.nullable).alias("nullable"), F.col("n").alias("n_rows"), F.col(f"f{k}").alias("n_filled"))
+            for k, f in enumerate(df.schema)
+        ]
+        rows = counts.select(F.lit(t).alias("table"), F.explode(F.array(*fields)).alias("f")).select("table", "f.*")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def attributes_of(features: DataFrame, keys: DataFrame, names: DataFrame) -> DataFrame:
