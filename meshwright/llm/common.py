@@ -33,6 +33,8 @@ BUCKET_ENTRIES = 1 << 19
 #: Documents that one chunk row holds at most, so that a row number fits beside the chunk's.
 CHUNK_DOCS = 1 << 13
 
+#: Bytes of a text's digest.
+SIGN_BYTES = 32
 CHUNK_SCHEMA = "chunk_id long, n_bytes long, doc_ids binary, ends binary, signs binary, text binary"
 #: Text bytes of one bucket of a chunk table, on average, where the corpus is large.
 TABLE_BUCKET_BYTES = 1 << 28
@@ -104,7 +106,7 @@ def _pack_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 "n_bytes": pa.array([size], pa.int64()),
                 "doc_ids": pa.array([np.array(ids, np.int64).tobytes()], pa.binary()),
                 "ends": pa.array([ends.tobytes()], pa.binary()),
-                "signs": pa.array([b"".join(hashlib.md5(p).digest() for p in parts)], pa.binary()),
+                "signs": pa.array([b"".join(hashlib.sha256(p).digest() for p in parts)], pa.binary()),
                 "text": pa.array([b"".join(parts)], pa.binary()),
             }
         )
@@ -126,7 +128,7 @@ def chunk_table(docs: DataFrame) -> DataFrame:
     """Write ``docs`` as rows of about four megabytes of text each, without a shuffle.
 
     The table is bucketed by chunk, so that answers are joined to it without moving texts again; its
-    number of buckets grows with the corpus. ``signs`` holds the MD5 of every text.
+    number of buckets grows with the corpus. ``signs`` holds the SHA-256 of every text.
     """
     spark = docs.sparkSession
     rows = text_rows(docs)

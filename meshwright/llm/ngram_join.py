@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from .common import (
     ENTRY_SCHEMA,
     NULL_ID,
+    SIGN_BYTES,
     Chunk,
     Grouped,
     answered,
@@ -276,7 +277,7 @@ def similar_documents(docs: DataFrame, width: int = WORDS, percent: int = PERCEN
     row whose n-gram set this one equals. Words are runs of characters other than ASCII white space,
     A-Z in lower case. Null or empty texts have no n-grams and link with nothing. Rows that share a
     doc_id are separate documents; a null id stays null unless a link gives a smaller one. Other
-    columns are not read. With ``digests`` there are also ``digest``, the MD5 of the text, and ``head``,
+    columns are not read. With ``digests`` there are also ``digest``, the SHA-256 of the text, and ``head``,
     one row number for each component (null where there are no n-grams).
     """
     spark = docs.sparkSession
@@ -299,7 +300,7 @@ def similar_documents(docs: DataFrame, width: int = WORDS, percent: int = PERCEN
             shared = np.bincount(m.owners, codes > 0, minlength=len(chunk.ids)).astype(np.int64)
             stay = (m.sizes > 0) & (100 * shared >= percent * m.sizes)
             ends = np.cumsum(m.sizes)
-            more = {"digest": pa.array([row["signs"][16 * k : 16 * k + 16].hex() for k in range(len(chunk.ids))])} if digests else {}
+            more = {"digest": pa.array([row["signs"][SIGN_BYTES * k : SIGN_BYTES * (k + 1)].hex() for k in range(len(chunk.ids))])} if digests else {}
             yield pa.RecordBatch.from_pydict(
                 {
                     "row": pa.array((row["chunk_id"] << 13) + np.arange(len(chunk.ids))),
@@ -443,7 +444,7 @@ def keep_one_of_each(docs: DataFrame, width: int = WORDS, percent: int = PERCENT
     decided = found.join(firsts, "row", "left").groupBy("doc_id", "digest")
     decided = staged(decided.agg(F.count("first").alias("stay"), F.count(F.lit(1)).alias("held")).filter("stay < held"), "decided")
     # Whole rows travel in a struct, where no name can clash.
-    rows = docs.select(F.struct(*docs.columns).alias("whole"), F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.col("text").cast("string")).alias("digest"))
+    rows = docs.select(F.struct(*docs.columns).alias("whole"), F.col("doc_id").cast("long").alias("doc_id"), F.sha2(F.col("text").cast("string"), 256).alias("digest"))
     same = (rows["digest"] == decided["digest"]) & rows["doc_id"].eqNullSafe(decided["doc_id"])
     rest = rows.join(decided, same, "left_anti").select("whole")
     repeated = rows.join(decided.filter("stay = 1"), same, "left_semi")

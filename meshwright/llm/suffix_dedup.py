@@ -15,7 +15,7 @@ Which bytes go is decided for every 50-byte string of every document:
    and, from a second sort, those before it.
 
 Fingerprints (48 bits of a fixed hash) only choose in step 2; a collision there sends more, and never decides.
-Equal whole texts are told by their MD5 (128 bits).
+Equal whole texts are told by their SHA-256.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from .anchors import Anchors, level_bits, smaller_elsewhere, spans_of
 from .common import (
     ENTRY_SCHEMA,
+    SIGN_BYTES,
     Chunk,
     Grouped,
     answered,
@@ -275,13 +276,13 @@ def whole_copies(chunks: DataFrame) -> DataFrame:
 
     def signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
-            n = len(row["signs"]) // 16
+            n = len(row["signs"]) // SIGN_BYTES
             yield pa.RecordBatch.from_pydict(
                 {
                     "chunk_id": pa.array(np.full(n, row["chunk_id"], np.int64)),
                     "place": pa.array(np.arange(n, dtype=np.int32)),
                     "doc_id": pa.array(np.frombuffer(row["doc_ids"], np.int64)),
-                    "sign": pa.array([row["signs"][16 * k : 16 * k + 16] for k in range(n)], pa.binary()),
+                    "sign": pa.array([row["signs"][SIGN_BYTES * k : SIGN_BYTES * (k + 1)] for k in range(n)], pa.binary()),
                 }
             )
 
