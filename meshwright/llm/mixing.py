@@ -186,8 +186,8 @@ def mix(docs: DataFrame, block: int = BLOCK, weights: dict | None = None, key: t
 def mixed(docs: DataFrame, position: str | None = None, **options) -> DataFrame:
     """The rows of ``docs``, all columns unchanged, laid out in mixed order.
 
-    Parquet written from it holds the mix in file order; ``position`` names a column to add that
-    keeps the place, as tables have no order. Rows equal in doc_id, source and text share the first of their places.
+    Parquet written from it holds the mix in file order; with ``position`` the place is a column of that name instead, and rows
+    aren't moved once more to lie in order. Rows equal in doc_id, source and text share the first of their places, so that positions have gaps there.
     """
     # Two 64-bit numbers stand for the text; the row travels in a struct, where no name can clash.
     digest = F.array(F.xxhash64("text"), F.xxhash64(F.lit("mix"), "text"))
@@ -196,8 +196,10 @@ def mixed(docs: DataFrame, position: str | None = None, **options) -> DataFrame:
     )
     order = mix(rows.select("doc_id", "source", "text_key"), key=("doc_id", "text_key"), **options).groupBy("doc_id", "source", "text_key").agg(F.min("position").alias("place"))
     same = rows["doc_id"].eqNullSafe(order["doc_id"]) & rows["source"].eqNullSafe(order["source"]) & (rows["text_key"] == order["text_key"])
-    laid = rows.join(order, same).repartitionByRange("place").sortWithinPartitions("place")
-    return laid.select("row.*", *([F.col("place").alias(position)] if position else []))
+    laid = rows.join(order, same)
+    if position:
+        return laid.select("row.*", F.col("place").alias(position))
+    return laid.repartitionByRange("place").sortWithinPartitions("place").select("row.*")
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:

@@ -447,8 +447,12 @@ def keep_one_of_each(docs: DataFrame, width: int = WORDS, percent: int = PERCENT
     rows = docs.select(F.struct(*docs.columns).alias("whole"), F.col("doc_id").cast("long").alias("doc_id"), F.sha2(F.col("text").cast("string"), 256).alias("digest"))
     same = (rows["digest"] == decided["digest"]) & rows["doc_id"].eqNullSafe(decided["doc_id"])
     rest = rows.join(decided, same, "left_anti").select("whole")
-    repeated = rows.join(decided.filter("stay = 1"), same, "left_semi")
-    one = repeated.groupBy("doc_id", "digest").agg(F.min_by("whole", F.xxhash64("whole")).alias("whole"))
+    again = staged(decided.filter("stay = 1"), "again")
+    discard(found)
+    if again.isEmpty():  # no row stands there twice with the same id and text
+        return rest.select("whole.*")
+    same = (rows["digest"] == again["digest"]) & rows["doc_id"].eqNullSafe(again["doc_id"])
+    one = rows.join(again, same, "left_semi").groupBy("doc_id", "digest").agg(F.min_by("whole", F.xxhash64("whole")).alias("whole"))
     return rest.unionByName(one.select("whole")).select("whole.*")
 
 

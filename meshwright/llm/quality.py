@@ -207,12 +207,14 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, all columns unchanged; texts are measured once and not shuffled.
+    """The rows of ``docs`` that the rules keep, all columns unchanged; texts are neither shuffled nor written.
 
-    Null and empty texts have too few words and go. An empty table gives an empty result; no column name can clash.
+    Texts are measured twice, once for the rates of the hosts and once for the verdicts: that costs time, but no copy of the corpus on disk.
+    Null and empty texts have too few words and go; repeated rows are judged each. An empty table gives an empty result; no column name can clash.
     """
-    judged = staged(verdicts(measure(docs, whole_rows=True)).select("host", "base_failed", "soft_failed", "_row"), "quality")
-    return _with_hosts(judged, host_rates(judged.drop("_row"))).filter("kept").select("_row.*")
+    rates = host_rates(verdicts(measure(docs)).select("host", "base_failed", "soft_failed"))
+    judged = verdicts(measure(docs, whole_rows=True)).select("host", "base_failed", "soft_failed", "_row")
+    return _with_hosts(judged, rates).filter("kept").select("_row.*")
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
