@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from meshwright.operators import located_traces as lt
 from meshwright.operators import map_network as mn
+from meshwright.operators import placing
 from meshwright.operators import traces
 from meshwright.plans import topology_queries as tq
 from meshwright.plans.graph_queries import QUERIES as GRAPH
@@ -144,6 +145,37 @@ def lattice_distances(spark, sf_dir):
     return net.points.select(c("point").alias("node"), c("node").alias("at")).join(tree.select(c("node").alias("at"), "dist"), "at").select("node", F.round("dist", 3).alias("dist"))
 
 
+#: Farthest and shortest service, and how near an earlier tap may lie to serve again.
+FARTHEST, SHORTEST, REUSE = 6.0, 0.5, 2.5
+
+
+def homes(spark, sf_dir: str) -> DataFrame:
+    """A customer for each part, beside the lattice of the lines; every 19th has no place."""
+    k = c("p_partkey").cast("long")
+    x, y = (k % 41 * 9 + 3.25).cast("double"), (F.floor(k / 41) % 40 * 10 + 1.5 + k % 3).cast("double")
+    return nv.table(spark, sf_dir, "part").select(k.alias("customer"), F.when(k % 19 != 0, x).alias("x"), y.alias("y"))
+
+
+def _choices(spark, sf_dir):
+    return placing.service_choices(homes(spark, sf_dir), tq.lines(spark, sf_dir).filter(F.size("path") > 1), FARTHEST, SHORTEST, tq.TOL, tq.CELL)
+
+
+def service_choices(spark, sf_dir):
+    return _choices(spark, sf_dir).select("customer", "result", "line", "seg", *[F.round(k, 6).alias(k) for k in ("tap_x", "tap_y", "distance")])
+
+
+def service_taps(spark, sf_dir):
+    """The taps of all services; points of the map that stand in the way of none serve as the first ones."""
+    first = tq.points(spark, sf_dir).filter("not structure").select("x", "y")
+    return placing.service_taps(_choices(spark, sf_dir), first, REUSE).select("customer", "line", F.round("tap_x", 6).alias("tap_x"), F.round("tap_y", 6).alias("tap_y"), "reused")
+
+
+def snapped_points(spark, sf_dir):
+    """Points of the map that go onto a line within the gap."""
+    found = placing.snapped_points(tq.points(spark, sf_dir).select("point", "x", "y"), tq.lines(spark, sf_dir), tq.TOL, tq.GAP, tq.CELL)
+    return found.select("point", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "line", "seg", "vertex")
+
+
 # ---------------------------------------------------------------- oracles
 
 _EDGES = f"""WITH RECURSIVE {tq.MAP_SQL}, {tq._TOGETHER},
@@ -208,7 +240,30 @@ _STEPS = ", ".join(
     for k in range(1, _ROUNDS + 1)
 )
 
+_SIDE = "sign(({2} - {0}) * ({5} - {1}) - ({3} - {1}) * ({4} - {0}))"
+_HITS = " AND ".join(
+    [
+        "greatest(tap_x, f.x) >= least(s.x1, s.x2) AND greatest(s.x1, s.x2) >= least(tap_x, f.x) AND greatest(tap_y, f.y) >= least(s.y1, s.y2) AND greatest(s.y1, s.y2) >= least(tap_y, f.y)",
+        f"{_SIDE.format('tap_x', 'tap_y', 'f.x', 'f.y', 's.x1', 's.y1')} * {_SIDE.format('tap_x', 'tap_y', 'f.x', 'f.y', 's.x2', 's.y2')} <= 0",
+        f"{_SIDE.format('s.x1', 's.y1', 's.x2', 's.y2', 'tap_x', 'tap_y')} * {_SIDE.format('s.x1', 's.y1', 's.x2', 's.y2', 'f.x', 'f.y')} <= 0",
+    ]
+)
+_SERVICES = f"""WITH {tq.MAP_SQL}, home AS (SELECT p_partkey AS customer, CASE WHEN p_partkey % 19 <> 0 THEN p_partkey % 41 * 9 + 3.25::DOUBLE END AS x, CAST(p_partkey // 41 % 40 * 10 + p_partkey % 3 AS DOUBLE) + 1.5 AS y FROM part),
+met AS (SELECT *, x1 + t * (x2 - x1) AS tap_x, y1 + t * (y2 - y1) AS tap_y FROM (SELECT customer, c.x, c.y, s.line, seg, x1, y1, x2, y2, CASE WHEN x1 = x2 AND y1 = y2 THEN 0.0 ELSE {tq._T} END AS t
+  FROM home c JOIN seg s ON c.x BETWEEN least(x1, x2) - 6 AND greatest(x1, x2) + 6 AND c.y BETWEEN least(y1, y2) - 6 AND greatest(y1, y2) + 6)),
+away AS (SELECT *, sqrt((x - tap_x) ** 2 + (y - tap_y) ** 2) AS distance FROM met WHERE sqrt((x - tap_x) ** 2 + (y - tap_y) ** 2) <= {FARTHEST}),
+nearest AS (SELECT * FROM away QUALIFY row_number() OVER (PARTITION BY customer, line ORDER BY distance, seg) = 1),
+few AS MATERIALIZED (SELECT *, distance < {SHORTEST} AS touches FROM nearest QUALIFY row_number() OVER (PARTITION BY customer ORDER BY distance, line) <= 5),
+judged AS (SELECT f.*, NOT touches AND EXISTS (SELECT 1 FROM seg s WHERE s.line <> f.line AND {_HITS}) AS crosses FROM few f),
+best AS (SELECT * FROM judged WHERE NOT touches AND NOT crosses QUALIFY row_number() OVER (PARTITION BY customer ORDER BY distance, line) = 1),
+why AS (SELECT customer, bool_or(touches) AS touches, bool_or(crosses) AS crosses FROM judged GROUP BY customer)
+SELECT h.customer, CASE WHEN h.x IS NULL THEN 'no_geometry' WHEN b.line IS NOT NULL THEN 'created' WHEN w.touches THEN 'touching' WHEN w.crosses THEN 'crossing' ELSE 'too_far' END AS result,
+  b.line, b.seg, round(tap_x, 6) AS tap_x, round(tap_y, 6) AS tap_y, round(distance, 6) AS distance FROM home h LEFT JOIN best b USING (customer) LEFT JOIN why w USING (customer)"""
+
 QUERIES = {
+    "service_choices": (service_choices, _SERVICES),
+    "service_taps": (service_taps, None),
+    "snapped_points": (snapped_points, None),
     "map_edges": (map_edges, f"{_EDGES} SELECT kind, line, v0, v1, a AS name_a, b AS name_b, round(length, 6) AS length, device, terminal FROM edges"),
     "terminal_edges": (
         terminal_edges,
