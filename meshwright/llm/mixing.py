@@ -12,8 +12,9 @@ Where as many moments lie before a slot as there are slots before it, every sour
 the schedule can be cut there: in every ``STRETCH`` places the first such slot begins a stretch, and earliest deadline
 first runs in each stretch by itself.  There is no period, and no table of all sources is gathered.
 
-Where ``STRETCH`` places hold no such slot, or a cut leaves more blocks due than slots before the deadline, a block
-may come late by what all sources together are ahead at the cut; neither was met in any test.
+Where ``STRETCH`` places hold no such slot, or a cut leaves more blocks due than slots before the deadline, some block misses its window.
+Such stretches are found, joined with their neighbours in pairs, fours, eights and so on, and scheduled again until all blocks
+are in their windows; run over everything at once, earliest deadline first always ends so.
 Nothing is dropped: when a source runs out the others go on at their relative weights.
 """
 
@@ -152,12 +153,33 @@ def _scheduled(blocks: DataFrame, sources: DataFrame, block: int) -> DataFrame:
     cut = F.coalesce(F.min(F.when(F.col("level"), F.col("no"))).over(bucket), F.col("stretch") * STRETCH)
     jobs = jobs.withColumn("level", level).withColumn("cut", cut)
     jobs = staged(jobs.withColumn("stretch", F.greatest(F.lit(0), F.col("stretch") - (F.col("no") < F.col("cut")).cast("long"))), "stretches")
-    # At most twice STRETCH rows in a group.
-    dealt = jobs.groupBy("stretch").agg(F.min("no").alias("start"), F.min("before_rows").alias("base"), F.collect_list(F.struct("release", "due", "no")).alias("jobs"))
-    slots = dealt.select("base", "start", F.posexplode(_earliest_deadline_first(F.col("jobs"))).alias("pos", "no"))
-    before = Window.partitionBy("stretch").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    placed = jobs.select("_s", "_b", "rows", "no", "stretch").join(slots.withColumn("slot", F.col("start") + F.col("pos")), "no")
-    return placed.select("_s", "_b", "slot", (F.col("base") + F.coalesce(F.sum("rows").over(before), F.lit(0))).alias("ahead"))
+    done, todo, width = None, jobs, 1
+    while True:
+        slots = staged(_run(todo, width), "slots")
+        bad = staged(slots.filter(~F.col("kept")).select(F.expr(f"stretch div {2 * width}").alias("pair")).distinct(), "missed")
+        pair = F.expr(f"stretch div {2 * width}")
+        merging = not bad.isEmpty()
+        if merging:
+            # A pair is scheduled anew as a whole, whatever came of its other half.
+            again = lambda df, how, pair=pair, bad=bad: df.withColumn("pair", pair).join(bad, "pair", how).drop("pair")
+            slots, todo = again(slots, "left_anti"), again(jobs, "left_semi")
+            done = again(done, "left_anti") if done is not None else None
+        done = slots if done is None else done.unionByName(slots)
+        if not merging:
+            break
+        width *= 2
+    before = Window.partitionBy("width", "group").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    return done.select("_s", "_b", "slot", (F.col("base") + F.coalesce(F.sum("rows").over(before), F.lit(0))).alias("ahead"))
+
+
+def _run(jobs: DataFrame, width: int) -> DataFrame:
+    """Earliest deadline first in groups of ``width`` stretches: the jobs with their ``slot``, and whether they ``kept`` their window."""
+    grouped = jobs.withColumns({"width": F.lit(width), "group": F.expr(f"stretch div {width}")})
+    # At most twice STRETCH rows a stretch.
+    dealt = grouped.groupBy("group").agg(F.min("no").alias("start"), F.min("before_rows").alias("base"), F.collect_list(F.struct("release", "due", "no")).alias("jobs"))
+    slots = dealt.select("base", "start", F.posexplode(_earliest_deadline_first(F.col("jobs"))).alias("pos", "no")).select("base", "no", (F.col("start") + F.col("pos")).alias("slot"))
+    placed = grouped.select("_s", "_b", "rows", "no", "stretch", "width", "group", "release", "due").join(slots, "no")
+    return placed.withColumn("kept", (F.col("slot") >= F.col("release")) & (F.col("slot") < F.col("due"))).drop("release", "due")
 
 
 def mix(docs: DataFrame, block: int = BLOCK, weights: dict | None = None, key: tuple[str, ...] = ("doc_id",)) -> DataFrame:

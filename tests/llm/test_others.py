@@ -1,3 +1,4 @@
+import random
 import re
 import time
 import zlib
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meshwright.llm.html_extract import block_features, blocks_of, classifier, extract, label, made_up_page, main_text
+from meshwright.llm import mixing
 from meshwright.llm.mixing import mix, mixed
 from meshwright.llm.ngram_join import keep_one_of_each
 from meshwright.llm.packing import first_fit_decreasing, pack
@@ -120,12 +122,35 @@ def test_mixing_keeps_near_the_share(spark):
         assert all(abs(seen[s] - w * at) < 1 for s, w in weights.items())
 
 
-@pytest.mark.parametrize("sizes", [[700], [900, 40], [1500, 611, 300, 77, 31, 5, 1], [1 + 2000 // (k + 1) for k in range(40)]])
-def test_mixing_stays_under_one_block_and_in_windows(spark, sizes):
+def powers(seed):
+    """Many sources of few documents, with weights that are powers of two."""
+    rng = random.Random(seed)
+    sizes = [rng.randint(1, 19) for _ in range(257)]
+    return sizes, [2.0 ** -rng.randint(0, 9) for _ in sizes]
+
+
+@pytest.mark.parametrize(
+    ("sizes", "weight"),
+    [([700], None), ([900, 40], None), ([1500, 611, 300, 77, 31, 5, 1], None), ([1 + 2000 // (k + 1) for k in range(40)], None), ([9] * 300, None), powers(1), powers(2), powers(3)],
+)
+def test_mixing_stays_under_one_block_and_in_windows(spark, sizes, weight):
+    holds_shares(spark, sizes, weight)
+
+
+def test_stretches_that_cannot_be_kept_are_joined(spark, monkeypatch):
+    widths, run = [], mixing._run
+    monkeypatch.setattr(mixing, "STRETCH", 4)
+    monkeypatch.setattr(mixing, "_run", lambda jobs, width: widths.append(width) or run(jobs, width))
+    holds_shares(spark, *powers(4))
+    assert max(widths) > 1
+
+
+def holds_shares(spark, sizes, weight):
     """Against fluid shares summed slot by slot, where sources run out one after another."""
-    weight = [n**0.5 for n in sizes]
     docs = spark.createDataFrame([(k, str(s)) for k, s in enumerate(s for s, n in enumerate(sizes) for _ in range(n))], "doc_id long, source string")
-    found = sorted((r.slot, r.position, int(r.source), r.block_no) for r in mix(docs, block=1).collect())
+    weights = {str(s): w / sum(weight) for s, w in enumerate(weight)} if weight else None
+    found = sorted((r.slot, r.position, int(r.source), r.block_no) for r in mix(docs, block=1, weights=weights).collect())
+    weight = weight or [n**0.5 for n in sizes]
     assert [x[0] for x in found] == [x[1] for x in found] == list(range(sum(sizes)))
     share, seen = [0.0] * len(sizes), [0] * len(sizes)
     for _, _, source, number in found:
