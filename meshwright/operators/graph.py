@@ -39,7 +39,8 @@ def reach(adjacency: DataFrame, starts: DataFrame, blocked: DataFrame | None = N
     """
     by = [*keys, "node"]
     walls = blocked.select(F.col("node").alias("wall")).distinct() if blocked is not None else None
-    edges = staged(adjacency.select("src", "dst").distinct(), "adjacency")
+    # Parallel edges stay: a round drops what it finds twice, which is less than a shuffle of all edges.
+    edges = staged(adjacency.select("src", "dst"), "adjacency")
     seen = front = staged(starts.select(*by).dropna().distinct().withColumn("hops", F.lit(0)), "reach")
     if ends is not None:
         both = ends.select(*by).dropna().distinct()
@@ -118,9 +119,12 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return now
 
 
-def distances(adjacency: DataFrame, starts: DataFrame, blocked: DataFrame | None = None) -> DataFrame:
+def distances(adjacency: DataFrame, starts: DataFrame, blocked: DataFrame | None = None, targets: DataFrame | None = None) -> DataFrame:
     """``node, dist, parent, via``: the shortest way by ``weight`` from the nearest start.
 
+    With ``targets`` (``node``) only what lies nearer than the nearest target is right and followed further; that target and
+    all on the way to it are.
+
     Only nodes whose distance fell are relaxed in the next round. Of equally short ways the one
     over the parent with the smaller distance, then the smaller node and then the smaller ``line``, is kept.
     Weights must not be negative; null weights count as zero.
@@ -132,6 +136,7 @@ def distances(adjacency: DataFrame, starts: DataFrame, blocked: DataFrame | None
         starts.select("node").dropna().distinct().select("node", F.lit(0.0).alias("dist"), F.struct(F.lit(-1.0).alias("of"), none.cast("long").alias("parent"), none.cast("string").alias("via")).alias("way")),
         "dist",
     )
+    goals = staged(targets.select("node").distinct(), "goals") if targets is not None else None
     rounds = 0
     while any_rows(front):
         rounds += 1
@@ -154,6 +159,9 @@ def distances(adjacency: DataFrame, starts: DataFrame, blocked: DataFrame | None
         )
         best = merged.select("node", "dist", "way")
         front = merged.filter("moved").select("node", "dist", "way")
+        if targets is not None:
+            nearest = best.join(goals, "node", "left_semi").agg(F.min("dist")).first()[0]
+            front = front if nearest is None else front.filter(F.col("dist") < nearest)
     return best.select("node", "dist", "way.parent", "way.via")
 
 

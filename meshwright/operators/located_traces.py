@@ -158,13 +158,14 @@ def isolation(net: Network, open_edges: DataFrame, picks: Picks, walls: DataFram
 def shortest_path(net: Network, open_edges: DataFrame, picks: Picks, walls: DataFrame, targets: Picks, flow: str) -> Found:
     """The shortest way to the nearest target, over one-way streets where the flow is undirected; ``length`` is its length, no row if there is none."""
     way = one_way(open_edges, flow if flow == UNDIRECTED_FLOW else SOURCE_FLOW, c("eid").cast("string").alias("line"), c("length").alias("weight"))
-    tree = staged(graph.distances(way, all_nodes(net, picks), walls), "ways")
-    goal = staged(tree.join(all_nodes(net, targets), "node", "left_semi").orderBy("dist", "node").limit(1), "goal")
+    ends = staged(all_nodes(net, targets), "targets")
+    tree = staged(graph.distances(way, all_nodes(net, picks), walls, ends), "ways")
+    goal = staged(tree.join(ends, "node", "left_semi").orderBy("dist", "node").limit(1), "goal")
     nodes = staged(graph.chain(tree, goal), "way")
     there = goal.select("dist")
     eids = tree.join(nodes, "node", "left_semi").filter("via is not null").select(c("via").cast("long").alias("eid"))
-    ends = picks.edges.select("eid").union(targets.edges.select("eid"))
-    return _found(net, nodes, eids.union(ends.join(there.limit(1), how="left_semi")), length=there)
+    picked = picks.edges.select("eid").union(targets.edges.select("eid"))
+    return _found(net, nodes, eids.union(picked.join(there.limit(1), how="left_semi")), length=there)
 
 
 def loops(net: Network, open_edges: DataFrame, picks: Picks | None, walls: DataFrame) -> Found:

@@ -112,7 +112,7 @@ def shortest_path(net: Network, starts: DataFrame, targets: DataFrame, walls: Da
     """``node, dist`` along the shortest way to the nearest target; no rows if there is none. Ties go to the smaller node."""
     line, weight = F.concat_ws(":", "class", "fid").alias("line"), F.col("length").alias("weight")
     ways = graph.directed(net.edges, F.col("reverse"), line, weight) if oneway else graph.both_ways(net.edges, line, weight)
-    tree = staged(graph.distances(ways, starts, walls), "ways")
+    tree = staged(graph.distances(ways, starts, walls, targets), "ways")
     goal = tree.join(targets, "node", "left_semi").orderBy("dist", "node").limit(1)
     return graph.chain(tree, goal).join(tree, "node").select("node", "dist")
 
