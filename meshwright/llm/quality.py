@@ -141,14 +141,18 @@ def verdicts(measured: DataFrame) -> DataFrame:
     return measured.withColumns({"base_failed": hard, "soft_failed": soft})
 
 
-def host_rates(judged: DataFrame) -> DataFrame:
-    """Per host: documents, failures, the failure rate shrunk by an empirical beta prior, and whether it is strict.
+def host_counts(judged: DataFrame) -> DataFrame:
+    """``host, n_docs, n_failed``."""
+    failed = (F.col("base_failed") | F.col("soft_failed")).cast("long")
+    return judged.groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(failed).alias("n_failed"))
+
+
+def host_rates(hosts: DataFrame) -> DataFrame:
+    """Per host of :func:`host_counts`: documents, failures, the failure rate shrunk by an empirical beta prior, and whether it is strict.
 
     The prior's mean and strength come from the hosts' own rates by the method of moments
     (strength between 2 and 10,000); with one host, or no spread, the strength is the upper bound.
     """
-    failed = (F.col("base_failed") | F.col("soft_failed")).cast("long")
-    hosts = judged.groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(failed).alias("n_failed"))
     prior = hosts.agg(
         (F.sum("n_failed") / F.sum("n_docs")).alias("mean"),
         F.var_samp(F.col("n_failed") / F.col("n_docs")).alias("spread"),
@@ -203,7 +207,7 @@ def judge(docs: DataFrame) -> DataFrame:
     One row per row of ``docs``; an empty table gives an empty result.
     """
     judged = staged(verdicts(measure(docs)), "quality")
-    return _with_hosts(judged, host_rates(judged))
+    return _with_hosts(judged, host_rates(host_counts(judged)))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
@@ -212,7 +216,8 @@ def keep_good(docs: DataFrame) -> DataFrame:
     Texts are measured twice, once for the rates of the hosts and once for the verdicts: that costs time, but no copy of the corpus on disk.
     Null and empty texts have too few words and go; repeated rows are judged each. An empty table gives an empty result; no column name can clash.
     """
-    rates = host_rates(verdicts(measure(docs)).select("host", "base_failed", "soft_failed"))
+    # Counts are read twice, for the prior and for the hosts: one small row a host is staged.
+    rates = host_rates(staged(host_counts(verdicts(measure(docs)).select("host", "base_failed", "soft_failed")), "host-counts"))
     judged = verdicts(measure(docs, whole_rows=True)).select("host", "base_failed", "soft_failed", "_row")
     return _with_hosts(judged, rates).filter("kept").select("_row.*")
 
