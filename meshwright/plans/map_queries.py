@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meshwright.operators import issues as iss
 from meshwright.operators import located_traces as lt
 from meshwright.operators import map_network as mn
 from meshwright.operators import placing
@@ -145,6 +146,27 @@ def lattice_distances(spark, sf_dir):
     return net.points.select(c("point").alias("node"), c("node").alias("at")).join(tree.select(c("node").alias("at"), "dist"), "at").select("node", F.round("dist", 3).alias("dist"))
 
 
+#: Lines under this length are very short.
+SHORT = 6.0
+
+
+def _issues(spark, sf_dir):
+    return iss.validate(drawn(spark, sf_dir), lines(spark, sf_dir), points(spark, sf_dir), tq.TOL, tq.GAP, tq.CELL, SHORT)
+
+
+def issue_table(spark, sf_dir):
+    """All issues of the map and its network."""
+    found = _issues(spark, sf_dir)
+    return found.withColumns({"x": F.round("x", 6), "y": F.round("y", 6)})
+
+
+def issue_messages(spark, sf_dir):
+    """Issues by message, without those of every tenth line and point, which are exceptions."""
+    found = staged(_issues(spark, sf_dir), "issues")
+    exceptions = iss.marked(found.filter("fid % 10 = 0"), found.limit(0))
+    return iss.summary(iss.without_exceptions(found, exceptions))
+
+
 #: Farthest and shortest service, and how near an earlier tap may lie to serve again.
 FARTHEST, SHORTEST, REUSE = 6.0, 0.5, 2.5
 
@@ -260,7 +282,33 @@ why AS (SELECT customer, bool_or(touches) AS touches, bool_or(crosses) AS crosse
 SELECT h.customer, CASE WHEN h.x IS NULL THEN 'no_geometry' WHEN b.line IS NOT NULL THEN 'created' WHEN w.touches THEN 'touching' WHEN w.crosses THEN 'crossing' ELSE 'too_far' END AS result,
   b.line, b.seg, round(tap_x, 6) AS tap_x, round(tap_y, 6) AS tap_y, round(distance, 6) AS distance FROM home h LEFT JOIN best b USING (customer) LEFT JOIN why w USING (customer)"""
 
+_OF_TOKEN = "CASE WHEN token LIKE 'V:%' THEN 'Main' ELSE 'Device' END AS class, CAST(split_part(token, ':', 2) AS BIGINT) AS fid"
+_AT_LINE = "coalesce(f.x, 0) AS x, coalesce(f.y, 0) AS y, 'Main' AS class"
+_TABLE = f"""{_EDGES}, {tq._ISSUES}, {tq._GEOMETRY}, {tq._PAIRS},
+first_at AS (SELECT line, x, y FROM verts WHERE v = 0 AND last > 0),
+touch AS (SELECT token, min(other_line) AS other FROM {tq._near_segments("alone", "token, c.line")} WHERE distance <= {tq.TOL} AND t > 0 AND t < 1 AND line IS DISTINCT FROM other_line GROUP BY token),
+spot AS (SELECT concat('V:', line, ':0:', v) AS token, x, y FROM verts UNION ALL SELECT concat('P:', point), x, y FROM pts),
+sized AS (SELECT e.line, e.line % 5 * 50 AS size, unnest([a, b]) AS node FROM edges e WHERE kind = 'line'),
+differ AS (SELECT node, list_sort(list_distinct(list(size))) AS sizes, min(line) AS line FROM sized WHERE node NOT IN (SELECT node FROM place) GROUP BY node HAVING count(DISTINCT size) > 1),
+issue AS (
+  SELECT code, severity, CASE code WHEN 'E03' THEN concat('Touches line Main:', other, ' between vertices (needs a vertex / split)') WHEN 'E21' THEN 'Meets another line end at a different elevation level (F_ELEV / T_ELEV): not connected'
+    WHEN 'E07' THEN printf('Gap of %.3f to the nearest feature (not connected)', distance) WHEN 'E02' THEN 'Point is not connected to any line' ELSE 'Dangling line end' END AS message, x, y, {_OF_TOKEN}, 'point' AS geom
+    FROM connection LEFT JOIN touch USING (token)
+  UNION ALL SELECT code, severity, CASE WHEN code = 'E06' THEN 'Asset group is empty' WHEN code = 'E20' THEN printf('Very short line (%.3f)', length) WHEN NOT fine THEN 'Line without a valid geometry' ELSE 'Zero-length line' END, {_AT_LINE}, key, 'line'
+    FROM geometry JOIN long ON k = key LEFT JOIN first_at f ON f.line = key WHERE kind = 'line'
+  UNION ALL SELECT code, severity, 'Asset group is empty', x, y, 'Device', key, 'point' FROM geometry JOIN pts ON point = key WHERE kind = 'point'
+  UNION ALL SELECT 'E08', 'warning', concat(n, ' point features at the same location'), x, y, 'Device', point, 'point' FROM (SELECT node, count(*) AS n, min(s.point) AS point FROM place p JOIN pts s USING (point) WHERE NOT structure GROUP BY node HAVING count(*) > 1) JOIN pts USING (point)
+  UNION ALL SELECT 'E12', 'warning', concat('Size changes (', array_to_string(sizes, ' / '), ') without a fitting / reducer'), coalesce(s.x, p.x), coalesce(s.y, p.y), 'Main', d.line, 'point'
+    FROM differ d LEFT JOIN spot s ON s.token = node LEFT JOIN pts p ON node LIKE 'T:%' AND p.point = TRY_CAST(split_part(node, ':', 2) AS BIGINT)
+  UNION ALL SELECT 'E15', 'error', concat('Connects in the middle of Main:', other, ', which only connects at its ends'), x, y, {_OF_TOKEN}, 'point' FROM (SELECT DISTINCT token, split_part(other, ':', 2) AS other FROM hit WHERE refused) JOIN cand USING (token)
+  UNION ALL SELECT 'E11', 'error', 'Line tier matches no terminal of the device (check the line asset group)', x, y, 'Main', line, 'point' FROM mismatch JOIN pts USING (point)
+  UNION ALL SELECT 'E18', 'error', concat('Overlaps line Main:', other, printf(' over %.2f', round(sum(common), 6))), {_AT_LINE}, line, 'point' FROM shared JOIN first_at f USING (line) WHERE common > 0 GROUP BY line, other, f.x, f.y HAVING sum(common) > {tq.TOL}
+  UNION ALL SELECT DISTINCT 'E19', 'warning', concat('Crosses line Main:', other, ' without a junction'), round(x, 6), round(y, 6), 'Main', line, 'point' FROM met
+    WHERE ({tq._OFF("x1", "y1")} AND {tq._OFF("x2", "y2")}) OR ({tq._OFF("u1", "w1")} AND {tq._OFF("u2", "w2")}))"""
+
 QUERIES = {
+    "issue_table": (issue_table, f"{_TABLE} SELECT code, severity, message, round(x, 6) AS x, round(y, 6) AS y, class, fid, geom FROM issue"),
+    "issue_messages": (issue_messages, f"{_TABLE} SELECT code, severity, split_part(split_part(message, ' (', 1), ':', 1) AS what, count(*) AS n FROM issue WHERE fid % 10 <> 0 GROUP BY ALL"),
     "service_choices": (service_choices, _SERVICES),
     "service_taps": (service_taps, None),
     "snapped_points": (snapped_points, None),
