@@ -159,7 +159,8 @@ def next_ids(existing: DataFrame, wanted: DataFrame, digits: int = 6) -> DataFra
     ``existing`` has ``assetid``; the digits that end it are its number. Numbers go on after the greatest of the prefix, and
     skip those that someone's id already spells. Rows are ranked by range partitions, so no task holds a whole prefix.
     """
-    used = existing.select("assetid", F.regexp_extract("assetid", r"^(.*?)(\d+)$", 1).alias("prefix"), F.regexp_extract("assetid", r"^(.*?)(\d+)$", 2).try_cast("long").alias("n"))
+    tail = F.regexp_extract("assetid", r"^(.*?)(\d+)$", 2)
+    used = existing.select(F.regexp_extract("assetid", r"^(.*?)(\d+)$", 1).alias("prefix"), tail.alias("tail"), tail.try_cast("long").alias("n"))
     most = used.filter("n is not null").groupBy("prefix").agg(F.max("n").alias("most"))
     ordered = wanted.repartitionByRange("prefix", "key").sortWithinPartitions("prefix", "key")
     placed = staged(ordered.withColumn("part", F.spark_partition_id()).withColumn("seq", F.monotonically_increasing_id()), "wanted")
@@ -168,9 +169,11 @@ def next_ids(existing: DataFrame, wanted: DataFrame, digits: int = 6) -> DataFra
     runs = runs.select("part", "prefix", "first", (F.sum("n").over(Window.partitionBy("prefix").orderBy("part")) - F.col("n")).alias("before"))
     ranked_rows = placed.join(runs, ["part", "prefix"]).select("prefix", "key", (F.col("before") + F.col("seq") - F.col("first") + 1).alias("rank"))
     # A prefix that itself ends in a digit may spell an id that was read as another prefix and number.
-    whole = used.join(wanted.select("prefix").distinct().withColumnRenamed("prefix", "want"), F.col("assetid").startswith(F.col("want")) & (F.col("want") != F.col("prefix")))
-    rest = F.expr("substring(assetid, length(want) + 1)")
-    taken = whole.filter(rest.rlike(r"^\d+$") & (F.length(rest) >= digits)).select(F.col("want").alias("prefix"), rest.cast("long").alias("n")).distinct()
+    # It is cut at each of its last digits that leave enough of them, and meets wanted prefixes by equality.
+    cuts = F.transform(F.sequence(F.lit(1), F.length("tail") - digits), lambda j: F.struct(F.concat("prefix", F.substring(F.col("tail"), F.lit(1), j)).alias("want"), F.substring(F.col("tail"), j + 1, F.length("tail")).alias("rest")))
+    whole = used.filter(F.length("tail") > digits).select(F.explode(cuts).alias("cut")).filter((F.length("cut.rest") == digits) | ~F.col("cut.rest").startswith("0"))
+    whole = whole.select(F.col("cut.want").alias("prefix"), F.col("cut.rest").try_cast("long").alias("n"))
+    taken = whole.filter("n is not null").join(wanted.select("prefix").distinct(), "prefix", "left_semi").distinct()
     taken = taken.join(most, "prefix", "left").filter(F.col("n") > F.coalesce("most", F.lit(0)))
     # Numbers in use beyond the greatest are few: each moves the ranks behind it by one.
     free = taken.withColumn("shift", F.row_number().over(Window.partitionBy("prefix").orderBy("n"))).select("prefix", (F.col("n") - F.coalesce("most", F.lit(0)) - F.col("shift")).alias("gap"))

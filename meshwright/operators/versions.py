@@ -21,9 +21,13 @@ def normal_id(text: Column) -> Column:
 
 
 def backfill(df: DataFrame, by: str, gid: str, fid: str) -> DataFrame:
-    """Give rows without a global id, or with one that an earlier row of the class has, a new one made from class and fid."""
-    firsts = df.filter(F.col(gid).isNotNull()).groupBy(by, gid).agg(F.min(fid).alias("_first"))
-    marked = df.join(firsts, [by, gid], "left")
+    """Give rows without a global id, or with one that an earlier row of the class has, a new one made from class and fid.
+
+    Ids are compared without braces and in upper case; an id of no characters counts as none.
+    """
+    plain = F.nullif(normal_id(F.col(gid)), F.lit(""))
+    firsts = df.withColumn("_id", plain).filter("_id is not null").groupBy(by, "_id").agg(F.min(fid).alias("_first"))
+    marked = df.withColumn("_id", plain).join(firsts, [by, "_id"], "left")
     again = F.col("_first").isNull() | (F.col(fid) > F.col("_first"))
     return marked.select(*[F.when(again, F.upper(F.sha1(F.concat_ws(":", by, fid)))).otherwise(F.col(gid)).alias(gid) if c == gid else F.col(c) for c in df.columns])
 

@@ -25,13 +25,16 @@ def coerced(text: Column, kind: str) -> Column:
     return trimmed if kind == "string" else trimmed.try_cast(kind)
 
 
-def typed(rows: DataFrame, kinds: Mapping[str, str]) -> DataFrame:
-    """The columns of ``kinds`` as their types; missing ones are null, others are left out."""
+def typed(rows: DataFrame, kinds: Mapping[str, str], required: Sequence[str] = ()) -> DataFrame:
+    """The columns of ``kinds`` as their types; missing ones are null, or an error if they are ``required``; others are left out."""
+    missing = [k for k in required if k not in rows.columns]
+    if missing:
+        raise ValueError(f"the table lacks the columns {', '.join(missing)}")
     return rows.select(*[(coerced(F.col(c).cast("string"), k) if c in rows.columns else F.lit(None).cast(k)).alias(c) for c, k in kinds.items()])
 
 
-def read_csv(spark: SparkSession, path: str, kinds: Mapping[str, str]) -> DataFrame:
-    return typed(spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path), kinds)
+def read_csv(spark: SparkSession, path: str, kinds: Mapping[str, str], required: Sequence[str] = ()) -> DataFrame:
+    return typed(spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path), kinds, required)
 
 
 def write_csv(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
