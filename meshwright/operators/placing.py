@@ -102,34 +102,39 @@ def service_choices(customers: DataFrame, mains: DataFrame, farthest: float, sho
     ``crossing`` is allowed). Else ``result`` says why there is none: touching, crossing or too_far; a customer without a place has no_geometry.
     """
     placed = staged(customers.select("customer", c("x").cast("double").alias("x"), c("y").cast("double").alias("y")), "customers")
-    here = placed.filter("x is not null and y is not null")
-    segments = staged(top.segments_of(mains), "main-segments")
-    met = top.near_segments(here, segments, farthest, size).withColumn("t", top.along(*map(c, ("x", "y", "x1", "y1", "x2", "y2"))))
+    # Customers of one place choose alike, and mains of one shape differ by their number alone.
+    here = staged(placed.filter("x is not null and y is not null").select("x", "y").distinct().withColumn("place", F.monotonically_increasing_id()), "places")
+    drawn, members = top.shapes(mains)
+    met = top.near_segments(here, top.segments_of(drawn), farthest, size).withColumn("t", top.along(*map(c, ("x", "y", "x1", "y1", "x2", "y2"))))
     tx, ty = _at(c("t"))
-    on = met.select("customer", "x", "y", "line", "part", "seg", tx.alias("tap_x"), ty.alias("tap_y"), "distance")
-    nearest = on.groupBy("customer", "x", "y", "line").agg(F.min(F.struct("distance", "part", "seg", "tap_x", "tap_y")).alias("m")).select("customer", "x", "y", "line", "m.*")
-    # A customer has few mains within reach.
-    place = F.row_number().over(Window.partitionBy("customer").orderBy("distance", "line"))
-    few = staged(nearest.withColumn("place", place).filter(c("place") <= NEAREST), "nearest-mains")
+    on = met.select("place", "x", "y", "line", "part", "seg", tx.alias("tap_x"), ty.alias("tap_y"), "distance")
+    nearest = on.groupBy("place", "x", "y", "line").agg(F.min(F.struct("distance", "part", "seg", "tap_x", "tap_y")).alias("m")).select("place", "x", "y", c("line").alias("shape"), "m.*")
+    # The nearest five mains are among the first five of the nearest five shapes.
+    shape_rank = F.row_number().over(Window.partitionBy("place").orderBy("distance", "shape"))
+    first = members.withColumn("rank", F.row_number().over(Window.partitionBy("shape").orderBy("line"))).filter(c("rank") <= NEAREST).drop("rank")
+    several = nearest.withColumn("rank", shape_rank).filter(c("rank") <= NEAREST).drop("rank").join(first, "shape").drop("shape")
+    rank = F.row_number().over(Window.partitionBy("place").orderBy("distance", "line"))
+    few = staged(several.withColumn("rank", rank).filter(c("rank") <= NEAREST), "nearest-mains")
     touching = c("distance") < F.lit(max(shortest, tol))
-    crossed = few.limit(0).select("customer", "line").withColumn("crosses", F.lit(True))
+    crossed = few.limit(0).select("place", "line").withColumn("crosses", F.lit(True))
     if not crossing:
         spans = few.withColumn("cx", F.explode(top.cells(F.least("x", "tap_x"), F.greatest("x", "tap_x"), size)))
         spans = spans.withColumn("cy", F.explode(top.cells(F.least("y", "tap_y"), F.greatest("y", "tap_y"), size)))
-        spread = segments.select(c("line").alias("main"), "x1", "y1", "x2", "y2").withColumn("cx", F.explode(top.cells(F.least("x1", "x2"), F.greatest("x1", "x2"), size)))
+        spread = top.distinct_segments(mains).withColumn("cx", F.explode(top.cells(F.least("x1", "x2"), F.greatest("x1", "x2"), size)))
         spread = spread.withColumn("cy", F.explode(top.cells(F.least("y1", "y2"), F.greatest("y1", "y2"), size)))
-        hit = spans.join(spread, ["cx", "cy"]).filter((c("main") != c("line")) & _meets(c("tap_x"), c("tap_y"), c("x"), c("y")))
-        crossed = hit.select("customer", "line").distinct().withColumn("crosses", F.lit(True))
-    judged = few.join(crossed, ["customer", "line"], "left").withColumns({"touches": touching, "crosses": F.coalesce("crosses", F.lit(False)) & ~touching})
+        other = (c("first.line") != c("line")) | (c("last.line") != c("line"))
+        hit = spans.join(spread, ["cx", "cy"]).filter(other & _meets(c("tap_x"), c("tap_y"), c("x"), c("y")))
+        crossed = hit.select("place", "line").distinct().withColumn("crosses", F.lit(True))
+    judged = few.join(crossed, ["place", "line"], "left").withColumns({"touches": touching, "crosses": F.coalesce("crosses", F.lit(False)) & ~touching})
     fits = ~c("touches") & ~c("crosses")
-    best = judged.groupBy("customer").agg(
+    best = judged.groupBy("place", "x", "y").agg(
         F.min(F.when(fits, F.struct("distance", "line", "part", "seg", "tap_x", "tap_y"))).alias("b"), F.max("touches").alias("touches"), F.max("crosses").alias("crosses")
     )
     result = (
         F.when(c("x").isNull() | c("y").isNull(), "no_geometry").when(c("b").isNotNull(), "created").when(F.coalesce("touches", F.lit(False)), "touching")
         .when(F.coalesce("crosses", F.lit(False)), "crossing").otherwise("too_far")
     )
-    return placed.join(best, "customer", "left").select("customer", result.alias("result"), "b.line", "b.part", "b.seg", "b.tap_x", "b.tap_y", "b.distance")
+    return placed.join(best.drop("place"), ["x", "y"], "left").select("customer", result.alias("result"), "b.line", "b.part", "b.seg", "b.tap_x", "b.tap_y", "b.distance")
 
 
 def service_taps(choices: DataFrame, taps: DataFrame, reuse: float) -> DataFrame:
@@ -138,17 +143,21 @@ def service_taps(choices: DataFrame, taps: DataFrame, reuse: float) -> DataFrame
     The nearest tap (``x, y``, or one made for an earlier customer) within ``reuse`` of the place on the main serves again; ties go to the smaller x, then y.
     Else a tap is made there.
     """
-    wanted = choices.filter("result = 'created'").select(c("customer").alias("id"), c("tap_x").alias("x"), c("tap_y").alias("y"), "line")
-
-    def act(ready: DataFrame, done: DataFrame | None) -> DataFrame:
-        known = taps.select(c("x").cast("double").alias("ox"), c("y").cast("double").alias("oy"))
-        if done is not None:
-            known = known.unionByName(done.filter("not reused").select(c("tap_x").alias("ox"), c("tap_y").alias("oy")))
-        near = top.near(ready.select("id", "x", "y"), known, reuse).groupBy("id").agg(F.min(F.struct("distance", "ox", "oy")).alias("n"))
-        at = ready.join(near, "id", "left")
-        return at.select("id", "line", F.coalesce("n.ox", "x").alias("tap_x"), F.coalesce("n.oy", "y").alias("tap_y"), c("n").isNotNull().alias("reused"))
-
-    return in_turn(wanted, reuse, act).withColumnRenamed("id", "customer")
+    wanted = staged(choices.filter("result = 'created'").select(c("customer").alias("id"), c("tap_x").alias("x"), c("tap_y").alias("y"), "line"), "wanted")
+    given = staged(taps.select(c("x").cast("double").alias("ox"), c("y").cast("double").alias("oy"), F.lit(None).cast("long").alias("maker")).distinct(), "given-taps")
+    # Whoever wants a place where another wanted one before finds a tap within reach: only the first can make one.
+    firsts = staged(wanted.groupBy("x", "y").agg(F.min("id").alias("id")).select("id", "x", "y"), "first-wanted")
+
+    def reached(ready: DataFrame, known: DataFrame) -> DataFrame:
+        # A tap serves those after its maker.
+        near = top.near(ready.select("id", "x", "y"), known, reuse).filter(c("maker").isNull() | (c("maker") < c("id")))
+        near = near.groupBy("id").agg(F.min(F.struct("distance", "ox", "oy")).alias("n"))
+        return ready.join(near, "id", "left").select(*ready.columns, F.coalesce("n.ox", "x").alias("tap_x"), F.coalesce("n.oy", "y").alias("tap_y"), c("n").isNotNull().alias("reused"))
+
+    made_by = lambda done: done.filter("not reused").select(c("tap_x").alias("ox"), c("tap_y").alias("oy"), c("id").alias("maker"))
+    known_by = lambda done: given if done is None else given.unionByName(made_by(done))
+    made = staged(made_by(in_turn(firsts, reuse, lambda ready, done: reached(ready, known_by(done)))), "made-taps")
+    return reached(wanted, given.unionByName(made)).select(c("id").alias("customer"), "line", "tap_x", "tap_y", "reused")
 
 
 def with_vertices(lines: DataFrame, made: DataFrame) -> DataFrame:
