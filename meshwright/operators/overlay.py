@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshwright.operators import graph
-from meshwright.plans.staging import any_rows, staged
+from meshwright.plans.staging import any_rows, spread_out, staged
 
 #: Where cell borders lie, as a part of the cell's size.
 SHIFT = math.sqrt(2) / 10
@@ -181,7 +181,7 @@ def in_cells(polygons: DataFrame, size: float, crowd: int = CELL_EDGES) -> DataF
     waiting = polygons.filter(F.size("ring") >= 3).select(F.lit(0).alias("level"), "layer", "area", xs, ys)
     done = None
     for level in range(MOST_CUTS):
-        cut = staged(waiting.mapInPandas(lambda frames: _cut(frames, size), PIECES), "pieces")
+        cut = staged(spread_out(waiting).mapInPandas(lambda frames: _cut(frames, size), PIECES), "pieces")
         full = cut.groupBy("level", "cx", "cy").agg(F.sum(F.size("xs")).alias("edges"), F.count(F.lit(1)).alias("n")).filter(c("edges") > crowd)
         full = staged(full.select("level", "cx", "cy"), "crowded")
         ready = cut.join(full, ["level", "cx", "cy"], "left_anti")
@@ -194,7 +194,7 @@ def in_cells(polygons: DataFrame, size: float, crowd: int = CELL_EDGES) -> DataF
 
 
 def swept(polygons: DataFrame, size: float, *wanted: str, layers: int = 1) -> DataFrame:
-    cells = in_cells(polygons, size)
+    cells = spread_out(in_cells(polygons, size), "level", "cx", "cy")
     return cells.groupBy("level", "cx", "cy").applyInPandas(lambda frame: _sweep(frame, size, wanted, layers), SWEPT)
 
 
