@@ -1,6 +1,6 @@
 """Bridges, biconnected blocks and cut nodes of very large graphs.
 
-A spanning forest is walked as one list of arcs for each tree, which gives every node its parent, its number in preorder and the size of its
+A spanning forest is walked level by level, or as one list of arcs for each tree where it is deep, which gives every node its parent, its number in preorder and the size of its
 subtree. The least and greatest number that a subtree can reach over other edges is a minimum and maximum over its stretch of
 numbers. From these:
 
@@ -17,30 +17,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshwright.operators import lists
-from meshwright.operators.graph import both_ways, components
+from meshwright.operators.graph import components
 from meshwright.plans.staging import any_rows, staged
 
 
-def numbered(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
-    """``node, root, parent, via, depth, pre, size, low, high`` over ``eid, a, b``; empty for a graph without edges.
-
-    One tree for each component, from its least node, or from the least of ``roots`` in it (then only components that hold one).
-    """
+def walked(edges: DataFrame, roots: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows of :func:`numbered`, and ``eid, a, b, pre_a, size_a, pre_b, size_b`` of the edges that are in no tree."""
     edges = staged(edges.filter("a <> b").select("eid", "a", "b"), "plain")
-    parts = staged(components(edges.select(F.col("a").alias("node")).union(edges.select("b")), edges), "parts")
+    taken = lists.spanning(edges)
+    held = staged(edges.join(taken, "eid", "left_semi"), "trees")
+    # The forest has the parts of the graph and far fewer edges.
+    parts = components(held.select(F.col("a").alias("node")).union(held.select("b")), held)
     if roots is None:
         tops = parts.select(F.col("component").alias("node")).distinct()
     else:
-        tops = parts.join(roots.select("node").distinct(), "node", "left_semi").groupBy("component").agg(F.min("node").alias("node")).select("node")
-        held = parts.join(parts.join(tops, "node", "left_semi").select("component"), "component", "left_semi").select(F.col("node").alias("a"))
-        edges = staged(edges.join(held, "a", "left_semi"), "held")
-    taken = lists.spanning(edges)
-    tree = lists.toured(edges.join(taken, "eid", "left_semi"), tops)
-    others = both_ways(edges.join(taken, "eid", "left_anti"))
-    number = tree.select(F.col("node").alias("dst"), F.col("pre").alias("seen"))
-    touched = others.join(number, "dst").groupBy("src").agg(F.min("seen").alias("least"), F.max("seen").alias("most"))
+        tops = parts.join(roots.select("node").distinct(), "node", "left_semi").groupBy("component").agg(F.min("node").alias("node"))
+        inside = parts.join(tops.select("component"), "component", "left_semi").select(F.col("node").alias("a"))
+        held = staged(held.join(inside, "a", "left_semi"), "trees")
+        tops = tops.select("node")
+    tree = lists.toured(held, staged(tops, "tops"))
+
+    def end(name: str) -> DataFrame:
+        return tree.select(F.col("node").alias(name), F.col("pre").alias(f"pre_{name}"), F.col("size").alias(f"size_{name}"))
+
+    across = edges.join(taken, "eid", "left_anti").join(end("a"), "a").join(end("b"), "b")
+    across = staged(across.select("eid", "a", "b", "pre_a", "size_a", "pre_b", "size_b"), "others")
+    seen = across.select(F.col("a").alias("src"), F.col("pre_b").alias("seen")).union(across.select("b", "pre_a"))
+    touched = seen.groupBy("src").agg(F.min("seen").alias("least"), F.max("seen").alias("most"))
     own = tree.join(touched, tree["node"] == touched["src"], "left").select("node", F.least("pre", F.coalesce("least", "pre")).alias("low"), F.greatest("pre", F.coalesce("most", "pre")).alias("high"))
-    return staged(tree.join(lists.extremes(tree, own), "node").select("node", "root", "parent", "via", "depth", "pre", "size", "low", "high"), "numbered")
+    return staged(tree.join(lists.extremes(tree, own), "node").select("node", "root", "parent", "via", "depth", "pre", "size", "low", "high"), "numbered"), across
+
+
+def numbered(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """``node, root, parent, via, depth, pre, size, low, high`` over ``eid, a, b``; empty for a graph without edges.
+
+    One tree for each component, from its least node, or from the least of ``roots`` in it (then only components that hold one).
+    """
+    return walked(edges, roots)[0]
 
 
 def bridges(edges: DataFrame, tree: DataFrame | None = None) -> DataFrame:
@@ -49,24 +62,17 @@ def bridges(edges: DataFrame, tree: DataFrame | None = None) -> DataFrame:
     return tree.filter("via is not null and low >= pre and high < pre + size").select(F.col("via").alias("eid"))
 
 
-def blocks(edges: DataFrame, tree: DataFrame | None = None) -> DataFrame:
-    """``eid, block`` for every edge between two nodes; a block is named by its least lower node."""
-    edges = edges.filter("a <> b")
-    tree = numbered(edges) if tree is None else tree
-    slim = staged(tree.select("node", "root", "parent", "via", "pre", "size", "low", "high"), "slim")
+def blocks(edges: DataFrame, walk: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """``eid, block`` for every edge between two nodes (of a ``walk`` from :func:`walked`, if there is one); a block is named by its least lower node."""
+    slim, others = walk or walked(edges)
     down = slim.filter("via is not null")
-    rest = edges.join(down.select(F.col("via").alias("eid")), "eid", "left_anti")
-
-    def end(name: str) -> DataFrame:
-        return slim.select(F.col("node").alias(name), F.col("pre").alias(f"pre_{name}"), F.col("size").alias(f"size_{name}"))
-
-    across = rest.join(end("a"), "a").join(end("b"), "b").select(
+    a_first = F.col("pre_a") < F.col("pre_b")
+    across = others.select(
         "eid",
-        F.when(F.col("pre_a") < F.col("pre_b"), F.col("a")).otherwise(F.col("b")).alias("first"),
-        F.when(F.col("pre_a") < F.col("pre_b"), F.col("b")).otherwise(F.col("a")).alias("last"),
-        (F.when(F.col("pre_a") < F.col("pre_b"), F.col("pre_a") + F.col("size_a")).otherwise(F.col("pre_b") + F.col("size_b")) <= F.greatest("pre_a", "pre_b")).alias("apart"),
+        F.when(a_first, F.col("a")).otherwise(F.col("b")).alias("first"),
+        F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("last"),
+        (F.when(a_first, F.col("pre_a") + F.col("size_a")).otherwise(F.col("pre_b") + F.col("size_b")) <= F.greatest("pre_a", "pre_b")).alias("apart"),
     )
-    across = staged(across, "across")
     above = slim.filter("via is not null").select(F.col("node").alias("up"), F.col("pre").alias("up_pre"), F.col("size").alias("up_size"))
     joined = down.join(above, down["parent"] == above["up"]).filter((F.col("low") < F.col("up_pre")) | (F.col("high") >= F.col("up_pre") + F.col("up_size")))
     links = across.filter("apart").select(F.col("first").alias("a"), F.col("last").alias("b")).union(joined.select(F.col("node"), F.col("parent")))
@@ -86,8 +92,8 @@ def lost_below(edges: DataFrame, roots: DataFrame, weights: DataFrame) -> DataFr
     virtual = roots.select("node").distinct().select((-1 - 2 * F.abs("node") - (F.col("node") < 0).cast("long")).alias("eid"), F.lit(-1).cast("long").alias("a"), F.col("node").alias("b"))
     whole = staged(edges.select("eid", "a", "b").unionByName(virtual), "rooted")
     root = edges.sparkSession.createDataFrame([(-1,)], "node long")
-    tree = numbered(whole, root)
-    named = blocks(whole, tree).withColumnRenamed("eid", "edge")
+    tree, others = walked(whole, root)
+    named = blocks(whole, (tree, others)).withColumnRenamed("eid", "edge")
     weighted = tree.join(weights.groupBy("node").agg(F.sum("weight").alias("own")), "node", "left").withColumn("own", F.coalesce("own", F.lit(0)).cast("long"))
     # A subtree's weight is the difference of two totals along the preorder.
     along = staged(lists.running(weighted.select("node", "parent", "via", "own", "pre", "size"), ["pre"], ("own",)), "weights")

@@ -19,6 +19,8 @@ from meshwright.operators.graph import both_ways, components
 from meshwright.plans.staging import any_rows, staged
 
 c = F.col
+#: Trees of at most so many levels are walked level by level, deeper ones as lists.
+LEVELS = 12
 
 
 def ranked(links: DataFrame) -> DataFrame:
@@ -82,15 +84,14 @@ def running(rows: DataFrame, keys: list[str], sums: tuple[str, ...] = ()) -> Dat
 
 def spanning(edges: DataFrame) -> DataFrame:
     """``eid`` of a spanning forest of ``eid, a, b``: in each round every part of the graph takes its least edge to another part."""
-    left = staged(edges.filter("a <> b").select("eid", "a", "b"), "left")
+    left = edges.filter("a <> b").select("eid", "a", "b")
     taken = left.select("eid").limit(0)
     while any_rows(left):
         ends = left.select("eid", c("a").alias("part")).unionByName(left.select("eid", c("b").alias("part")))
-        chosen = staged(ends.groupBy("part").agg(F.min("eid").alias("eid")).select("eid").distinct(), "chosen")
+        least = staged(ends.groupBy("part").agg(F.min("eid").alias("eid")), "least")
+        chosen = staged(least.select("eid").distinct(), "chosen")
         taken = taken.unionByName(chosen)
-        joined = left.join(chosen, "eid", "left_semi")
-        parts = left.select(c("a").alias("node")).union(left.select("b"))
-        named = staged(components(parts, joined), "parts")
+        named = components(least.select(c("part").alias("node")), left.join(chosen, "eid", "left_semi"))
         moved = left.join(named.toDF("a", "pa"), "a").join(named.toDF("b", "pb"), "b").filter("pa <> pb")
         # Of several edges between two parts only the least can be taken.
         pair = (F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"))
@@ -98,17 +99,63 @@ def spanning(edges: DataFrame) -> DataFrame:
     return staged(taken, "taken")
 
 
+def _levels(arcs: DataFrame, roots: DataFrame) -> list[DataFrame] | None:
+    """``node, root, parent, via`` of each level below the roots; None if there are more than ``LEVELS``."""
+    none = F.lit(None).cast("long")
+    front = staged(roots.select("node").distinct().select("node", c("node").alias("root"), none.alias("parent"), none.alias("via")), "level")
+    found = []
+    while any_rows(front):
+        if len(found) > LEVELS:
+            return None
+        found.append(front)
+        step = front.join(arcs, c("node") == c("src")).filter("via is null or eid <> via")
+        front = staged(step.select(c("dst").alias("node"), "root", c("node").alias("parent"), c("eid").alias("via")), "level")
+    return found
+
+
+def _numbered(levels: list[DataFrame]) -> DataFrame:
+    """The columns of :func:`toured` for trees given by levels: sizes come up from below, places go down."""
+    sized: list[DataFrame] = []
+    for depth, level in reversed(list(enumerate(levels))):
+        own = level.withColumn("depth", F.lit(depth).cast("long"))
+        if sized:
+            more = sized[-1].groupBy(c("parent").alias("node")).agg(F.sum("size").alias("more"))
+            own = own.join(more, "node", "left").withColumn("size", F.coalesce("more", F.lit(0)) + 1).drop("more")
+        sized.append(staged(own.withColumn("size", (c("size") if "size" in own.columns else F.lit(1)).cast("long")), "sized"))
+    sized.reverse()
+    top = running(sized[0], ["node"], ("size",))
+    placed = staged(top.select(*sized[0].columns, (c("run_size") - c("size")).alias("pre")), "pre")
+    done = placed
+    if len(sized) > 1:
+        below = sized[1]
+        for level in sized[2:]:
+            below = below.unionByName(level)
+        # What stands between a node and its parent: the sizes of its siblings before it.
+        along = running(below, ["parent", "node"], ("size",))
+        first = along.groupBy("parent").agg(F.min(c("run_size") - c("size")).alias("base"))
+        beside = staged(along.join(first, "parent").select(*below.columns, (c("run_size") - c("size") - c("base")).alias("beside")), "beside")
+        for depth in range(1, len(sized)):
+            above = placed.select(c("node").alias("parent"), c("pre").alias("above"))
+            level = beside.filter(c("depth") == depth).join(above, "parent")
+            placed = staged(level.select(*sized[0].columns, (c("above") + 1 + c("beside")).alias("pre")), "pre")
+            done = done.unionByName(placed)
+    return done.select("node", "root", "parent", "via", "depth", "pre", "size")
+
+
 def toured(tree: DataFrame, roots: DataFrame) -> DataFrame:
     """``node, root, parent, via, depth, pre, size`` of the trees of ``tree`` (``eid, a, b``, a forest) that hold a root.
 
-    ``roots`` has ``node``, one in each tree. ``pre`` counts from 0 over all trees, a tree's nodes and a subtree's stand together. The arcs of a
-    tree, each edge there and back, make one list; ranking it gives every number.
+    ``roots`` has ``node``, one in each tree. ``pre`` counts from 0 over all trees, a tree's nodes and a subtree's stand together. Trees
+    of few levels are numbered level by level. Of deeper ones the arcs, each edge there and back, make one list for each tree; ranking it gives every number.
     """
     arcs = both_ways(tree, "eid")
     if not any_rows(arcs):
         none = F.lit(None).cast("long")
         alone = running(roots.select("node").distinct(), ["node"])
         return alone.select("node", c("node").alias("root"), none.alias("parent"), none.alias("via"), F.lit(0).cast("long").alias("depth"), (c("place") - 1).alias("pre"), F.lit(1).cast("long").alias("size"))
+    levels = _levels(arcs, roots)
+    if levels:
+        return _numbered(levels)
     placed = staged(running(arcs, ["src", "dst", "eid"]).withColumnRenamed("place", "arc"), "arcs")
     first = placed.groupBy("src").agg(F.min("arc").alias("first"), F.max("arc").alias("last"))
     # After arriving over an edge the next arc is the one behind the way back, in the order of the node, around and around.
@@ -137,10 +184,22 @@ def toured(tree: DataFrame, roots: DataFrame) -> DataFrame:
 def extremes(tree: DataFrame, values: DataFrame) -> DataFrame:
     """``node, low, high``: the least and the greatest of ``values`` (``node, low, high``, one row a node) in each subtree of a toured tree.
 
-    Least values of stretches of 1, 2, 4, ... places in preorder; a subtree is two such stretches that may overlap.
+    In trees of few levels values come up level by level. Else least values of stretches of 1, 2, 4, ... places in preorder are taken; a subtree is
+    two such stretches that may overlap.
     """
-    at = staged(tree.join(values, "node").select("node", "pre", "size", "low", "high"), "values")
-    longest = at.agg(F.max("size")).first()[0] or 0
+    at = staged(tree.join(values, "node").select("node", "parent", "depth", "pre", "size", "low", "high"), "values")
+    longest, deepest = at.agg(F.max("size"), F.max("depth")).first()
+    longest = longest or 0
+    if deepest is not None and deepest <= LEVELS:
+        below = done = None
+        for depth in range(deepest, -1, -1):
+            level = at.filter(c("depth") == depth).select("node", "parent", "low", "high")
+            if below is not None:
+                least = below.groupBy(c("parent").alias("node")).agg(F.min("low").alias("low_2"), F.max("high").alias("high_2"))
+                level = level.join(least, "node", "left").select("node", "parent", F.least("low", "low_2").alias("low"), F.greatest("high", "high_2").alias("high"))
+            below = staged(level, "extremes")
+            done = below if done is None else done.unionByName(below)
+        return done.select("node", "low", "high")
     level, width, done = at.select("pre", "low", "high"), 1, None
     while width <= longest:
         fits = at.filter((c("size") >= width) & (c("size") < 2 * width)).select("node", "pre", (c("pre") + c("size") - width).alias("end"))

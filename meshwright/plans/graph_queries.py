@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,10 +21,15 @@ ORACLE_ROUNDS = 14
 CONDITIONS = (("segment", "=", "building"), ("balance", "<", 0), ("brand", "=", "Brand#11"), ("built", "<", 1985))
 
 
-def network(spark: SparkSession, sf_dir: str) -> Network:
+#: Columns of lines that every trace needs; others are read where a query names them.
+LINE = ("eid", "class", "fid", "a", "b")
+
+
+def network(spark: SparkSession, sf_dir: str, columns: Sequence[str] | None = None) -> Network:
+    """Points and lines; ``columns`` of the lines, if not all are needed."""
     lines = nv.lines(spark, sf_dir).withColumn("eid", F.col("ag").cast("long") * EDGE_STRIDE + F.col("fid"))
     # Lines are an aggregate of lineitem that every step of a trace reads again.
-    return Network(nv.points(spark, sf_dir), staged(lines, "lines"))
+    return Network(nv.points(spark, sf_dir), staged(lines if columns is None else lines.select(*columns), "lines"))
 
 
 def _at(spark: SparkSession, kind: str, key: int) -> DataFrame:
@@ -43,11 +50,11 @@ def adjacency(spark, sf_dir):
 
 
 def trace_connected(spark, sf_dir):
-    return traces.connected(network(spark, sf_dir), _at(spark, "Source", 0))
+    return traces.connected(network(spark, sf_dir, LINE), _at(spark, "Source", 0))
 
 
 def trace_connected_barriers(spark, sf_dir):
-    net = network(spark, sf_dir)
+    net = network(spark, sf_dir, LINE)
     return traces.connected(net, _at(spark, "Source", 0), net.closed())
 
 
@@ -62,72 +69,72 @@ def trace_lifecycle_size(spark, sf_dir):
 
 
 def trace_output_groups(spark, sf_dir):
-    net = network(spark, sf_dir)
+    net = network(spark, sf_dir, (*LINE, "ag"))
     return traces.connected(net, _at(spark, "Source", 2), net.closed(), groups=[(4, None), (5, 2)])
 
 
 def trace_downstream_gravity(spark, sf_dir):
-    net = network(spark, sf_dir)
+    net = network(spark, sf_dir, (*LINE, "reverse"))
     return traces.along_flow(net, _at(spark, "Source", 0), walls=net.closed()).select("node", "hops")
 
 
 def trace_upstream_gravity(spark, sf_dir):
-    net = network(spark, sf_dir)
+    net = network(spark, sf_dir, (*LINE, "reverse"))
     return traces.along_flow(net, _at(spark, "Station", 1), upstream=True).select("node", "hops")
 
 
 def source_distance(spark, sf_dir):
-    net = network(spark, sf_dir)
+    net = network(spark, sf_dir, (*LINE, "length"))
     return traces.source_tree(net, net.closed()).select("node", F.round("dist", 3).alias("dist"))
 
 
 def trace_downstream(spark, sf_dir):
-    net = network(spark, sf_dir)
+    net = network(spark, sf_dir, (*LINE, "length"))
     return traces.downstream_of_source(net, _at(spark, "Valve", 1), net.closed()).select("node")
 
 
 def trace_upstream(spark, sf_dir):
-    return traces.upstream_of_source(network(spark, sf_dir), _at(spark, "Meter", 1)).select("node")
+    return traces.upstream_of_source(network(spark, sf_dir, (*LINE, "length")), _at(spark, "Meter", 1)).select("node")
 
 
 def shortest_path_length(spark, sf_dir):
-    net = network(spark, sf_dir)
+    net = network(spark, sf_dir, (*LINE, "length"))
     way = traces.shortest_path(net, _at(spark, "Meter", 1), net.having(traces.SOURCE))
     return way.agg(F.round(F.max("dist"), 3).alias("dist"))
 
 
 def shortest_path(spark, sf_dir):
-    net = network(spark, sf_dir)
+    net = network(spark, sf_dir, (*LINE, "length"))
     return traces.shortest_path(net, _at(spark, "Meter", 1), net.having(traces.SOURCE)).select("node", F.round("dist", 3).alias("dist"))
 
 
 def isolation_valves(spark, sf_dir):
-    return traces.isolation(network(spark, sf_dir), _at(spark, "Station", 1))["to_close"]
+    return traces.isolation(network(spark, sf_dir, LINE), _at(spark, "Station", 1))["to_close"]
 
 
 def isolation_customers(spark, sf_dir):
-    return traces.isolation(network(spark, sf_dir), _at(spark, "Valve", 1))["customers"]
+    return traces.isolation(network(spark, sf_dir, LINE), _at(spark, "Valve", 1))["customers"]
 
 
 def subnetworks(spark, sf_dir):
-    net = network(spark, sf_dir)
+    net = network(spark, sf_dir, (*LINE, "tier"))
     return traces.subnetworks(net, net.controllers()).select("controller", "node")
 
 
 def subnetwork_stats(spark, sf_dir):
-    net = network(spark, sf_dir)
+    net = network(spark, sf_dir, (*LINE, "tier"))
     return traces.subnetwork_stats(net, net.controllers()).select("name", "points", "customers")
 
 
 def subnetworks_of_start(spark, sf_dir):
-    net = network(spark, sf_dir)
+    net = network(spark, sf_dir, (*LINE, "tier"))
     fed = traces.subnetworks(net, net.controllers()).select("controller", "node")
     mine = fed.join(_at(spark, "Meter", 1), "node", "left_semi").select("controller").distinct()
     return fed.join(mine, "controller", "left_semi").select("node").distinct()
 
 
 def is_connected(spark, sf_dir):
-    net = network(spark, sf_dir)
+    net = network(spark, sf_dir, LINE)
     got = graph.reach(graph.both_ways(net.edges), net.controllers().select("node")).select("node").withColumn("hit", F.lit(1))
     return net.points.select("node", "class").join(got, "node", "left").groupBy("class").agg(F.count(F.lit(1)).alias("total"), F.count("hit").alias("connected"))
 
@@ -139,7 +146,7 @@ def without_trunks(net: Network) -> Network:
 
 def islands(spark, sf_dir):
     """Lines of components without a source, whatever is closed."""
-    net = without_trunks(network(spark, sf_dir))
+    net = without_trunks(network(spark, sf_dir, LINE))
     got = graph.reach(graph.both_ways(net.edges), net.having(traces.SOURCE)).select(F.col("node").alias("a"))
     return net.edges.join(got, "a", "left_anti").select("class", "fid")
 
@@ -168,7 +175,7 @@ def tiered(net: Network) -> DataFrame:
 
 def multi_fed(spark, sf_dir):
     """Features of several subnetworks, one of them of a tier that allows one only."""
-    net = network(spark, sf_dir)
+    net = network(spark, sf_dir, (*LINE, "tier"))
     controllers = tiered(net)
     single = [t for t, s in TIERS.items() if not s["multi"]]
     named = controllers.groupBy("name").agg(F.min_by("tier", "node").alias("tier"))
@@ -179,7 +186,7 @@ def multi_fed(spark, sf_dir):
 
 def no_controller(spark, sf_dir):
     """Lines of a tier that requires a controller and that none feeds."""
-    net = without_trunks(network(spark, sf_dir))
+    net = without_trunks(network(spark, sf_dir, (*LINE, "tier")))
     required = [t for t, s in TIERS.items() if s["require"]]
     fed = fed_features(net, net.controllers()).filter("kind = 'line'").select("class", "fid").distinct()
     return net.edges.filter(F.col("tier").isin(*required)).select("class", "fid").join(fed, ["class", "fid"], "left_anti")
@@ -187,7 +194,7 @@ def no_controller(spark, sf_dir):
 
 def star_components(spark, sf_dir):
     """Parts of the network that feeders and services alone hold together."""
-    net = network(spark, sf_dir)
+    net = network(spark, sf_dir, LINE)
     some = net.edges.filter(F.col("class").isin("Feeder", "Service"))
     nodes = some.select(F.col("a").alias("node")).union(some.select("b")).distinct()
     return graph.components(nodes, some).groupBy("component").agg(F.count(F.lit(1)).alias("nodes"))
@@ -199,26 +206,26 @@ def component_sizes(net: Network) -> DataFrame:
 
 
 def all_components(spark, sf_dir):
-    return component_sizes(network(spark, sf_dir))
+    return component_sizes(network(spark, sf_dir, LINE))
 
 
 def loop_edges(spark, sf_dir):
-    net = network(spark, sf_dir)
+    net = network(spark, sf_dir, LINE)
     return net.edges.join(traces.loops(net), "eid", "left_semi").select("class", "fid")
 
 
 def block_sizes(spark, sf_dir):
-    net = network(spark, sf_dir)
+    net = network(spark, sf_dir, LINE)
     return blk.blocks(net.edges.select("eid", "a", "b")).groupBy("block").agg(F.count(F.lit(1)).alias("edges"))
 
 
 def upstream_all(spark, sf_dir):
-    net = network(spark, sf_dir)
+    net = network(spark, sf_dir, LINE)
     return net.edges.join(traces.upstream_all(net, _at(spark, "Station", 1), net.closed()), "eid", "left_semi").select("class", "fid")
 
 
 def criticality(spark, sf_dir):
-    return traces.criticality(network(spark, sf_dir)).select("class", "fid", "customers")
+    return traces.criticality(network(spark, sf_dir, LINE)).select("class", "fid", "customers")
 
 
 # ---------------------------------------------------------------- oracles

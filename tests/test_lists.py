@@ -139,3 +139,12 @@ def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
     chain = spark.range(n).select(F.col("id").alias("eid"), F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert blocks.bridges(chain).count() == n
     assert len(rounds) < 40
+
+
+def test_a_shallow_network_is_not_ranked(spark, monkeypatch):
+    def refused(links):
+        raise AssertionError("trees of few levels need no lists")
+
+    monkeypatch.setattr(lists, "ranked", refused)
+    star = spark.range(50).select(F.col("id").alias("eid"), F.lit(1000).cast("long").alias("a"), F.col("id").alias("b"))
+    assert blocks.bridges(star).count() == 50
