@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from meshwright.operators import blocks as blk
 from meshwright.operators import graph, traces
 from meshwright.operators.traces import Network
-from meshwright.plans.staging import staged
+from meshwright.plans.staging import spread_out, staged
 from meshwright.sources import network_view as nv
 
 #: Edge numbers: place of the class times this, plus the line's number.
@@ -45,8 +45,10 @@ def net_edges(spark, sf_dir):
 
 
 def adjacency(spark, sf_dir):
-    both = graph.both_ways(nv.lines(spark, sf_dir))
-    return both.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("degree"), F.countDistinct("dst").alias("neighbours"))
+    # Dealt first: counting before the shuffle would hold a row of nearly every pair in memory.
+    dealt = spread_out(graph.both_ways(nv.lines(spark, sf_dir)), "src", "dst")
+    pairs = dealt.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("lines"))
+    return pairs.groupBy(F.col("src").alias("node")).agg(F.sum("lines").alias("degree"), F.count("dst").alias("neighbours"))
 
 
 def trace_connected(spark, sf_dir):
