@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from meshwright.functions.conditions import any_condition, excluded_lifecycle, output_groups, too_small
 from meshwright.operators import blocks as blk
 from meshwright.operators import graph
-from meshwright.plans.staging import staged
+from meshwright.plans.staging import dealt, staged
 
 SOURCE, ISOLATING, CUSTOMER = "source", "isolating", "customer"
 FLOWS = ("source", "gravity", "undirected")
@@ -97,6 +97,11 @@ def source_tree(net: Network, walls: DataFrame | None = None) -> DataFrame:
     return graph.distances(ways, net.having(SOURCE), walls)
 
 
+def source_lengths(net: Network, walls: DataFrame | None = None) -> DataFrame:
+    """``node, dist`` of :func:`source_tree`."""
+    return graph.lengths(graph.both_ways(net.edges, F.col("length").alias("weight")), net.having(SOURCE), walls)
+
+
 def downstream_of_source(net: Network, starts: DataFrame, walls: DataFrame | None = None) -> DataFrame:
     """What is fed over the start: its subtree in the tree of shortest ways."""
     return graph.subtree(source_tree(net, walls), starts)
@@ -172,9 +177,9 @@ def isolation(net: Network, starts: DataFrame) -> dict[str, DataFrame]:
 def subnetworks(net: Network, controllers: DataFrame) -> DataFrame:
     """``controller, node, hops``: what each controller feeds, stopping at closed devices and other controllers.
 
-    All controllers advance at once. A line is gone along if its tier or the controller's is null or they are equal.
+    All controllers advance at once, those at one node together. A line is gone along if its tier or the controller's is null or they are equal.
     """
-    edges = staged(graph.both_ways(net.edges, "tier").distinct(), "tiers")
+    edges = dealt(graph.both_ways(net.edges, "tier"), "src", "tiers")
     walls = net.closed().union(controllers.select("node")).distinct().withColumnRenamed("node", "wall")
     tiers = controllers.select(F.col("node").alias("controller"), F.col("tier").alias("own_tier"))
     seen = front = staged(controllers.select(F.col("node").alias("controller"), "node", F.lit(0).alias("hops")).distinct(), "fed")
@@ -183,8 +188,11 @@ def subnetworks(net: Network, controllers: DataFrame) -> DataFrame:
         hops += 1
         if hops > 1:
             front = front.join(walls, front["node"] == walls["wall"], "left_anti")
-        step = front.join(tiers, "controller").join(edges, F.col("node") == F.col("src"))
-        step = step.filter("own_tier is null or tier is null or own_tier = tier").select("controller", F.col("dst").alias("node")).distinct()
+        # A line is met once by all who stand at its end, and not once by each.
+        standing = front.groupBy("node").agg(F.sort_array(F.collect_set("controller")).alias("standing"))
+        step = standing.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), "tier", "standing").distinct()
+        step = step.select("node", "tier", F.explode("standing").alias("controller")).join(tiers, "controller")
+        step = step.filter("own_tier is null or tier is null or own_tier = tier").select("controller", "node").distinct()
         front = staged(step.join(seen.select("controller", "node"), ["controller", "node"], "left_anti").withColumn("hops", F.lit(hops)), "fed")
         seen = seen.unionByName(front)
         if hops % 8 == 0:

@@ -87,7 +87,7 @@ def trace_upstream_gravity(spark, sf_dir):
 
 def source_distance(spark, sf_dir):
     net = network(spark, sf_dir, (*LINE, "length"))
-    return traces.source_tree(net, net.closed()).select("node", F.round("dist", 3).alias("dist"))
+    return traces.source_lengths(net, net.closed()).select("node", F.round("dist", 3).alias("dist"))
 
 
 def trace_downstream(spark, sf_dir):

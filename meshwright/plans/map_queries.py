@@ -142,7 +142,7 @@ def lattice_connected(spark, sf_dir):
 def lattice_distances(spark, sf_dir):
     """``source_distance`` over coordinates."""
     net = lattice(spark, sf_dir).network()
-    tree = traces.source_tree(net, net.closed())
+    tree = traces.source_lengths(net, net.closed())
     return net.points.select(c("point").alias("node"), c("node").alias("at")).join(tree.select(c("node").alias("at"), "dist"), "at").select("node", F.round("dist", 3).alias("dist"))
 
 
