@@ -160,8 +160,12 @@ def fed_features(net: Network, controllers: DataFrame) -> DataFrame:
     spread = members.join(walls, "node", "left").filter(F.col("wall").isNull() | (F.col("node") == F.col("controller")))
     tiers = controllers.select(F.col("node").alias("controller"), F.col("tier").alias("own_tier"))
     spread = spread.join(tiers, "controller").select("node", "name", "own_tier")
-    lines = net.edges.select("class", "fid", "tier", F.explode(F.array("a", "b")).alias("node")).join(spread, "node")
-    lines = lines.filter("own_tier is null or tier is null or own_tier = tier").select(F.lit("line").alias("kind"), "class", "fid", "name").distinct()
+    # An end brings the names of all its controllers at once, and a line puts those of its ends together.
+    standing = spread.groupBy("node").agg(F.sort_array(F.collect_set(F.struct("name", "own_tier"))).alias("standing"))
+    lines = net.edges.select("class", "fid", "tier", F.explode(F.array("a", "b")).alias("node")).join(standing, "node")
+    fits = F.filter("standing", lambda s: s["own_tier"].isNull() | F.col("tier").isNull() | (s["own_tier"] == F.col("tier")))
+    lines = lines.select("class", "fid", F.transform(fits, lambda s: s["name"]).alias("names")).groupBy("class", "fid").agg(F.flatten(F.collect_set("names")).alias("names"))
+    lines = lines.select(F.lit("line").alias("kind"), "class", "fid", F.explode(F.array_distinct("names")).alias("name"))
     points = net.points.join(members, "node").select(F.lit("point").alias("kind"), "class", "fid", "name").distinct()
     return points.unionByName(lines)
 
