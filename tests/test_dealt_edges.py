@@ -25,3 +25,12 @@ def test_parents_over_edges_without_length_make_no_circle(spark):
     got = {r["node"]: (r["dist"], r["parent"], r["via"]) for r in graph.distances(ways, starts).collect()}
     assert got == {5: (0.0, None, None), 9: (0.0, 5, "a"), 3: (0.0, 9, "b"), 1: (2.0, 3, "c")}
     assert {r["node"]: r["dist"] for r in graph.lengths(ways, starts).collect()} == {k: v[0] for k, v in got.items()}
+
+
+def test_edges_of_a_search_without_walls_take_one_join(spark):
+    edges = spark.createDataFrame([(1, 1, 2), (2, 3, 2), (3, 4, 5), (4, None, 1)], "eid long, a long, b long")
+    starts = spark.createDataFrame([(3,)], "node long")
+    reached = spark.createDataFrame([(1,), (2,), (3,)], "node long")
+    got = graph.crossed_edges(edges, reached, None, starts)
+    assert sorted(r["eid"] for r in got.collect()) == [1, 2, 4]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
