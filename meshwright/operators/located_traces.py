@@ -65,9 +65,9 @@ def _found(net: Network, nodes: DataFrame, eids: DataFrame, **extra: DataFrame)
     return Found(nodes, eids, traces.features(net, nodes, of), extra)
 
 
-def _spread(net: Network, open_edges: DataFrame, picks: Picks, walls: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _spread(net: Network, open_edges: DataFrame, picks: Picks, walls: DataFrame, levels: int = 0) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges reached both ways over ``open_edges``."""
-    nodes = staged(graph.spread(open_edges, picks.nodes, walls, ends_of(net, picks.edges)), "spread")
+    nodes = staged(graph.spread(open_edges, picks.nodes, walls, ends_of(net, picks.edges), levels), "spread")
     crossed = graph.crossed_edges(open_edges.select("eid", "a", "b"), nodes, walls, picks.nodes)
     return nodes, staged(crossed.select("eid").union(picks.edges.select("eid")).distinct(), "spread-edges")
 
@@ -87,8 +87,8 @@ def one_way(edges: DataFrame, flow: str, *kept: str) -> DataFrame:
     return along.unionByName(edges.filter(home).select(c("b").alias("src"), c("a").alias("dst"), *kept))
 
 
-def connected(net: Network, open_edges: DataFrame, picks: Picks, walls: DataFrame) -> Found:
-    return _found(net, *_spread(net, open_edges, picks, walls))
+def connected(net: Network, open_edges: DataFrame, picks: Picks, walls: DataFrame, levels: int = 0) -> Found:
+    return _found(net, *_spread(net, open_edges, picks, walls, levels))
 
 
 def by_gravity(net: Network, open_edges: DataFrame, picks: Picks, walls: DataFrame, down: bool) -> Found:
@@ -182,12 +182,13 @@ def loops(net: Network, open_edges: DataFrame, picks: Picks | None, walls: DataF
 def trace(
     net: Network, kind: str, picks: Picks | None, flow: str = SOURCE_FLOW, barriers: Picks | None = None, targets: Picks | None = None, use_status: bool = True,
     lifecycle: Sequence[int] = (), min_size: float | None = None, conditions: Sequence[tuple[str, str, object]] = (), groups: Sequence[tuple[str, int]] | None = None,
+    levels: int = 0,
 ) -> Found:
     """A trace of one ``kind``: connected, downstream, upstream, upstream_all, isolation, shortest_path or loops.
 
     Barriers, closed devices, stages, sizes and conditions restrict it as in :func:`traces.restrict`; ``groups`` (class and group) keeps only their
     features. A kind that the flow hasn't got (a direction or isolation without flow) raises an error, as do a trace without a pick and a path
-    without a target.
+    without a target. A connected trace tries ``levels`` rounds from neighbour to neighbour first, for networks where all lies near (:func:`graph.spread`).
     """
     if flow not in traces.FLOWS:
         raise ValueError(f"no such flow: {flow}")
@@ -203,9 +204,11 @@ def trace(
     if barriers is not None:
         walls = walls.union(barriers.nodes.select("node"))
         open_edges = open_edges.join(barriers.edges, "eid", "left_anti")
-    walls, open_edges = staged(walls.distinct(), "walls"), staged(open_edges, "open-edges")
+    # Edges that nothing was taken from are read where they lie.
+    restricted = lifecycle or min_size is not None or conditions or barriers is not None
+    walls, open_edges = staged(walls.distinct(), "walls"), staged(open_edges, "open-edges") if restricted else net.edges
     if kind == "connected":
-        found = connected(net, open_edges, picks, walls)
+        found = connected(net, open_edges, picks, walls, levels)
     elif kind in ("downstream", "upstream") or (kind == "upstream_all" and flow != SOURCE_FLOW):
         found = (by_gravity if flow == GRAVITY_FLOW else by_source)(net, open_edges, picks, walls, kind == "downstream")
     elif kind == "upstream_all":
