@@ -75,12 +75,12 @@ def restrict(
 def connected(net: Network, starts: DataFrame, walls: DataFrame | None = None, groups: Sequence[tuple[int, int | None]] | None = None) -> DataFrame:
     """Everything connected to ``starts`` (``node``); walls are visited and not gone beyond."""
     got = staged(graph.reach(graph.both_ways(net.edges), starts, walls), "connected")
-    found = features(net, got, graph.crossed_edges(net.edges, got, walls, starts))
-    if groups is None:
-        return found
-    kept = net.points.filter(output_groups(F.col("ag"), F.col("at"), groups)).select("class", "fid")
-    kept = kept.union(net.edges.filter(output_groups(F.col("ag"), F.lit(None), groups)).select("class", "fid").distinct())
-    return found.join(kept, ["class", "fid"], "left_semi").select("kind", "class", "fid")
+    points, edges = net.points, net.edges
+    if groups is not None:
+        # A feature's group is its own, so what isn't asked for takes no part in the joins.
+        points, edges = points.filter(output_groups(F.col("ag"), F.col("at"), groups)), edges.filter(output_groups(F.col("ag"), F.lit(None), groups))
+    crossed = graph.crossed_edges(edges.select("class", "fid", "a", "b"), got, walls, starts)
+    return features(Network(points, edges), got, crossed)
 
 
 def along_flow(net: Network, starts: DataFrame, upstream: bool = False, walls: DataFrame | None = None) -> DataFrame:
@@ -91,10 +91,13 @@ def along_flow(net: Network, starts: DataFrame, upstream: bool = False, walls: D
     return graph.reach(way, starts, walls)
 
 
-def source_tree(net: Network, walls: DataFrame | None = None) -> DataFrame:
-    """``node, dist, parent, via``: shortest ways from the nearest source."""
-    ways = graph.both_ways(net.edges, F.concat_ws(":", "class", "fid").alias("line"), F.col("length").alias("weight"))
-    return graph.distances(ways, net.having(SOURCE), walls)
+def _named(named: bool) -> list[Column]:
+    return [F.concat_ws(":", "class", "fid").alias("line")] if named else []
+
+
+def source_tree(net: Network, walls: DataFrame | None = None, named: bool = True) -> DataFrame:
+    """``node, dist, parent, via``: shortest ways from the nearest source; ``via`` only if ``named``."""
+    return graph.distances(graph.both_ways(net.edges, *_named(named), F.col("length").alias("weight")), net.having(SOURCE), walls)
 
 
 def source_lengths(net: Network, walls: DataFrame | None = None) -> DataFrame:
@@ -104,19 +107,19 @@ def source_lengths(net: Network, walls: DataFrame | None = None) -> DataFrame:
 
 def downstream_of_source(net: Network, starts: DataFrame, walls: DataFrame | None = None) -> DataFrame:
     """What is fed over the start: its subtree in the tree of shortest ways."""
-    return graph.subtree(source_tree(net, walls), starts)
+    return graph.subtree(source_tree(net, walls, named=False), starts)
 
 
 def upstream_of_source(net: Network, starts: DataFrame, walls: DataFrame | None = None) -> DataFrame:
     """The way from the start back to its source."""
-    tree = source_tree(net, walls)
+    tree = source_tree(net, walls, named=False)
     return graph.chain(tree, starts.join(tree, "node", "left_semi"))
 
 
 def shortest_path(net: Network, starts: DataFrame, targets: DataFrame, walls: DataFrame | None = None, oneway: bool = False) -> DataFrame:
     """``node, dist`` along the shortest way to the nearest target; no rows if there is none. Ties go to the smaller node."""
-    line, weight = F.concat_ws(":", "class", "fid").alias("line"), F.col("length").alias("weight")
-    ways = graph.directed(net.edges, F.col("reverse"), line, weight) if oneway else graph.both_ways(net.edges, line, weight)
+    weight = F.col("length").alias("weight")
+    ways = graph.directed(net.edges, F.col("reverse"), weight) if oneway else graph.both_ways(net.edges, weight)
     tree = staged(graph.distances(ways, starts, walls, targets), "ways")
     goal = tree.join(targets, "node", "left_semi").orderBy("dist", "node").limit(1)
     return graph.chain(tree, goal).join(tree, "node").select("node", "dist")
@@ -190,7 +193,11 @@ def subnetworks(net: Network, controllers: DataFrame) -> DataFrame:
             front = front.join(walls, front["node"] == walls["wall"], "left_anti")
         # A line is met once by all who stand at its end, and not once by each.
         standing = front.groupBy("node").agg(F.sort_array(F.collect_set("controller")).alias("standing"))
-        step = standing.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), "tier", "standing").distinct()
+        # Very many nodes have few sets of controllers, so lines carry a set's number.
+        standing = staged(standing, "standing")
+        sets = staged(standing.select("standing").distinct().withColumn("set", F.monotonically_increasing_id()), "sets")
+        numbered = standing.join(sets, "standing").select("node", "set")
+        step = numbered.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), "tier", "set").distinct().join(sets, "set")
         step = step.select("node", "tier", F.explode("standing").alias("controller")).join(tiers, "controller")
         step = step.filter("own_tier is null or tier is null or own_tier = tier").select("controller", "node").distinct()
         front = staged(step.join(seen.select("controller", "node"), ["controller", "node"], "left_anti").withColumn("hops", F.lit(hops)), "fed")

@@ -9,7 +9,7 @@ from meshwright.functions import identifiers as ids
 from meshwright.operators import attribute_rules as ar
 from meshwright.operators import hydraulic_tables as hyd
 from meshwright.operators import lists, profiles, traces, versions
-from meshwright.plans.graph_queries import TIERS, network, tiered
+from meshwright.plans.graph_queries import LINE, TIERS, network, tiered
 from meshwright.plans.topology_queries import MAP_SQL, lines
 from meshwright.sources import tables as tab
 from meshwright.sources import network_view as nv
@@ -247,7 +247,7 @@ def repeated_shapes(spark, sf_dir):
 
 def controllers_of_start(spark, sf_dir):
     """Controllers that feed a picked feature (trace of controllers)."""
-    net = network(spark, sf_dir)
+    net = network(spark, sf_dir, (*LINE, "tier"))
     picked = spark.createDataFrame([("Station", 1)], "class string, fid long")
     fed = traces.subnetworks(net, tiered(net)).join(traces.start_of(net, picked), "node", "left_semi").select(c("controller").alias("node")).distinct()
     return net.points.join(fed, "node").select("class", "fid")

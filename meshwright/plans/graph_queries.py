@@ -25,9 +25,13 @@ CONDITIONS = (("segment", "=", "building"), ("balance", "<", 0), ("brand", "=",
 LINE = ("eid", "class", "fid", "a", "b")
 
 
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nv.lines(spark, sf_dir).withColumn("eid", F.col("ag").cast("long") * EDGE_STRIDE + F.col("fid"))
+
+
 def network(spark: SparkSession, sf_dir: str, columns: Sequence[str] | None = None) -> Network:
     """Points and lines; ``columns`` of the lines, if not all are needed."""
-    lines = nv.lines(spark, sf_dir).withColumn("eid", F.col("ag").cast("long") * EDGE_STRIDE + F.col("fid"))
+    lines = _lines(spark, sf_dir)
     # Lines are an aggregate of lineitem that every step of a trace reads again.
     return Network(nv.points(spark, sf_dir), staged(lines if columns is None else lines.select(*columns), "lines"))
 
@@ -61,7 +65,9 @@ def trace_connected_barriers(spark, sf_dir):
 
 
 def trace_condition_barriers(spark, sf_dir):
-    net, walls = traces.restrict(network(spark, sf_dir), conditions=CONDITIONS)
+    # Conditions are judged before lines are staged, so what they read isn't written.
+    kept, walls = traces.restrict(Network(nv.points(spark, sf_dir), _lines(spark, sf_dir)), conditions=CONDITIONS)
+    net = Network(kept.points, staged(kept.edges.select(*LINE), "lines"))
     return traces.connected(net, _at(spark, "Valve", 1), walls)
 
 

@@ -42,3 +42,23 @@ def test_edges_of_a_search_with_walls(spark):
     gone = {r["node"] for r in reached.collect()} - walls - {None} | first
     got = graph.crossed_edges(edges, reached, blocked, starts)
     assert sorted(r["eid"] for r in got.collect()) == sorted(k for k, a, b in rows if a in gone or b in gone)
+
+
+def test_ways_need_no_names(spark):
+    rows = [(1, 2, "a", 1.0), (2, 3, "b", 1.0), (1, 4, "c", 1.0), (4, 3, "d", 1.0), (3, 5, "e", 2.0)]
+    ways = graph.both_ways(spark.createDataFrame(rows, "a long, b long, line string, weight double"), "line", "weight")
+    starts = spark.createDataFrame([(1,)], "node long")
+    named = {(r["node"], r["dist"], r["parent"]) for r in graph.distances(ways, starts).collect()}
+    bare = graph.distances(ways.drop("line"), starts).collect()
+    assert {(r["node"], r["dist"], r["parent"]) for r in bare} == named
+    assert {r["via"] for r in bare} == {None}
+
+
+def test_conditions_are_judged_before_lines_are_staged(spark, monkeypatch):
+    from meshwright.plans import graph_queries as gq
+
+    written = []
+    monkeypatch.setattr(gq, "staged", lambda df, label="stage": written.append(df.columns) or df)
+    monkeypatch.setattr(gq.traces, "connected", lambda net, starts, walls: walls)
+    gq.trace_condition_barriers(spark, "/root/testdata/sf0.001")
+    assert written == [list(gq.LINE)]
