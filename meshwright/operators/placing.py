@@ -53,27 +53,44 @@ def snapped_points(points: DataFrame, lines: DataFrame, tol: float, gap: float,
     A point at a vertex (within ``tol``) stays and has no row. Of all lines the nearest place counts, ties going to the smaller line and part; a vertex stands for its line if it is at
     most one and a half times as far as the nearest place between vertices, or within ``tol``. Where ``vertex`` is false a new vertex is
     made there, which later points see.
+
+    Only the first point of a place can make a vertex: what it chose stays as near for those after it and is a vertex then, and a line whose vertices are
+    all too far has no nearer place than before. So places take turns, however many points stand there, and all points are judged once
+    by the vertices made before them. Of lines of one shape that got no vertex, only the least can be chosen.
     """
-    segments = staged(top.segments_of(lines), "segments")
-    corners = staged(top.vertices(lines).select("line", "part", "v", "ox", "oy"), "corners")
+    drawn, members = top.shapes(lines)
+    corners = staged(top.vertices(lines).select("ox", "oy").distinct(), "corners")
+    shapes = staged(drawn.select(c("line").alias("shape"), "part", "path"), "shape-paths")
     waiting = points.select(c("point").alias("id"), "x", "y").filter("x is not null and y is not null")
-    close = staged(top.near(waiting, corners.select("ox", "oy"), tol).select("id").distinct(), "at-vertex")
-    waiting = staged(waiting.join(close, "id", "left_anti"), "free-points")
+    here = waiting.groupBy("x", "y").agg(F.min("id").alias("id")).select("id", "x", "y")
+    close = staged(top.near(here, corners, tol).select("x", "y").distinct(), "at-vertex")
+    waiting = staged(waiting.join(close, ["x", "y"], "left_anti").select("id", "x", "y"), "free-points")
+    firsts = staged(here.join(close, ["x", "y"], "left_anti").select("id", "x", "y"), "first-points")
     t = top.along(*map(c, ("x", "y", "x1", "y1", "x2", "y2")))
     reach = max(VERTEX_FACTOR * gap, tol)
 
     def act(ready: DataFrame, done: DataFrame | None) -> DataFrame:
-        spots = corners.select("line", "part", "v", "ox", "oy")
+        met = members
         if done is not None:
-            made = done.filter("not vertex").select("line", "part", F.lit(None).cast("int").alias("v"), c("x").alias("ox"), c("y").alias("oy"))
-            spots = spots.unionByName(made)
+            made = done.filter("not vertex").select("line", "part", c("id").alias("maker"), c("x").alias("ox"), c("y").alias("oy"))
             # A vertex made meanwhile may lie at the point itself.
-            ready = ready.join(top.near(ready, made.select("ox", "oy"), tol).select("id").distinct(), "id", "left_anti")
+            there = top.near(ready, made.select("maker", "ox", "oy"), tol).filter("maker < id").select("id").distinct()
+            ready = ready.join(there, "id", "left_anti")
+            touched = made.select("line").distinct()
+            met = members.join(touched, "line", "left_anti")
+        least = met.groupBy("shape").agg(F.min("line").alias("line"))
+        if done is not None:
+            least = least.unionByName(members.join(touched, "line", "left_semi").select("shape", "line"))
+        chosen = least.join(shapes, "shape").select("line", "part", "path")
+        segments = top.segments_of(chosen)
+        spots = chosen.select("line", "part", F.explode("path").alias("at")).select("line", "part", c("at.x").alias("ox"), c("at.y").alias("oy"), F.lit(None).cast("long").alias("maker"))
+        if done is not None:
+            spots = spots.unionByName(made)
         on = top.near_segments(ready, segments, reach, size).withColumn("t", t)
         px, py = _at(c("t"))
         on = on.select("id", "line", "part", "seg", px.alias("sx"), py.alias("sy"), c("distance").alias("sd"))
         on = on.groupBy("id", "line", "part").agg(F.min(F.struct("sd", "seg", "sx", "sy")).alias("s")).select("id", "line", "part", "s.*")
-        at = top.near(ready, spots, reach).groupBy("id", "line", "part").agg(F.min(F.struct(c("distance").alias("vd"), "ox", "oy")).alias("w")).select("id", "line", "part", "w.*")
+        at = top.near(ready, spots, reach).filter(c("maker").isNull() | (c("maker") < c("id"))).groupBy("id", "line", "part").agg(F.min(F.struct(c("distance").alias("vd"), "ox", "oy")).alias("w")).select("id", "line", "part", "w.*")
         both = on.join(at, ["id", "line", "part"], "left")
         vertex = F.coalesce(c("vd") <= F.greatest(VERTEX_FACTOR * c("sd"), F.lit(tol)), F.lit(False))
         cand = both.select(
@@ -82,7 +99,8 @@ def snapped_points(points: DataFrame, lines: DataFrame, tol: float, gap: float,
         best = cand.groupBy("id").agg(F.min(F.struct("d", "line", "part", "seg", "x", "y", "vertex")).alias("b"))
         return best.select("id", "b.x", "b.y", "b.line", "b.part", "b.seg", "b.vertex")
 
-    return in_turn(waiting, 2 * reach, act).withColumnRenamed("id", "point")
+    turns = staged(in_turn(firsts, 2 * reach, act), "turns")
+    return act(waiting, turns).withColumnRenamed("id", "point")
 
 
 def _meets(px: Column, py: Column, qx: Column, qy: Column) -> Column:
